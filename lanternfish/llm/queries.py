@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash, warc
+from . import bpe, decontam, nbsvm, simhash, toxicity, warc
 from .common import table
 
 TOKENIZERS = os.environ.get("LANTERNFISH_TOKENIZERS", "/opt/tokenizers")
@@ -31,13 +31,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), (F.size("hit_runs") > 0).alias("contaminated"))
 
 
+def _held(folds: int, held: int) -> F.Column:
+    return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0, 5, ["doc_id"])
+    return got.select("doc_id", _held(5, 0), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 1, 3, ["doc_id"])
+    return got.select("doc_id", _held(3, 1), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op8_simhash)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op7_toxicity, op8_simhash, op9_quality)}
 
 
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
