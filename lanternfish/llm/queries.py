@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, nbsvm, simhash, toxicity, warc
+from . import bpe, decontam, nbsvm, pst, simhash, toxicity, warc
 from .common import table
 
 TOKENIZERS = os.environ.get("LANTERNFISH_TOKENIZERS", "/opt/tokenizers")
@@ -35,6 +35,12 @@ def _held(folds: int, held: int) -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
 
 
+def op5_pst_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    got = pst.score(table(spark, sf_dir, "documents"), ~held)
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0, 5, ["doc_id"])
     return got.select("doc_id", _held(5, 0), "score", "predicted")
@@ -51,7 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op7_toxicity, op8_simhash, op9_quality)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op5_pst_score, op7_toxicity, op8_simhash, op9_quality)}
 
 
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
