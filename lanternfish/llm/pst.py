@@ -1,22 +1,24 @@
-"""LM scoring with a probabilistic suffix tree over the bytes of normalised text.
-
-A text is its lower-cased words, each closed by a space, and an end mark. Counts of a byte after each context of up to
-DEPTH bytes are gathered from all training texts as one distributed table and rolled up by dropping the oldest byte. A
-context stays if what follows it differs from what follows its suffix: if the divergence, weighted by the context's
-count, passes a likelihood-ratio test; where more pass than the model has room for, those of the largest divergence
-stay. Distributions are smoothed towards the longest retained suffix. Scoring walks the tree's automaton, whose states
-are the longest suffixes; texts are cut into lanes with DEPTH bytes of run-up, so that one array operation moves
-thousands of states at once.
-
-The tree spells words; whole-word counts, discounted, are mixed in, the discount's mass going to the spelling:
-P(w) = max(c - D, 0) / N + D V / N * P_tree(w | bytes before), D from the words met once and twice. The same exact counts give a unigram base. A fixed
-number of the most frequent words is broadcast, the counts of the others are joined.
+"""LM scoring with a probabilistic suffix tree over words.
+
+Symbols are the SYMBOLS most frequent training words, one for all other words and an end mark. Counts of a symbol after
+each context of up to DEPTH symbols are gathered from all training texts as one distributed table and rolled up by
+dropping the oldest symbol. A context stays if what follows it differs from what follows its suffix: if the divergence,
+weighted by the context's count, passes a likelihood-ratio test; where more pass than the model has room for, those of
+the largest divergence stay. Distributions are smoothed towards the longest retained suffix. Scoring walks the tree's
+automaton, whose states are the longest suffixes; the stream of symbols is cut into lanes with DEPTH symbols of run-up,
+so that one array operation moves thousands of states at once.
+
+Within the symbol of the other words a word has its discounted share of their exact counts; what the discount takes is
+the share of the one event "a word not met in training". The events are thus those of the unigram base, which has the
+same counts: V words and an unknown one. A fixed number of the most frequent words is broadcast, the counts of the rest
+are joined.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +29,31 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, slices, texts_of
 
-DEPTH = 5
-END, SPACE, OTHER = 0x0A, 0x20, 0x00
-#: Contexts of the model at most, least count of one, mass of the suffix's distribution in it, critical value of the test.
-CONTEXTS, LEAST, SMOOTHING, CRITICAL = 20_000, 20, 4.0, 20.0
+DEPTH, BITS = 3, 10
+ABSENT, END, RARE, FIRST = 0, 1, 2, 3
+SYMBOLS = (1 << BITS) - FIRST
+#: Contexts of the model at most, least count of one and critical value of the test beyond the test's own spread.
+CONTEXTS, LEAST, CRITICAL = 4_000, 30, 20.0
 #: Most frequent words that are broadcast (16 bytes each).
 HEAD = 200_000
-#: Slots of a task's table of words before it is sent on, and bytes of text whose contexts are counted at once.
-LOCAL_WORDS, LOCAL_BYTES = 400_000, 2_000_000
-LANES = 4096
-# 0x00 marks the absence of a byte in keys; the byte itself goes as 0x09, which no word has.
-_ZERO = bytes([9]) + bytes(range(1, 256))
-
-
-def normalise(words: list[bytes]) -> bytes:
-    return b" ".join([*words, b""]).translate(_ZERO)
+#: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
+LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 4_000_000, 1_500_000
+LANES = 1024
 
 
 def gram_keys(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Keys of all positions after the first end mark: up to depth bytes of context, none before the last end mark,
-    then the byte itself; the oldest byte is the highest."""
+    """Keys of all positions after the first: up to depth symbols of context, none before the last end mark, then the
+    symbol itself in the lowest bits, the oldest in the highest."""
     n = len(stream)
     if n < 2:
         return np.zeros(0, np.int64)
-    at = np.where(stream == END, np.arange(n), -1)
-    last = np.maximum.accumulate(at)
-    i = np.arange(1, n)
-    room = i - last[:-1]  # bytes of context from the end mark on
+    last = np.maximum.accumulate(np.where(stream == END, np.arange(n), -1))
+    room = np.arange(1, n) - last[:-1]  # symbols of context from the end mark on
     key = stream[1:].astype(np.int64)
     for k in range(1, depth + 1):
-        src = np.zeros(n - 1, np.int64)
-        src[k - 1 :] = stream[: n - k]
-        key |= np.where(room >= k, src, 0) << (8 * k)
+        before = np.zeros(n - 1, np.int64)
+        before[k - 1 :] = stream[: n - k]
+        key |= np.where(room >= k, before, ABSENT) << (BITS * k)
     return key
 
 
@@ -66,160 +61,159 @@ def signed(h) -> np.ndarray:
     return np.fromiter(h, dtype=np.uint64).view(np.int64)
 
 
-def count(docs: DataFrame, training) -> DataFrame:
-    """(kind, key, n) over docs' training rows: kind 0 are words by hash, kind 1 contexts with the byte that follows."""
+def merge(k1, n1, k2, n2):
+    """Sum of two sorted tables of counts."""
+    k = np.concatenate([k1, k2])
+    o = np.argsort(k, kind="stable")
+    k, n = k[o], np.concatenate([n1, n2])[o]
+    if not len(k):
+        return k, n
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(n, starts)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(key, n): counts of all words of docs by their 64-bit hash. Tasks sum up before the shuffle."""
 
     def run(batches):
         words: Counter = Counter()
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda kind, k, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
-        tables = lambda: out(0, signed(map(xxhash.xxh64_intdigest, words)), np.fromiter(words.values(), np.int64, len(words)))
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(signed(map(xxhash.xxh64_intdigest, words))), pa.array(np.fromiter(words.values(), np.int64, len(words)))], names=["key", "n"])
         for part in slices(batches, limit=LOCAL_BYTES):
-            buf = bytearray([END])
             for t in texts_of(part):
-                ws = t.lower().split()
-                words.update(ws)
-                buf += normalise(ws)
-                buf.append(END)
-            for at in range(0, len(buf) - 1, LOCAL_BYTES):  # a long text in pieces that overlap by a context
-                s = np.frombuffer(bytes(buf[max(0, at - DEPTH) : at + LOCAL_BYTES + 1]), np.uint8)
-                got = _keys_of_piece(s, min(at, DEPTH))
-                k, n = np.unique(got, return_counts=True)
-                keys, sums = merge(keys, sums, k, n)
+                words.update(t.lower().split())
             if len(words) >= LOCAL_WORDS:
-                yield tables()
+                yield table()
                 words = Counter()
-            if len(keys) >= 1_500_000:
-                yield out(1, keys, sums)
-                keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if words:
-            yield tables()
-        if len(keys):
-            yield out(1, keys, sums)
+            yield table()
 
-    counted = docs.where(training).select("text").mapInArrow(run, "kind byte, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _keys_of_piece(s: np.ndarray, run_up: int) -> np.ndarray:
-    return gram_keys(s)[run_up:]
+class Lexicon:
+    """Place of words in the head (-1: elsewhere) and their hash, memoised; places are in order of frequency."""
 
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.known = keys[self.order], {}
+
+    def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
+        """(place, hash) of every word, texts in a row, (-2, 0) at the end of each."""
+        known, fresh = self.known, {w for ws in texts for w in ws}
+        if len(known) + len(fresh) > 300_000:
+            known = self.known = {}
+        fresh = [w for w in fresh if w not in known]
+        h = signed(map(xxhash.xxh64_intdigest, fresh))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            place = np.where(self.keys[at] == h, self.order[at], -1)
+        else:
+            place = np.full(len(h), -1)
+        known.update(zip(fresh, zip(place.tolist(), h.tolist())))
+        close = (-2, 0)
+        return np.array([x for ws in texts for x in (*map(known.__getitem__, ws), close)], dtype=np.int64).reshape(-1, 2)
 
-def merge(k1, n1, k2, n2):
-    if not len(k1):
-        return k2, n2.astype(np.int64)
-    k = np.concatenate([k1, k2])
-    o = np.argsort(k, kind="stable")
-    k, n = k[o], np.concatenate([n1, n2])[o]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[starts], np.add.reduceat(n, starts)
 
+def symbols_of(place: np.ndarray) -> np.ndarray:
+    return np.where(place == -2, END, np.where((place >= 0) & (place < SYMBOLS), place + FIRST, RARE))
 
-def retained(grams: DataFrame, contexts: int = CONTEXTS, least: int = LEAST, critical: float = CRITICAL) -> list[tuple[bytes, dict[int, int]]]:
-    """(context, {next byte: count}) of the contexts that stay, the empty one first."""
+
+def count_grams(docs: DataFrame, head) -> DataFrame:
+    """(key, n): counts of contexts with the symbol that follows, over all texts of docs."""
+
+    def run(batches):
+        lexicon = Lexicon(head.value)
+        keys = sums = np.zeros(0, np.int64)
+        for part in slices(batches, limit=LOCAL_BYTES):
+            stream = np.concatenate([[END], symbols_of(lexicon([t.lower().split() for t in texts_of(part)])[:, 0])])
+            keys, sums = merge(keys, sums, *np.unique(gram_keys(stream), return_counts=True))
+            if len(keys) >= LOCAL_KEYS:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+                keys = sums = np.zeros(0, np.int64)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def retained(grams: DataFrame, contexts: int = CONTEXTS, least: int = LEAST, critical: float = CRITICAL) -> list[tuple[tuple[int, ...], dict[int, int]]]:
+    """(context, {next symbol: count}) of the contexts that stay, the empty one first."""
+    low = lambda d: (1 << (BITS * d)) - 1
     level = {DEPTH: grams}
     for d in range(DEPTH - 1, -1, -1):
-        level[d] = materialize(level[d + 1].select((F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), "pst")
-    chosen, spread = None, {}
-    for d in range(DEPTH, 0, -1):
-        ctx, nxt = F.shiftright("key", 8), F.col("key").bitwiseAND(255)
-        # a context of depth d has its oldest byte; shorter ones, cut off by an end mark, belong to their own level
-        own = level[d].where(F.col("key") >= 1 << (8 * d)).select(ctx.alias("ctx"), nxt.cast("int").alias("nxt"), "n", F.col("key").bitwiseAND((1 << (8 * d)) - 1).alias("up"))
-        total = own.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+        level[d] = materialize(level[d + 1].select(F.col("key").bitwiseAND(low(d + 1)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), "pst")
+    # a context of d symbols has its oldest one; shorter ones, cut off by an end mark, belong to their own level
+    whole = {d: level[d].where(F.col("key") >= 1 << (BITS * d)).select(F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(low(1)).cast("int").alias("nxt"), "n", F.col("key").bitwiseAND(low(d)).alias("up")) for d in range(1, DEPTH + 1)}
+    chosen = []
+    for d in range(1, DEPTH + 1):
+        total = whole[d].groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
         parent = level[d - 1].select(F.col("key").alias("up"), F.col("n").alias("pn"))
-        above = level[d - 1].groupBy(F.shiftright("key", 8).alias("uctx")).agg(F.sum("n").alias("pall"))
-        own = own.join(total, "ctx").join(parent, "up").withColumn("uctx", F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(above, "uctx")
-        spread[d] = own
+        above = level[d - 1].groupBy(F.shiftright("key", BITS).alias("uctx")).agg(F.sum("n").alias("pall"))
+        own = whole[d].join(total, "ctx").join(parent, "up").withColumn("uctx", F.col("ctx").bitwiseAND(low(d - 1))).join(above, "uctx")
         gain = own.groupBy("ctx").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("pn") / F.col("pall")))).alias("gain"), F.count("*").alias("k"))
         # twice the gain is about chi-square with k degrees of freedom if the suffix tells as much
-        kept = gain.where(2 * F.col("gain") > critical + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).select(F.lit(d).alias("d"), "ctx", "gain")
-        chosen = kept if chosen is None else chosen.unionByName(kept)
-    picked = materialize(chosen.orderBy(F.desc("gain"), "d", "ctx").limit(contexts), "pst-chosen")
+        chosen.append(gain.where(2 * F.col("gain") > critical + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).select(F.lit(d).alias("d"), "ctx", "gain"))
+    picked = materialize(reduce(DataFrame.unionByName, chosen).orderBy(F.desc("gain"), "d", "ctx").limit(contexts), "pst-chosen")
     rows = [level[0].select(F.lit(0).alias("d"), F.lit(0).cast("long").alias("ctx"), F.col("key").cast("int").alias("nxt"), "n")]
-    for d in range(1, DEPTH + 1):  # `contexts` contexts of at most 256 bytes each, 21 on average
-        full = level[d].where(F.col("key") >= 1 << (8 * d)).select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("nxt"), "n")
-        rows.append(full.join(F.broadcast(picked.where(F.col("d") == d).select("ctx")), "ctx").select(F.lit(d).alias("d"), "ctx", "nxt", "n"))
-    got = rows[0]
-    for r in rows[1:]:
-        got = got.unionByName(r)
-    t = got.toArrow().sort_by([("d", "ascending"), ("ctx", "ascending"), ("nxt", "ascending")]).to_pydict()
-    tree: dict[bytes, dict[int, int]] = {b"": {}}
+    for d in range(1, DEPTH + 1):  # `contexts` contexts of at most 2 ** BITS symbols each
+        rows.append(whole[d].join(F.broadcast(picked.where(F.col("d") == d).select("ctx")), "ctx").select(F.lit(d).alias("d"), "ctx", "nxt", "n"))
+    t = reduce(DataFrame.unionByName, rows).toArrow().sort_by([("d", "ascending"), ("ctx", "ascending"), ("nxt", "ascending")]).to_pydict()
+    tree: dict[tuple[int, ...], dict[int, int]] = {(): {}}
     for d, c, x, n in zip(t["d"], t["ctx"], t["nxt"], t["n"]):
-        tree.setdefault(int(c).to_bytes(8, "big")[8 - d :], {})[x] = n
+        tree.setdefault(tuple((c >> (BITS * k)) & low(1) for k in range(d - 1, -1, -1)), {})[x] = n
     return sorted(tree.items(), key=lambda x: (len(x[0]), x[0]))
 
 
 class Model:
     """The tree's automaton: state -> next state and log10 probability of each symbol."""
 
-    def __init__(self, tree: list[tuple[bytes, dict[int, int]]], smoothing: float = SMOOTHING):
-        root = tree[0][1]
-        alphabet = sorted({*root, END, SPACE})
-        self.code = np.zeros(256, np.int32)
-        for i, b in enumerate(alphabet, 1):
-            self.code[b] = i
-        size = len(alphabet) + 1
-        unseen = max(1, 257 - len(alphabet))
-        base = np.full(size, 0.1)
-        for b, n in root.items():
-            base[self.code[b]] += n
-        base[0] = 0.1 * unseen
-        base /= base.sum()
-        dists, place = [base], {b"": 0}
+    def __init__(self, tree):
+        size = 1 << BITS
+        base = np.zeros(size)
+        base[END:] = 0.01
+        for x, n in tree[0][1].items():
+            base[x] += n
+        dists, place = [base / base.sum()], {(): 0}
         for ctx, after in tree[1:]:
             up = next(place[ctx[i:]] for i in range(1, len(ctx) + 1) if ctx[i:] in place)
-            d = dists[up] * smoothing
-            for b, n in after.items():
-                d[self.code[b]] += n
+            d = dists[up] * max(1, len(after))  # as much of the suffix's as there are different followers
+            d[list(after)] += list(after.values())
             place[ctx] = len(dists)
             dists.append(d / d.sum())
-        logs = np.log10(np.array(dists))
-        logs[:, 0] -= np.log10(unseen)
-        self.logs = logs.astype(np.float32)
-        states: dict[bytes, int] = {b"": 0}
-        for ctx, _ in tree:
-            for i in range(1, len(ctx) + 1):
-                states.setdefault(ctx[:i], len(states))
-        names = sorted(states, key=len)
+        with np.errstate(divide="ignore"):
+            self.logs = np.log10(np.array(dists)).astype(np.float32)
+        names = sorted({ctx[:i] for ctx, _ in tree for i in range(len(ctx) + 1)}, key=lambda c: (len(c), c))
         states = {c: i for i, c in enumerate(names)}
-        # suffixes of prefixes: fall to the longest suffix that is a state, byte by byte
-        self.step = np.zeros((len(names), size), np.int32)
-        fall = [0] * len(names)
-        self.dist = np.zeros(len(names), np.int32)
+        self.step, self.dist = np.zeros((len(names), size), np.int32), np.zeros(len(names), np.int32)
+        children: dict[tuple[int, ...], list[int]] = {}
+        for c in names[1:]:
+            children.setdefault(c[:-1], []).append(c[-1])
         for i, c in enumerate(names):
-            if c:
-                up = int(self.step[fall[states[c[:-1]]], self.code[c[-1]]]) if len(c) > 1 else 0
-                fall[i] = up
-                self.step[i] = self.step[up]
-                self.dist[i] = place.get(c, self.dist[up])
-            for b in alphabet:
-                if (to := states.get(c + bytes([b]))) is not None:
-                    self.step[i, self.code[b]] = to
-        self.size = size
-        self.start = int(self.step[0, self.code[END]])
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each token (a word with its space, or an end mark) of the normalised texts, in order."""
-        stream = np.frombuffer(b"".join(bytes([END]) + t for t in texts) + bytes([END]), np.uint8)
-        symbols, n = self.code[stream], len(stream)
-        steps = max(256, -(-n // LANES))
-        lanes = -(-n // steps)
-        run_up = DEPTH + 1
-        padded = np.zeros(run_up + lanes * steps, np.int32)
-        padded[:run_up] = self.code[END]
+            if c:  # the longest proper suffix that is a state answers where no longer context goes on
+                up = states[next(c[k:] for k in range(1, len(c) + 1) if c[k:] in states)]
+                self.step[i], self.dist[i] = self.step[up], place.get(c, self.dist[up])
+            for x in children.get(c, ()):
+                self.step[i, x] = states[(*c, x)]
+        self.size, self.start = size, int(self.step[0, END])
+
+    def log10(self, symbols: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol, the first standing after an end mark."""
+        n = len(symbols)
+        if not n:
+            return np.zeros(0)
+        steps = max(64, -(-n // LANES))
+        lanes, run_up = -(-n // steps), DEPTH + 1
+        padded = np.full(run_up + lanes * steps, END, np.int64)
         padded[run_up : run_up + n] = symbols
-        grid = np.lib.stride_tricks.sliding_window_view(padded, run_up + steps)[::steps].T
+        grid = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, run_up + steps)[::steps].T)
         state = np.full(lanes, self.start, np.int64)
         out = np.empty((steps, lanes), np.float32)
         flat, logs = self.step.ravel(), self.logs.ravel()
         for k in range(run_up + steps):
-            sym = grid[k]
             if k >= run_up:
-                out[k - run_up] = logs[self.dist[state] * self.size + sym]
-            state = flat[state * self.size + sym]
-        score = out.T.ravel()[:n].astype(np.float64)
-        ends = np.flatnonzero((stream == END) | (stream == SPACE))
-        return np.add.reduceat(score, ends[:-1] + 1) if len(ends) > 1 else np.zeros(0)
+                out[k - run_up] = logs[self.dist[state] * self.size + grid[k]]
+            state = flat[state * self.size + grid[k]]
+        return out.T.ravel()[:n].astype(np.float64)
 
 
 _MODELS: dict = {}
@@ -236,65 +230,54 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; `training` says which rows are
     learned from (default: all).
 
-    Null text counts as empty: one token, the end. With nothing to learn from, the base is uniform over nothing but the
-    0.1 of an unseen word and the model over bytes. Repeated rows count and score each; a null doc_id is a row like any
-    other; further columns are ignored."""
-    import uuid
-
+    Null text counts as empty: one token, the end. With nothing to learn from every word is unknown. Repeated rows count
+    and score each; a null doc_id is a row like any other; further columns are ignored."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.coalesce(training, F.lit(False)) if training is not None else F.lit(True)).alias("learn"))
-    counts = materialize(count(docs, F.col("learn")), "lm-counts")
-    n_docs = docs.where("learn").count()
-    words = counts.where("kind = 0").select("key", "n")
+    learned = docs.where("learn")
+    n_docs = learned.count()
+    words = materialize(count_words(learned), "lm-words")
     total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, v = total + n_docs, distinct + (1 if n_docs else 0)
     z = float(np.log10(n + 0.1 * (v + 1)))
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow().sort_by("key")
-    tree = retained(counts.where("kind = 1").select("key", "n"))
-    told, top = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast((head["key"].to_numpy(), head["n"].to_numpy()))
-    name, end_part = uuid.uuid4().hex, float(np.log10(n_docs + 0.1)) - z
-    less_by = once / (once + 2 * twice) if once and twice else 0.5  # absolute discounting's estimate
-    spell = less_by * v / n if n else 1.0
-    out = StructType.fromDDL("doc_id long, n_tokens long, n_known long, head double, spelt double, tail array<struct<key:long,lp:float>>")
+    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    keys, ns = top["key"].to_numpy(), top["n"].to_numpy()
+    head, counts = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(ns)
+    tree = retained(materialize(count_grams(learned, head), "lm-grams"))
+    told, name = spark.sparkContext.broadcast(tree), uuid.uuid4().hex
+    rare_n, rare_v = total - int(ns[:SYMBOLS].sum()), distinct - min(distinct, SYMBOLS)
+    less = once / (once + 2 * twice) if once and twice else 0.5  # absolute discounting's estimate
+    mass = float(max(rare_n, 1))
+    unknown = float(np.log10(max(less * rare_v, less) / mass)) if rare_n else 0.0
+    unmet = -z - 1.0  # the base's figure for a word not met
+    end_base = float(np.log10(n_docs + 0.1)) - z
+    out = StructType.fromDDL("doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>")
     out.fields[0] = docs.schema["doc_id"]
 
     def run(batches):
-        model = model_of(name, told)
-        keys, ns = top.value
-        logs = np.append(np.log10(ns + 0.1) - z, end_part)  # the end mark's last
-        mass = np.append(np.maximum(ns - less_by, 0.0), max(n_docs - less_by, 0.0)) / max(n, 1)
-        known: dict[bytes, tuple[int, int]] = {}
+        model, lexicon, ns = model_of(name, told), Lexicon(head.value), counts.value
+        base_of = np.concatenate([np.log10(ns + 0.1) - z, [end_base, 0.0]])  # places -2: end, -1: joined later
+        own = np.concatenate([np.zeros(min(SYMBOLS, len(ns))), np.log10(np.maximum(ns[SYMBOLS:] - less, 1e-9) / mass), [0.0, 0.0]])
         for part in slices(batches, limit=LOCAL_BYTES):
             texts = [t.lower().split() for t in texts_of(part)]
-            fresh = {w for ws in texts for w in ws}
-            if len(known) + len(fresh) > 300_000:
-                known = {}
-            fresh = [w for w in fresh if w not in known]
-            h = signed(map(xxhash.xxh64_intdigest, fresh))
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1)) if len(keys) else np.zeros(len(h), np.int64)
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            known.update(zip(fresh, zip(np.where(hit, at, -1).tolist(), h.tolist())))
-            close = (len(keys) if n_docs else -2, 0)
-            tokens = np.array([x for ws in texts for x in (*map(known.__getitem__, ws), close)], dtype=np.int64).reshape(-1, 2)
-            place, lp = tokens[:, 0], model.log10([normalise(ws) for ws in texts])
-            head, rest = place >= 0, place == -1
-            with np.errstate(divide="ignore"):
-                mixed = np.where(head, np.log10(mass[np.maximum(place, 0)] + spell * 10.0**lp), np.where(rest, 0.0, lp + np.log10(spell)))
-            base = np.where(head, logs[np.maximum(place, 0)], np.where(rest, 0.0, end_part))
+            tokens = lexicon(texts)
+            place, rest = tokens[:, 0], tokens[:, 0] == -1
             size = np.array([len(ws) + 1 for ws in texts])
             first = np.cumsum(size) - size
+            known = np.where(place == -2, 1 if n_docs else 0, place >= 0).astype(np.int64)
             sums = lambda x: pa.array(np.add.reduceat(x, first))
             lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int32), first))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(lens), pa.StructArray.from_arrays([pa.array(tokens[rest, 1]), pa.array(lp[rest].astype(np.float32))], names=["key", "lp"]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), sums(head.astype(np.int64)), sums(base), sums(mixed), tail], names=["doc_id", "n_tokens", "n_known", "head", "spelt", "tail"])
+            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(tokens[rest, 1]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), sums(known), sums(base_of[place]), sums(model.log10(symbols_of(place)) + own[place]), tail], names=out.names)
 
     scored = materialize(docs.select("doc_id", "text").mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # the other words: no one of them is among the HEAD most frequent, so no key of this join is hot
-    rest = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.key").alias("key"), F.col("t.lp").cast("double").alias("lp"))
-    less = rest.join(words, "key", "left").select("row", "lp", F.coalesce("n", F.lit(0)).alias("c"))
-    seen = F.col("c") > 0
-    mixed = F.when(seen, F.log10((F.col("c") - less_by) / max(n, 1) + F.lit(spell) * F.pow(F.lit(10.0), "lp"))).otherwise(F.col("lp") + float(np.log10(spell)))
-    sums = less.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1) - z).alias("base"), F.sum(mixed).alias("mixed"), F.sum(seen.cast("long")).alias("more"))
+    rest = scored.select("row", F.explode("tail").alias("key"))
+    met = F.col("n").isNotNull()
+    sums = rest.join(words, "key", "left").groupBy("row").agg(
+        F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(unmet)).alias("more_base"),
+        F.sum(F.when(met, F.log10((F.col("n") - less) / mass)).otherwise(unknown)).alias("more_score"), F.count("n").alias("more"))
+    zero = F.lit(0.0)
     return scored.drop("tail").join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("spelt") + F.coalesce("mixed", F.lit(0.0))).alias("score"))
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
