@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, nbsvm, pst, simhash, toxicity, warc
+from . import bpe, decontam, nbsvm, pst, rules, simhash, toxicity, warc
 from .common import table
 
 TOKENIZERS = os.environ.get("LANTERNFISH_TOKENIZERS", "/opt/tokenizers")
@@ -31,6 +31,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), (F.size("hit_runs") > 0).alias("contaminated"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def _held(folds: int, held: int) -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string")) % folds == held).alias("held_out")
 
@@ -57,7 +62,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op5_pst_score, op7_toxicity, op8_simhash, op9_quality)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op5_pst_score, op6_quality_rules, op7_toxicity, op8_simhash, op9_quality)}
 
 
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -85,6 +90,32 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
        sha256(coalesce(it.s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join pos using (doc_id) left join it using (doc_id)"""
 
+_RULES = [(rule, figure, above, c) for rule, (figure, above, cs) in rules.CANDIDATES.items() for c in cs]
+SQL["op6_quality_rules"] = r"""
+with recursive d as (select doc_id, coalesce(lang, '') as s, coalesce(text, '') as t from documents),
+w as (select doc_id, s, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, string_split(t, chr(10)) as ls from d),
+g as (select doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2)),
+r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as c from g) where c > 1) group by 1),
+f0 as (select doc_id, s, cast(len(w) as bigint) as n_words, coalesce(cast(list_sum(list_transform(w, lambda x: length(x))) as bigint), 0) as word_chars,
+        cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+        cast(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines,
+        len(ls) as n_lines, coalesce(r.n_repeat_words, 0) as n_repeat_words from w left join r using (doc_id)),
+f as (select *, coalesce(n_symbols::double / nullif(word_chars, 0), 0) as symbol_share, coalesce(n_dup_lines::double / nullif(n_lines, 0), 0) as line_share,
+        coalesce(n_repeat_words::double / nullif(n_words, 0), 0) as repeat_share, coalesce(word_chars::double / nullif(n_words, 0), 0) as word_length,
+        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f0),
+good as (select doc_id, max(quality) > 0 as good from labels where quality is not null group by 1),
+told as (select f.*, good from f join good using (doc_id) where not base_failed),
+tests as (TESTS),
+p as (select *, case when k >= n * RISK then 0.0 else least(0.0, ln(list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(RISK) + (n - j) * ln(1 - RISK)))))) end as log_p from tests where n > 0),
+o as (select *, row_number() over (order by log_p, s, rule, cutoff) as i, count(*) over () as m from p),
+ok as (select *, min(case when log_p <= ln(DELTA / (m - i + 1)) then 1 else 0 end) over (order by i rows unbounded preceding) as held from o),
+cut as (select s, rule, arg_max(cutoff, struct_pack(a := gain, b := -k, c := cutoff)) as cutoff from ok where held = 1 and gain > 0 group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not exists (select 1 from cut where cut.s = f.s and (HITS)) as kept from f
+""".replace("with recursive", "with").replace("TESTS", " union all ".join(
+    f"select s, '{rule}' as rule, {c!r}::double as cutoff, count(*) filter (good) as n, count(*) filter (good and {f} {'>' if a else '<'} {c!r}::double) as k, count(*) filter (not good and {f} {'>' if a else '<'} {c!r}::double) as gain from told group by s"
+    for rule, f, a, c in _RULES)).replace("HITS", " or ".join(f"(rule = '{rule}' and {f} {'>' if a else '<'} cutoff)" for rule, (f, a, _) in rules.CANDIDATES.items())).replace("RISK", repr(rules.RISK / len(rules.CANDIDATES)) + "::double").replace("DELTA", repr(rules.DELTA) + "::double")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
