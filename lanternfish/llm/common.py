@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,16 @@ def map_texts(df: DataFrame, add: Callable[[list[bytes]], dict[str, list | pa.Ar
     return df.select(*need).mapInArrow(run, out)
 
 
+def filter_flags(df: DataFrame, name: str, bits: int) -> np.ndarray:
+    """2 ** bits flags (a byte each): those at the low bits of a long column's values are set. The size is fixed; what
+    many values set makes the filter let more through, never less."""
+    slot = F.col(name).bitwiseAND((1 << bits) - 1)
+    cells = df.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("set")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[cells["cell"].to_numpy()] = cells["set"].to_numpy()
+    return np.unpackbits(words.view(np.uint8), bitorder="little")
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node reachable. Alternating large and
     small stars; each round's edges are a written table, minima are their own table so that joins on a hub are

@@ -7,12 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, nbsvm, pst, rules, simhash, toxicity, warc
+from . import bpe, decontam, lines, nbsvm, pii, pst, rules, simhash, toxicity, warc
 from .common import table
 
 TOKENIZERS = os.environ.get("LANTERNFISH_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json", ["doc_id"], decoded=True)
     return bpe.ids_digest(got.withColumn("decoded_sha256", F.sha2("decoded", 256)), ["doc_id", "n_tokens", "decoded_sha256"])
@@ -61,12 +66,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return got.select("doc_id", *(count(k) for k in range(4)), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_warc, op4_decontaminate, op5_pst_score, op6_quality_rules, op7_toxicity, op8_simhash, op9_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe_codec, op3_warc, op4_decontaminate, op5_pst_score, op6_quality_rules, op7_toxicity, op8_simhash, op9_quality, op10_pii)}
 
 
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SQL = {}
+SQL["op1_line_dedup"] = r"""
+with l as (select doc_id, k - 1 as k, list_filter(regexp_split_to_array(translate(ln, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from (select doc_id, unnest(string_split(text, chr(10))) as ln, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)),
+u as (select doc_id, k, ws, array_to_string(ws, ' ') as t from l where len(ws) >= 5),
+d as (select t, any_value(ws) as ws, min({'d': doc_id, 'k': k}) as place from u group by 1),
+s as (select t, place, t as v, 0 as p from d union all
+      select t, place, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, len(ws))), ' ') as v, p from (select *, unnest(range(1, len(ws) + 1)) as p from d)),
+g as (select v, p, min(place) as m from s group by 1, 2),
+a as (select v, min(case when p > 0 then m end) as other, min(case when p = 0 then m end) as self from g group by 1),
+near as (select distinct t from s join g using (v, p) join a using (v) where (p > 0 and (m < place or self < place)) or (p = 0 and other < place)),
+gone as (select doc_id, k from u join d using (t) left join near using (t) where near.t is not null or not (place.d = doc_id and place.k = k)),
+r as (select doc_id, count(*) as n_removed, string_agg(cast(k as varchar), ',' order by k) as removed_lines from gone group by 1),
+kept as (select doc_id, coalesce(string_agg(ln, chr(10) order by k), '') as text from (select doc_id, unnest(string_split(text, chr(10))) as ln, unnest(range(0, len(string_split(text, chr(10))))) as k from documents) x
+  where not exists (select 1 from gone where gone.doc_id = x.doc_id and gone.k = x.k) group by 1)
+select doc_id, cast(len(string_split(documents.text, chr(10))) as bigint) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(removed_lines, '') as removed_lines, sha256(coalesce(kept.text, '')) as text_sha256
+from documents left join r using (doc_id) left join kept using (doc_id)"""
 SQL["op3_warc"] = """
 with p as (select page_id, encode(coalesce(html, '')) as b, max(page_id) over (partition by coalesce(html, '')) as best from pages)
 select page_id, octet_length(b) as payload_bytes,
