@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, slices, texts_of
 
-DEPTH, BITS = 3, 10
+DEPTH, BITS = 2, 10
 ABSENT, END, RARE, FIRST = 0, 1, 2, 3
 SYMBOLS = (1 << BITS) - FIRST
 #: Contexts of the model at most, least count of one and critical value of the test beyond the test's own spread.
@@ -37,7 +38,7 @@ CONTEXTS, LEAST, CRITICAL = 4_000, 30, 20.0
 #: Most frequent words that are broadcast (16 bytes each).
 HEAD = 200_000
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
-LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 4_000_000, 1_500_000
+LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 3_000_000, 2_000_000
 LANES = 1024
 
 
@@ -61,13 +62,11 @@ def signed(h) -> np.ndarray:
     return np.fromiter(h, dtype=np.uint64).view(np.int64)
 
 
-def merge(k1, n1, k2, n2):
-    """Sum of two sorted tables of counts."""
-    k = np.concatenate([k1, k2])
+def merged(tables: list[tuple[np.ndarray, np.ndarray]]):
+    """Sum of tables of counts, sorted by key."""
+    k = np.concatenate([k for k, _ in tables])
     o = np.argsort(k, kind="stable")
-    k, n = k[o], np.concatenate([n1, n2])[o]
-    if not len(k):
-        return k, n
+    k, n = k[o], np.concatenate([n for _, n in tables])[o]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return k[starts], np.add.reduceat(n, starts)
 
@@ -90,28 +89,44 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+class _Numbers(dict):
+    """Numbers words as they come; None, the end of a text, is 0."""
+
+    def __init__(self):
+        super().__init__({None: 0})
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Lexicon:
-    """Place of words in the head (-1: elsewhere) and their hash, memoised; places are in order of frequency."""
+    """Place of words in the head (-1: elsewhere, -2: end of a text) and their hash, memoised; places are in order of frequency."""
 
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys, kind="stable")
-        self.keys, self.known = keys[self.order], {}
-
-    def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
-        """(place, hash) of every word, texts in a row, (-2, 0) at the end of each."""
-        known, fresh = self.known, {w for ws in texts for w in ws}
-        if len(known) + len(fresh) > 300_000:
-            known = self.known = {}
-        fresh = [w for w in fresh if w not in known]
-        h = signed(map(xxhash.xxh64_intdigest, fresh))
+        self.keys = keys[self.order]
+        self._forget()
+
+    def _forget(self):
+        self.numbers, self.place, self.hash = _Numbers(), np.array([-2]), np.array([0])
+
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of every word, texts in a row, each closed by its end."""
+        if len(self.numbers) > 300_000:
+            self._forget()
+        stream = chain.from_iterable(chain(ws, (None,)) for ws in texts)
+        ids = np.fromiter(map(self.numbers.__getitem__, stream), np.int64)
+        h, self.numbers.fresh = signed(map(xxhash.xxh64_intdigest, self.numbers.fresh)), []
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             place = np.where(self.keys[at] == h, self.order[at], -1)
         else:
             place = np.full(len(h), -1)
-        known.update(zip(fresh, zip(place.tolist(), h.tolist())))
-        close = (-2, 0)
-        return np.array([x for ws in texts for x in (*map(known.__getitem__, ws), close)], dtype=np.int64).reshape(-1, 2)
+        self.place, self.hash = np.concatenate([self.place, place]), np.concatenate([self.hash, h])
+        return self.place[ids], self.hash[ids]
 
 
 def symbols_of(place: np.ndarray) -> np.ndarray:
@@ -122,16 +137,16 @@ def count_grams(docs: DataFrame, head) -> DataFrame:
     """(key, n): counts of contexts with the symbol that follows, over all texts of docs."""
 
     def run(batches):
-        lexicon = Lexicon(head.value)
-        keys = sums = np.zeros(0, np.int64)
+        lexicon, tables, held = Lexicon(head.value), [], 0
         for part in slices(batches, limit=LOCAL_BYTES):
-            stream = np.concatenate([[END], symbols_of(lexicon([t.lower().split() for t in texts_of(part)])[:, 0])])
-            keys, sums = merge(keys, sums, *np.unique(gram_keys(stream), return_counts=True))
-            if len(keys) >= LOCAL_KEYS:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
-                keys = sums = np.zeros(0, np.int64)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["key", "n"])
+            place, _ = lexicon([t.lower().split() for t in texts_of(part)])
+            tables.append(np.unique(gram_keys(np.concatenate([[END], symbols_of(place)])), return_counts=True))
+            held += len(tables[-1][0])
+            if held >= LOCAL_KEYS:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, merged(tables))], names=["key", "n"])
+                tables, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(tables))], names=["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -260,14 +275,14 @@ def score(docs: DataFrame, training=None) -> DataFrame:
         own = np.concatenate([np.zeros(min(SYMBOLS, len(ns))), np.log10(np.maximum(ns[SYMBOLS:] - less, 1e-9) / mass), [0.0, 0.0]])
         for part in slices(batches, limit=LOCAL_BYTES):
             texts = [t.lower().split() for t in texts_of(part)]
-            tokens = lexicon(texts)
-            place, rest = tokens[:, 0], tokens[:, 0] == -1
+            place, hashes = lexicon(texts)
+            rest = place == -1
             size = np.array([len(ws) + 1 for ws in texts])
             first = np.cumsum(size) - size
             known = np.where(place == -2, 1 if n_docs else 0, place >= 0).astype(np.int64)
             sums = lambda x: pa.array(np.add.reduceat(x, first))
             lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int32), first))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(tokens[rest, 1]))
+            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(hashes[rest]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), sums(known), sums(base_of[place]), sums(model.log10(symbols_of(place)) + own[place]), tail], names=out.names)
 
     scored = materialize(docs.select("doc_id", "text").mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
