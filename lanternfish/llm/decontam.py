@@ -254,22 +254,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs without contamination: hit runs of more than max_span words leave the text, and a document of whose words
     more than max_coverage are hit leaves whole. Documents without a hit come back as they were."""
     names = docs.columns
-    told = match(docs, benchmark, window)
-    told = told.where(n_hit() <= max_coverage * F.col("n_words"))
-    schema = docs.schema
+    rows = docs.select(F.struct(*names).alias("_row"), "text")  # so that no column clashes with what matching adds
+    told = match(rows, benchmark, window).where(n_hit() <= max_coverage * F.col("n_words"))
 
     def run(batches):
         for b in batches:
-            texts, runs = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("hit_runs")).to_pylist()
+            rows, texts, runs = b.column(0), b.column(1), b.column(2).to_pylist()
             if any(runs):
                 ts = texts.to_pylist()
                 for i, r in enumerate(runs):
                     if r:
                         ts[i] = clean_text(ts[i], [(x["start"], x["end"]) for x in r if x["end"] - x["start"] > max_span])
                 texts = pa.array(ts, pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(b.schema.get_field_index(c)) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([rows, texts], names=["_row", "text"])
 
-    return told.select(*names, "hit_runs").mapInArrow(run, schema)
+    got = told.select("_row", "text", "hit_runs").mapInArrow(run, StructType([rows.schema["_row"], rows.schema["text"]]))
+    return got.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names))
 
 
 def items_digest() -> F.Column:

@@ -45,7 +45,7 @@ class Features:
         if not ws:
             return np.zeros(0, np.int64)
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > 100_000:
             memo.clear()
         pairs = []
         for w in ws:

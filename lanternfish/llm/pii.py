@@ -127,7 +127,7 @@ def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for w in set(t.translate(_FOLD).split()):
                     h = memo.get(w)
                     if h is None:
-                        if len(memo) > 400_000:
+                        if len(memo) > 150_000:
                             memo.clear()
                         h = xxhash.xxh64_intdigest(w)
                         h = memo[w] = h if flags[h & mask] else 0
