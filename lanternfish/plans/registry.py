@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "web", "history")
+MODULES = ("detection", "evidence", "web", "history")
 
 
 def _modules():
