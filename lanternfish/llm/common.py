@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one slice of an Arrow batch holds at most (a single longer text is a slice).
 SLICE_CHARS = 2_000_000
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +44,23 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, column pruning stays,
     and every later read survives a lost executor."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))  # texts are long: batches of fewer rows
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and what one stage needed is not the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with bounded text, so that memory does not follow the batch size."""
     for batch in batches:
@@ -57,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             total += int(n)
         if batch.num_rows > start:
             yield batch.slice(start)
+    release()
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

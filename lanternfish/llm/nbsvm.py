@@ -33,29 +33,48 @@ def _shape(w: bytes) -> bytes:
     return core[:4] + b"~" + (tail[0][-3:] if tail else b"")
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Features:
     """Hashed n-gram indicators of a text, sorted and distinct."""
 
+    MEMO = 100_000
+
     def __init__(self, bits: int = BITS):
         self.mask = np.uint64((1 << bits) - 1)
-        self.memo: dict[bytes, tuple[int, int]] = {}
+        self._forget()
+
+    def _forget(self):
+        self.numbers, self.hashes, self.shapes = _Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def __call__(self, text: bytes) -> np.ndarray:
         ws = text.split()
         if not ws:
             return np.zeros(0, np.int64)
-        memo = self.memo
-        if len(memo) > 100_000:
-            memo.clear()
-        pairs = []
-        for w in ws:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = (zlib.crc32(w), zlib.crc32(_shape(w), 7))
-            pairs.append(got)
-        both = np.array(pairs, dtype=np.uint64)
-        word, shape = both[:, 0], both[:, 1].copy()
-        shape[1:] ^= np.where(word[1:] == word[:-1], np.uint64(0x5BD1E995), np.uint64(0))
+        if len(self.numbers) > self.MEMO:
+            self._forget()
+        ids = np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws))
+        if fresh := self.numbers.fresh:
+            self.numbers.fresh = []
+            room = len(self.numbers)
+            if room > len(self.hashes):  # grown by doubling
+                grown = np.zeros(max(room, 2 * len(self.hashes)), np.uint64)
+                self.hashes, self.shapes = np.concatenate([self.hashes, grown[len(self.hashes) :]]), np.concatenate([self.shapes, grown[len(self.shapes) :]])
+            self.hashes[room - len(fresh) : room] = [zlib.crc32(w) for w in fresh]
+            self.shapes[room - len(fresh) : room] = [zlib.crc32(_shape(w), 7) for w in fresh]
+        word, shape = self.hashes[ids], self.shapes[ids]
+        shape[1:] ^= np.where(ids[1:] == ids[:-1], np.uint64(0x5BD1E995), np.uint64(0))
         out = [self._fold(word, 1), self._fold(shape, 2)]
         if len(ws) > 1:
             out.append(self._fold(shape[:-1] * np.uint64(31) + shape[1:], 3))
