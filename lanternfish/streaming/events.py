@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Events that always or never count, that only the latest of counts, and what others are told apart by.
 CRITICAL = ("scan_started", "scan_completed", "scan_failed", "scan_error", "scan_stopped", "artifact_batch_ready", "scan_progress")
@@ -101,7 +102,7 @@ def transitions(states: DataFrame) -> DataFrame:
 def batches(log: DataFrame, max_rows: int = 200, max_chars: int = 1_048_576) -> DataFrame:
     """log (scan_id, seq, payload) plus batch: greedy packing in order, a batch holding max_rows events and max_chars (1,024
     and each payload's length with 20) at most, and one event at least. The running sums are an Arrow fold per scan."""
-    schema = log.schema.add("batch", "long")
+    schema = StructType([*log.schema.fields, StructField("batch", LongType())])
     at = [log.schema.names.index(c) for c in ("scan_id", "payload")]
 
     def run(it: Iterator):
