@@ -171,3 +171,32 @@ def test_query_equals_sql(spark, sf, name):
     mine = sorted(str([rnd(x[c]) for c in cols]) for x in df.collect())
     theirs = sorted(str([rnd(x[names.index(c)]) for c in cols]) for x in r.fetchall())
     assert cols == sorted(names) and mine == theirs
+
+
+def test_archive_records(spark, tmp_path):
+    from lanternfish.operators import recovery as V
+
+    good = V.member("https://h/x", "2024-01-02T03:04:05Z", "é".encode(), "text/html; charset=utf-8")
+    cases = {"good": good, "junk": b"no archive here", "two": good + good, "image": V.member("u", "2024", b"x", "image/png"), "bad": V.member("u", "2024", b"\xff", "text/plain"), "empty": b""}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["problem"]) for r in V.records(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got == {"good": ("é", None), "junk": (None, "not gzip"), "two": (None, "not one member"), "image": (None, "type"), "bad": (None, "charset"), "empty": (None, "not one member")}
+    assert V.record(good)["captured"] == "20240102030405" and V.record(good, "https://other")["problem"] == "other uri"
+
+
+def test_bisection():
+    from lanternfish.operators import recovery as V
+
+    first, last, sick = dt.date(2024, 1, 1), dt.date(2024, 1, 16), dt.date(2024, 1, 6)
+    good, bad = V.bisect(first, last, lambda a, b: a <= sick <= b)
+    days = [a + dt.timedelta(days=i) for a, b in good for i in range((b - a).days + 1)]
+    assert bad == [(sick, sick)] and len(days) == 15 and len(set(days)) == 15
+    assert V.bisect(first, last, lambda a, b: True, budget=1)[1] == [(first, dt.date(2024, 1, 8)), (dt.date(2024, 1, 9), last)]
+
+
+def test_script_strings():
+    from lanternfish.operators import recovery as V
+
+    js = 'var s = "//# sourceMappingURL=no";\n/* var c = "a" + "b"; */\nconst k = "a\\u0062" + "c";\n//# sourceMappingURL=x.map\n'
+    assert V.map_reference(js) == "x.map" and V.literal_strings(js) == [("k", "abc", 3)]
