@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("detection", "evidence", "web", "history", "recovered")
+MODULES = ("detection", "evidence", "web", "history", "recovered", "scans")
 
 
 def _modules():
