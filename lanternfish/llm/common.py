@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one slice of an Arrow batch holds at most (a single longer text is a slice).
 SLICE_CHARS = 2_000_000
-#: Rows of an Arrow batch while a table is written.
-BATCH_ROWS = 1_000
+#: Rows of an Arrow batch at most: rows are whole texts, and batches are held on both sides of the pipe to Python.
+BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -41,16 +41,19 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/lanternfish/{tag}-{uuid.uuid4().hex}"
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches lowered to BATCH_ROWS if they are larger. The setting stays: plans are read when they run."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, column pruning stays,
     and every later read survives a lost executor."""
-    path, conf = scratch_path(df.sparkSession, tag), df.sparkSession.conf
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))  # texts are long: batches of fewer rows
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(_BATCH, before)
+    path = scratch_path(df.sparkSession, tag)
+    lean(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +103,7 @@ def map_texts(df: DataFrame, add: Callable[[list[bytes]], dict[str, list | pa.Ar
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(fld.name for fld in fields)])
 
     need = list(dict.fromkeys([*keep, text]))
-    return df.select(*need).mapInArrow(run, out)
+    return lean(df).select(*need).mapInArrow(run, out)
 
 
 def filter_flags(df: DataFrame, name: str, bits: int) -> np.ndarray:

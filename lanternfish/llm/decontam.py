@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SLICE_CHARS, materialize, slices, texts_of
+from .common import SLICE_CHARS, lean, materialize, slices, texts_of
 
 WINDOW = 10
 #: Words of one automaton at most: about 2 states and 3 transitions each, near 60 MB.
@@ -194,14 +194,22 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
     keep = [c for c in docs.columns if c not in ("n_words", "hit_runs", "items")]
     base = StructType([docs.schema[c] for c in keep])
     out = StructType([*base.fields, *StructType.fromDDL(EXTRA).fields])
-    df = docs.select(*keep).withColumns({"n_words": F.lit(0).cast("long"), "hit_runs": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
-    spark = docs.sparkSession
-    for number, block in enumerate(_at_least_one(blocks(benchmark, block_words, window))):
-        if number:
-            df = materialize(df, "decontam")
-        told = spark.sparkContext.broadcast((block, window))
-        df = df.select(*out.names).mapInArrow(_pass(told, uuid.uuid4().hex, out.names), out)
-    return df
+    return _passes(docs.select(*keep), benchmark, window, block_words, _pass, out)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, make, last_schema: StructType) -> DataFrame:
+    """One map over docs for each block of items; make gives the last one's function."""
+    df = lean(docs).withColumns({"n_words": F.lit(0).cast("long"), "hit_runs": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
+    plain = StructType([*docs.schema.fields, *StructType.fromDDL(EXTRA).fields])
+    todo = _at_least_one(blocks(benchmark, block_words, window))
+    block = next(todo)
+    while block is not None:
+        after = next(todo, None)
+        told, name = docs.sparkSession.sparkContext.broadcast((block, window)), uuid.uuid4().hex
+        if after is None:
+            return df.select(*plain.names).mapInArrow(make(told, name, plain.names), last_schema)
+        df = materialize(df.select(*plain.names).mapInArrow(_pass(told, name, plain.names), plain), "decontam")
+        block = after
 
 
 def _at_least_one(it):
@@ -216,13 +224,17 @@ def _at_least_one(it):
 _BUILT: dict = {}
 
 
+def _automaton(told, name: str) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        items, window = told.value
+        _BUILT[name] = Automaton(items, window)
+    return _BUILT[name]
+
+
 def _pass(told, name, names):
     def run(batches):
-        if name not in _BUILT:
-            _BUILT.clear()
-            items, window = told.value
-            _BUILT[name] = Automaton(items, window)
-        a = _BUILT[name]
+        a = _automaton(told, name)
         for part in slices(batches, limit=SLICE_CHARS):
             counts, hits = occurrences(a, texts_of(part))
             col = lambda c: part.column(part.schema.get_field_index(c))
@@ -255,21 +267,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     more than max_coverage are hit leaves whole. Documents without a hit come back as they were."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), "text")  # so that no column clashes with what matching adds
-    told = match(rows, benchmark, window).where(n_hit() <= max_coverage * F.col("n_words"))
+    schema = StructType([rows.schema["_row"], rows.schema["text"]])
+    cuts = (max_span, max_coverage)
+    got = _passes(rows, benchmark, window, BLOCK_WORDS, lambda told, name, columns: _clean(told, name, cuts), schema)
+    return got.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names))
+
+
+def _clean(told, name, cuts):
+    """The last pass over (_row, text, n_words, hit_runs, items): matching and cutting in one."""
+    max_span, max_coverage = cuts
 
     def run(batches):
-        for b in batches:
-            rows, texts, runs = b.column(0), b.column(1), b.column(2).to_pylist()
-            if any(runs):
+        a = _automaton(told, name)
+        for part in slices(batches, limit=SLICE_CHARS):
+            counts, hits = occurrences(a, texts_of(part))
+            texts, before = part.column(1), part.column(3).to_pylist()
+            keep, cut = [True] * part.num_rows, {}
+            for d in {*hits, *(i for i, r in enumerate(before) if r)}:
+                runs = merge([(x["start"], x["end"]) for x in before[d]] + hits.get(d, ([], ()))[0])
+                keep[d] = sum(e - s for s, e in runs) <= max_coverage * counts[d]
+                cut[d] = [r for r in runs if r[1] - r[0] > max_span]
+            if cut:
                 ts = texts.to_pylist()
-                for i, r in enumerate(runs):
-                    if r:
-                        ts[i] = clean_text(ts[i], [(x["start"], x["end"]) for x in r if x["end"] - x["start"] > max_span])
+                for d, runs in cut.items():
+                    ts[d] = clean_text(ts[d], runs)
                 texts = pa.array(ts, pa.string())
-            yield pa.RecordBatch.from_arrays([rows, texts], names=["_row", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["_row", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    got = told.select("_row", "text", "hit_runs").mapInArrow(run, StructType([rows.schema["_row"], rows.schema["text"]]))
-    return got.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names))
+    return run
 
 
 def items_digest() -> F.Column:
