@@ -80,7 +80,7 @@ class Rule:
     confidence: float
     severity: str
     charset: str
-    keyword: str
+    keywords: tuple[str, ...]  # in lower case; every match holds one of them
 
     @property
     def generic(self) -> bool:
@@ -111,6 +111,18 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len).lower()
 
 
+#: Where a rule's literals are alternatives, all of them.
+_EITHER = {
+    "aws_access_key": ("akia", "asia"), "generic_api_key": ("api", "secret"), "stripe_key": ("sk_test_", "sk_live_", "pk_test_", "pk_live_"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "twitter_bearer_token": ("a" * 22,), "openai_api_key": ("t3blbkfj", "sk-proj-"), "shopify_access_token": ("shpat_", "shpss_", "shppa_", "shpca_"), "mapbox_token": ("pk.eyj", "sk.eyj"),
+}
+
+
+def keywords(rule: str, pattern: str) -> tuple[str, ...]:
+    literal = required_literal(pattern)
+    return _EITHER.get(rule, (literal,) if literal else ())
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    return tuple(Rule(r, i, p, g, c, s, k, required_literal(p)) for i, (r, p, g, c, s, k) in enumerate(_TABLE, 1))
+    return tuple(Rule(r, i, p, g, c, s, k, keywords(r, p)) for i, (r, p, g, c, s, k) in enumerate(_TABLE, 1))
