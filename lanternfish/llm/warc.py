@@ -105,8 +105,6 @@ def write_captures(captures: DataFrame, path: str, date: str = "2024-01-01T00:00
 def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row a record of the manifest's files, read as streams. Payload digests are computed from what was read.
     Without payloads only their lengths and digests are kept."""
-    from urllib.parse import urlparse  # noqa: F401
-
     def run(batches):
         rows = []
         for b in batches:
