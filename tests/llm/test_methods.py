@@ -315,6 +315,47 @@ def test_near_duplicates_are_found(spark):
     assert pairs > 60 and missed <= 0.03 * pairs
 
 
+def test_near_duplicate_groups_against_all_pairs(spark, monkeypatch):
+    """Large groups whose members are alike to few others, at similarities just over 0.8, around one frequent passage."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    common = [word() for _ in range(70)]
+    texts = ["tie " * 6, "tie " * 9, "a b", "a c"]
+    for _ in range(4):  # chains: a text is alike to the one before it, hardly to others
+        w = [word() for _ in range(50)]
+        for _ in range(100):
+            w = list(w)
+            for _ in range(2):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(common + w))
+    for _ in range(150):  # the passage with a pair's own words
+        own = [word() for _ in range(r.choice((16, 20, 60, 150)))]
+        other = list(own)
+        other[r.randrange(len(own))] = word()
+        texts += [" ".join(common + own), " ".join(common + other)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            c = len(x & sets[j])
+            if c >= 0.8 * (len(x) + len(sets[j]) - c):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = [find(i) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SPLIT", 8, raising=False)
+    got = list(range(len(texts)))
+    for x in neardup.groups(docs).collect():
+        got[x["doc"]] = x["first"]["doc"]
+    assert [i for i, x in enumerate(want) if got[i] != x] == []
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
 
