@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
     the session is a single process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lanternfish-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -54,7 +55,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and every later read survives a lost executor."""
     path = scratch_path(df.sparkSession, tag)
     lean(df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote; for when all that is made from them has been written itself."""
+    for t in tables:
+        if path := t.__dict__.pop("scratch", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
@@ -135,7 +146,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = materialize(large.distinct(), tag)
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialize(small.distinct(), tag)
+        now, old = materialize(small.distinct(), tag), now
+        discard(down, large, least, old)
         after = mark(now)
         if after == seen:
             break

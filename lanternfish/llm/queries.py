@@ -81,10 +81,10 @@ SQL = {}
 SQL["op1_line_dedup"] = r"""
 with l as (select doc_id, k - 1 as k, list_filter(regexp_split_to_array(translate(ln, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from (select doc_id, unnest(string_split(text, chr(10))) as ln, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)),
-u as (select doc_id, k, ws, array_to_string(ws, ' ') as t from l where len(ws) >= 5),
+u as (select doc_id, k, ws, array_to_string(ws, ' ') as t from l where len(ws) > 0),
 d as (select t, any_value(ws) as ws, min({'d': doc_id, 'k': k}) as place from u group by 1),
-s as (select t, place, t as v, 0 as p from d union all
-      select t, place, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, len(ws))), ' ') as v, p from (select *, unnest(range(1, len(ws) + 1)) as p from d)),
+s as (select t, place, t as v, 0 as p from d where len(ws) >= 5 union all
+      select t, place, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, len(ws))), ' ') as v, p from (select *, unnest(range(1, len(ws) + 1)) as p from d where len(ws) >= 5)),
 g as (select v, p, min(place) as m from s group by 1, 2),
 a as (select v, min(case when p > 0 then m end) as other, min(case when p = 0 then m end) as self from g group by 1),
 near as (select distinct t from s join g using (v, p) join a using (v) where (p > 0 and (m < place or self < place)) or (p = 0 and other < place)),

@@ -259,7 +259,7 @@ def test_pii_terms(spark):
 
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(5)
-    pool = [[r.choice(["oak", "elm", "fir", "ash", "yew"]) for _ in range(n)] for n in (5, 6, 8, 9)]
+    pool = [[r.choice(["oak", "elm", "fir", "ash", "yew"]) for _ in range(n)] for n in (1, 2, 4, 5, 6, 8, 9)]
     docs = []
     for i in range(60):
         ls = []
@@ -268,7 +268,7 @@ def test_line_dedup_against_all_pairs(spark):
             op = r.randrange(4)
             if op == 1:
                 w[r.randrange(len(w))] = r.choice("abcdefgh") * 3
-            elif op == 2:
+            elif op == 2 and len(w) > 1:
                 del w[r.randrange(len(w))]
             elif op == 3:
                 w.insert(r.randrange(len(w) + 1), r.choice("klm") * 3)
@@ -280,13 +280,17 @@ def test_line_dedup_against_all_pairs(spark):
         want[i] = []
         for k, line in enumerate(t.split("\n")):
             ws = lines.words(line.encode())
-            if len(ws) >= 5:
-                if any(lines.within_one(ws, o) for o in seen):
-                    want[i].append(k)
-                seen.append(ws)
+            if any(ws == o or (len(ws) >= 5 <= len(o) and lines.within_one(ws, o)) for o in seen):
+                want[i].append(k)
+            seen.append(ws)
     assert got == want
 
 
+def test_short_lines_repeat_once(spark):
+    docs = spark.createDataFrame([(2, "Yes, we do.\n\nown line here"), (1, "yes, WE  do.\nYes, we do."), (3, "yes, we do not.")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["removed"], r["text"]) for r in lines.dedup(docs).collect()} == {1: ([1], "yes, WE  do."), 2: ([0], "\nown line here"), 3: ([], "yes, we do not.")}
+
+
 def _jaccard(a, b):
     s = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
     return len(s[0] & s[1]) / len(s[0] | s[1])
