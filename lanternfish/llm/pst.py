@@ -1,22 +1,20 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Symbols are the SYMBOLS most frequent training words, one for all other words and an end mark. Counts of a symbol after
-each context of up to DEPTH symbols are gathered from all training texts as one distributed table and rolled up by
-dropping the oldest symbol. A context stays if what follows it differs from what follows its suffix: if the divergence,
-weighted by the context's count, passes a likelihood-ratio test; where more pass than the model has room for, those of
-the largest divergence stay. Distributions are smoothed towards the longest retained suffix. Scoring walks the tree's
-automaton, whose states are the longest suffixes; the stream of symbols is cut into lanes with DEPTH symbols of run-up,
-so that one array operation moves thousands of states at once.
-
-Within the symbol of the other words a word has its discounted share of their exact counts; what the discount takes is
-the share of the one event "a word not met in training". The events are thus those of the unigram base, which has the
-same counts: V words and an unknown one. A fixed number of the most frequent words is broadcast, the counts of the rest
-are joined.
+The tree is grown a level at a time, as distributed tables. A context of d words is a candidate if it occurs LEAST times,
+which the table of the level above tells; only what follows candidates is counted. A candidate stays if what follows it
+differs from what follows its suffix: if the divergence, weighted by the context's count, passes a likelihood-ratio test.
+All that pass stay, so the tree grows with the corpus. Distributions are smoothed by absolute discounting: what is taken off
+the counts after a context goes to the distribution of its longest retained suffix, at the root to the one event "a word not
+met in training". The events are thus those of the unigram base, which has the same counts: V words and an unknown one. A word is scored in the state of the longest retained suffix of what
+stands before it, back to the start of its text.
+
+Words are 64-bit hashes, contexts hashes folded from theirs, so that no alphabet bounds the tree. The contexts that occur
+most are broadcast up to MODEL entries; positions in rarer ones are sent to a join with the rest. Either way every retained
+context counts. In the same way a fixed number of the most frequent words is broadcast and the counts of the rest are joined.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from functools import reduce
 from itertools import chain
@@ -24,51 +22,60 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, slices, texts_of
+from .common import discard, filter_flags, materialize, slices, texts_of
 
-DEPTH, BITS = 2, 10
-ABSENT, END, RARE, FIRST = 0, 1, 2, 3
-SYMBOLS = (1 << BITS) - FIRST
-#: Contexts of the model at most, least count of one and critical value of the test beyond the test's own spread.
-CONTEXTS, LEAST, CRITICAL = 4_000, 30, 20.0
-#: Most frequent words that are broadcast (16 bytes each).
-HEAD = 200_000
+#: Words of a context at most, least count of one and critical value of the test beyond the test's own spread.
+DEPTH, LEAST, CRITICAL = 3, 30, 20.0
+#: Most frequent words (16 bytes each) and entries of the most frequent contexts (16 bytes each) that are broadcast.
+HEAD, MODEL = 200_000, 3_000_000
+#: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
+FILTER_BITS = 23
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
 LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 3_000_000, 2_000_000
-LANES = 1024
+TURN = 21
+#: The end mark's hash: that of the empty string, which no word is.
+END = int(np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64))
 
 
-def gram_keys(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Keys of all positions after the first: up to depth symbols of context, none before the last end mark, then the
-    symbol itself in the lowest bits, the oldest in the highest."""
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context (signed) with one more, newer word."""
+    c = context.view(np.uint64)
+    return ((c << np.uint64(TURN)) | (c >> np.uint64(64 - TURN))).view(np.int64) ^ word
+
+
+def longer_column(context: Column, word: Column) -> Column:
+    return F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN)).bitwiseXOR(word)
+
+
+def contexts(stream: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For contexts of 1 to depth words (hash, whether it is there) before each position after the first. Nothing stands
+    before an end mark, which counts as a word of the context itself."""
     n = len(stream)
-    if n < 2:
-        return np.zeros(0, np.int64)
     last = np.maximum.accumulate(np.where(stream == END, np.arange(n), -1))
-    room = np.arange(1, n) - last[:-1]  # symbols of context from the end mark on
-    key = stream[1:].astype(np.int64)
-    for k in range(1, depth + 1):
-        before = np.zeros(n - 1, np.int64)
-        before[k - 1 :] = stream[: n - k]
-        key |= np.where(room >= k, before, ABSENT) << (BITS * k)
-    return key
+    room = np.arange(1, n) - last[:-1]
+    out, now = [], stream
+    for d in range(1, depth + 1):
+        out.append((now[:-1], room >= d))
+        now = np.concatenate([now[:1], longer(now[:-1], stream[1:])])
+    return out
 
 
 def signed(h) -> np.ndarray:
     return np.fromiter(h, dtype=np.uint64).view(np.int64)
 
 
-def merged(tables: list[tuple[np.ndarray, np.ndarray]]):
-    """Sum of tables of counts, sorted by key."""
-    k = np.concatenate([k for k, _ in tables])
+def merged(tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sum of tables (key, context, word, count)."""
+    k, ctx, nxt, n = (np.concatenate(c) for c in zip(*tables))
     o = np.argsort(k, kind="stable")
-    k, n = k[o], np.concatenate([n for _, n in tables])[o]
+    k = k[o]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[starts], np.add.reduceat(n, starts)
+    first = o[starts]
+    return k[starts], ctx[first], nxt[first], np.add.reduceat(n[o], starts)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ class Lexicon:
         self._forget()
 
     def _forget(self):
-        self.numbers, self.place, self.hash = _Numbers(), np.array([-2]), np.array([0])
+        self.numbers, self.place, self.hash = _Numbers(), np.array([-2]), np.array([END])
 
     def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of every word, texts in a row, each closed by its end."""
@@ -129,121 +136,134 @@ class Lexicon:
         return self.place[ids], self.hash[ids]
 
 
-def symbols_of(place: np.ndarray) -> np.ndarray:
-    return np.where(place == -2, END, np.where((place >= 0) & (place < SYMBOLS), place + FIRST, RARE))
+def _streams(head):
+    """part -> (places, hashes) of all its words in a row, each text closed by an end mark."""
+    lexicon = Lexicon(head.value)
+    return lambda part: lexicon([t.lower().split() for t in texts_of(part)])
 
 
-def count_grams(docs: DataFrame, head) -> DataFrame:
-    """(key, n): counts of contexts with the symbol that follows, over all texts of docs."""
+def count_grams(docs: DataFrame, head, candidates: DataFrame, d: int) -> DataFrame:
+    """(ctx, nxt, n): counts of the words that follow contexts of d words, of those that a filter of candidates lets through."""
+    told = docs.sparkSession.sparkContext.broadcast(filter_flags(candidates, "ctx", FILTER_BITS))
 
     def run(batches):
-        lexicon, tables, held = Lexicon(head.value), [], 0
+        streams, flags, tables, held = _streams(head), told.value, [], 0
+
+        def table():
+            _, ctx, nxt, n = merged(tables)
+            return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(nxt), pa.array(n)], names=["ctx", "nxt", "n"])
+
         for part in slices(batches, limit=LOCAL_BYTES):
-            place, _ = lexicon([t.lower().split() for t in texts_of(part)])
-            tables.append(np.unique(gram_keys(np.concatenate([[END], symbols_of(place)])), return_counts=True))
+            stream = np.concatenate([[END], streams(part)[1]])
+            ctx, there = contexts(stream, d)[-1]
+            at = np.flatnonzero(there & (flags[ctx & ((1 << FILTER_BITS) - 1)] > 0))
+            ctx, nxt = ctx[at], stream[1:][at]
+            tables.append(merged([(longer(ctx, nxt), ctx, nxt, np.ones(len(at), np.int64))]) if len(at) else (ctx, ctx, nxt, nxt))
             held += len(tables[-1][0])
             if held >= LOCAL_KEYS:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, merged(tables))], names=["key", "n"])
+                yield table()
                 tables, held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(tables))], names=["key", "n"])
+            yield table()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "ctx long, nxt long, n long").groupBy("ctx", "nxt").agg(F.sum("n").alias("n"))
 
 
-def retained(grams: DataFrame, contexts: int = CONTEXTS, least: int = LEAST, critical: float = CRITICAL) -> list[tuple[tuple[int, ...], dict[int, int]]]:
-    """(context, {next symbol: count}) of the contexts that stay, the empty one first."""
-    low = lambda d: (1 << (BITS * d)) - 1
-    level = {DEPTH: grams}
-    for d in range(DEPTH - 1, -1, -1):
-        level[d] = materialize(level[d + 1].select(F.col("key").bitwiseAND(low(d + 1)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), "pst")
-    # a context of d symbols has its oldest one; shorter ones, cut off by an end mark, belong to their own level
-    whole = {d: level[d].where(F.col("key") >= 1 << (BITS * d)).select(F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(low(1)).cast("int").alias("nxt"), "n", F.col("key").bitwiseAND(low(d)).alias("up")) for d in range(1, DEPTH + 1)}
-    chosen = []
-    for d in range(1, DEPTH + 1):
-        total = whole[d].groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-        parent = level[d - 1].select(F.col("key").alias("up"), F.col("n").alias("pn"))
-        above = level[d - 1].groupBy(F.shiftright("key", BITS).alias("uctx")).agg(F.sum("n").alias("pall"))
-        own = whole[d].join(total, "ctx").join(parent, "up").withColumn("uctx", F.col("ctx").bitwiseAND(low(d - 1))).join(above, "uctx")
-        gain = own.groupBy("ctx").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("pn") / F.col("pall")))).alias("gain"), F.count("*").alias("k"))
+def discount(once: int, twice: int) -> float:
+    """Absolute discounting's estimate from how many were met once and twice."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def grow(learned: DataFrame, head, words: DataFrame, n_docs: int, less: float, depth: int = DEPTH, least: int = LEAST, critical: float = CRITICAL) -> tuple[DataFrame, DataFrame]:
+    """(contexts, entries), written tables of what stays. contexts: ctx, seen (its count), k (different followers), alpha (log10
+    of what words not met after it keep of their probability after the suffix). entries: ctx, nxt, seen, lp (log10 probability of
+    nxt after ctx), lb (log10 of that at the root). `less` is the root's discount."""
+    spark = learned.sparkSession
+    end = spark.createDataFrame([(END, n_docs)], "key long, n long").where("n > 0")
+    total = float((words.agg(F.sum("n")).first()[0] or 0) + n_docs)
+    root = (F.col("n") - less) / total if total else F.lit(1.0)
+    level = words.unionByName(end).select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("key").alias("nxt"), "n", F.lit(total).alias("seen"), root.alias("q"), root.alias("q0"))
+    kept, entries, done = [], [], []
+    for d in range(1, depth + 1):
+        heavy = level.where(F.col("n") >= least)
+        if d == 1:
+            own = heavy.select(F.col("nxt").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("n").alias("seen"))
+        else:
+            up = F.col("nxt") if d == 2 else longer_column(F.col("up"), F.col("nxt"))
+            own = heavy.where(F.col("nxt") != END).select(longer_column(F.col("ctx"), F.col("nxt")).alias("ctx"), up.alias("up"), F.col("n").alias("seen"))
+        own = materialize(own, "lm-candidates")
+        grams = materialize(count_grams(learned, head, own, d), "lm-grams")
+        above = level.select(F.col("ctx").alias("up"), "nxt", F.col("n").alias("pn"), F.col("seen").alias("pseen"), F.col("q").alias("pq"), "q0")
+        rows = materialize(grams.join(own, "ctx").join(above, ["up", "nxt"]), "lm-rows")
+        off = discount(*rows.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
+        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("seen")) / (F.col("pn") / F.col("pseen"))))
         # twice the gain is about chi-square with k degrees of freedom if the suffix tells as much
-        chosen.append(gain.where(2 * F.col("gain") > critical + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).select(F.lit(d).alias("d"), "ctx", "gain"))
-    picked = materialize(reduce(DataFrame.unionByName, chosen).orderBy(F.desc("gain"), "d", "ctx").limit(contexts), "pst-chosen")
-    rows = [level[0].select(F.lit(0).alias("d"), F.lit(0).cast("long").alias("ctx"), F.col("key").cast("int").alias("nxt"), "n")]
-    for d in range(1, DEPTH + 1):  # `contexts` contexts of at most 2 ** BITS symbols each
-        rows.append(whole[d].join(F.broadcast(picked.where(F.col("d") == d).select("ctx")), "ctx").select(F.lit(d).alias("d"), "ctx", "nxt", "n"))
-    t = reduce(DataFrame.unionByName, rows).toArrow().sort_by([("d", "ascending"), ("ctx", "ascending"), ("nxt", "ascending")]).to_pydict()
-    tree: dict[tuple[int, ...], dict[int, int]] = {(): {}}
-    for d, c, x, n in zip(t["d"], t["ctx"], t["nxt"], t["n"]):
-        tree.setdefault(tuple((c >> (BITS * k)) & low(1) for k in range(d - 1, -1, -1)), {})[x] = n
-    return sorted(tree.items(), key=lambda x: (len(x[0]), x[0]))
-
-
-class Model:
-    """The tree's automaton: state -> next state and log10 probability of each symbol."""
-
-    def __init__(self, tree):
-        size = 1 << BITS
-        base = np.zeros(size)
-        base[END:] = 0.01
-        for x, n in tree[0][1].items():
-            base[x] += n
-        dists, place = [base / base.sum()], {(): 0}
-        for ctx, after in tree[1:]:
-            up = next(place[ctx[i:]] for i in range(1, len(ctx) + 1) if ctx[i:] in place)
-            d = dists[up] * max(1, len(after))  # as much of the suffix's as there are different followers
-            d[list(after)] += list(after.values())
-            place[ctx] = len(dists)
-            dists.append(d / d.sum())
-        with np.errstate(divide="ignore"):
-            self.logs = np.log10(np.array(dists)).astype(np.float32)
-        names = sorted({ctx[:i] for ctx, _ in tree for i in range(len(ctx) + 1)}, key=lambda c: (len(c), c))
-        states = {c: i for i, c in enumerate(names)}
-        self.step, self.dist = np.zeros((len(names), size), np.int32), np.zeros(len(names), np.int32)
-        children: dict[tuple[int, ...], list[int]] = {}
-        for c in names[1:]:
-            children.setdefault(c[:-1], []).append(c[-1])
-        for i, c in enumerate(names):
-            if c:  # the longest proper suffix that is a state answers where no longer context goes on
-                up = states[next(c[k:] for k in range(1, len(c) + 1) if c[k:] in states)]
-                self.step[i], self.dist[i] = self.step[up], place.get(c, self.dist[up])
-            for x in children.get(c, ()):
-                self.step[i, x] = states[(*c, x)]
-        self.size, self.start = size, int(self.step[0, END])
-
-    def log10(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol, the first standing after an end mark."""
-        n = len(symbols)
-        if not n:
-            return np.zeros(0)
-        steps = max(64, -(-n // LANES))
-        lanes, run_up = -(-n // steps), DEPTH + 1
-        padded = np.full(run_up + lanes * steps, END, np.int64)
-        padded[run_up : run_up + n] = symbols
-        grid = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, run_up + steps)[::steps].T)
-        state = np.full(lanes, self.start, np.int64)
-        out = np.empty((steps, lanes), np.float32)
-        flat, logs = self.step.ravel(), self.logs.ravel()
-        for k in range(run_up + steps):
-            if k >= run_up:
-                out[k - run_up] = logs[self.dist[state] * self.size + grid[k]]
-            state = flat[state * self.size + grid[k]]
-        return out.T.ravel()[:n].astype(np.float64)
-
-
-_MODELS: dict = {}
-
-
-def model_of(name: str, told) -> Model:
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(told.value)
-    return _MODELS[name]
-
-
-def score(docs: DataFrame, training=None) -> DataFrame:
+        told = rows.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("k"), F.first("seen").alias("seen"))
+        told = materialize(told.select("ctx", "seen", "k", (2 * F.col("gain") > critical + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).alias("stays")), "lm-told")
+        q = F.when(F.col("stays"), (F.col("n") - off + off * F.col("k") * F.col("pq")) / F.col("seen")).otherwise(F.col("pq"))
+        now = rows.join(told.drop("seen"), "ctx").select("ctx", "up", "nxt", "n", "seen", q.alias("q"), "q0", "stays")
+        now = materialize(now if d < depth else now.where("stays"), "lm-level")
+        discard(own, grams, rows, *done)
+        done = [now]
+        kept.append(told.where("stays").select("ctx", "seen", "k", F.log10(F.lit(off) * F.col("k") / F.col("seen")).alias("alpha")))
+        entries.append(materialize(now.where("stays").select("ctx", "nxt", "seen", F.log10("q").alias("lp"), F.log10("q0").alias("lb")), "lm-entries"))
+        level = now
+    discard(*done)
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
+
+
+def _bin(seen: str = "seen") -> Column:
+    return F.floor(F.log2(F.col(seen).cast("double")) * 16)
+
+
+def split_at(contexts: DataFrame, room: int) -> int:
+    """The least bin of counts from which on all contexts together have `room` entries at most. A suffix counts no less than
+    what it ends, so what is above is a tree of its own."""
+    used, cut = 0, 1 << 20
+    for r in contexts.groupBy(_bin().alias("bin")).agg(F.sum("k").alias("k")).orderBy(F.desc("bin")).collect():  # a thousand bins at most
+        used += r["k"]
+        if used > room:
+            break
+        cut = r["bin"]
+    return cut
+
+
+class Tree:
+    """The contexts that are broadcast, as sorted arrays."""
+
+    def __init__(self, ctx: np.ndarray, alpha: np.ndarray, key: np.ndarray, lp: np.ndarray, lb: np.ndarray):
+        self.ctx, self.alpha, self.key, self.lp, self.lb = ctx, alpha, key, lp, lb
+
+    @staticmethod
+    def find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether it is there) of x in a sorted table."""
+        if not len(table):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+        return at, table[at] == x
+
+    def log10(self, stream: np.ndarray, root: np.ndarray, rare: np.ndarray, told: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 probability of each position after the first, by the states told (see `contexts`); of a rare word what is to be added to its
+        figure at the root, which is not known here."""
+        out, open_ = np.zeros(len(root)), np.ones(len(root), bool)
+        for ctx, there in reversed(told):
+            rows = np.flatnonzero(open_ & there)
+            at, is_state = self.find(self.ctx, ctx[rows])
+            rows, at = rows[is_state], at[is_state]
+            where, met = self.find(self.key, longer(ctx[rows], stream[1:][rows]))
+            out[rows[~met]] += self.alpha[at[~met]]
+            rows, where = rows[met], where[met]
+            out[rows] += self.lp[where] - np.where(rare[rows], self.lb[where], 0)
+            open_[rows] = False
+        return out + np.where(open_, root, 0.0)
+
+
+PENDING = "pos int, d int, ctx long, key long, lp double, rare boolean"
+
+
+def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; `training` says which rows are
-    learned from (default: all).
+    learned from (default: all). `room` bounds what is broadcast of the tree; it does not change a score.
 
     Null text counts as empty: one token, the end. With nothing to learn from every word is unknown. Repeated rows count
     and score each; a null doc_id is a row like any other; further columns are ignored."""
@@ -254,45 +274,72 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     words = materialize(count_words(learned), "lm-words")
     total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, v = total + n_docs, distinct + (1 if n_docs else 0)
-    z = float(np.log10(n + 0.1 * (v + 1)))
+    z, less, whole = float(np.log10(n + 0.1 * (v + 1))), discount(once, twice), float(max(n, 1))
     top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     keys, ns = top["key"].to_numpy(), top["n"].to_numpy()
     head, counts = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(ns)
-    tree = retained(materialize(count_grams(learned, head), "lm-grams"))
-    told, name = spark.sparkContext.broadcast(tree), uuid.uuid4().hex
-    rare_n, rare_v = total - int(ns[:SYMBOLS].sum()), distinct - min(distinct, SYMBOLS)
-    less = once / (once + 2 * twice) if once and twice else 0.5  # absolute discounting's estimate
-    mass = float(max(rare_n, 1))
-    unknown = float(np.log10(max(less * rare_v, less) / mass)) if rare_n else 0.0
-    unmet = -z - 1.0  # the base's figure for a word not met
-    end_base = float(np.log10(n_docs + 0.1)) - z
-    out = StructType.fromDDL("doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>")
+    states, entries = grow(learned, head, words, n_docs, less)
+    cut = split_at(states, room)
+    near = states.where(_bin() >= cut).select("ctx", F.col("alpha").cast("float")).toArrow().sort_by("ctx")
+    pair = longer_column(F.col("ctx"), F.col("nxt")).alias("key")
+    close = entries.where(_bin() >= cut).select(pair, F.col("lp").cast("float"), F.col("lb").cast("float")).toArrow().sort_by("key")  # `room` rows at most
+    tree = spark.sparkContext.broadcast(Tree(near["ctx"].to_numpy(), near["alpha"].to_numpy(), *(close[c].to_numpy() for c in ("key", "lp", "lb"))))
+    far = states.where(_bin() < cut).select("ctx", "alpha")
+    rest = spark.sparkContext.broadcast(filter_flags(far, "ctx", FILTER_BITS))
+    # figures of a word not met and of the end, in the base and at the root
+    unmet, unmet_root = -z - 1.0, float(np.log10(less * max(v, 1) / whole)) if n else 0.0
+    end_base, end_root = float(np.log10(n_docs + 0.1)) - z, float(np.log10((n_docs - less) / whole)) if n_docs else unmet_root
+    out = StructType.fromDDL(f"doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>, pending array<struct<{PENDING.replace(' ', ':').replace(',:', ',')}>>")
     out.fields[0] = docs.schema["doc_id"]
+    kind = pa.struct([("pos", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("key", pa.int64()), ("lp", pa.float64()), ("rare", pa.bool_())])
 
     def run(batches):
-        model, lexicon, ns = model_of(name, told), Lexicon(head.value), counts.value
+        streams, ns, model, flags = _streams(head), counts.value, tree.value, rest.value
         base_of = np.concatenate([np.log10(ns + 0.1) - z, [end_base, 0.0]])  # places -2: end, -1: joined later
-        own = np.concatenate([np.zeros(min(SYMBOLS, len(ns))), np.log10(np.maximum(ns[SYMBOLS:] - less, 1e-9) / mass), [0.0, 0.0]])
+        root_of = np.concatenate([np.log10((ns - less) / whole), [end_root, 0.0]])
         for part in slices(batches, limit=LOCAL_BYTES):
-            texts = [t.lower().split() for t in texts_of(part)]
-            place, hashes = lexicon(texts)
-            rest = place == -1
-            size = np.array([len(ws) + 1 for ws in texts])
-            first = np.cumsum(size) - size
+            place, hashes = streams(part)
+            stream = np.concatenate([[END], hashes])
+            told, rare, base = contexts(stream, DEPTH), place == -1, base_of[place]
+            lp = model.log10(stream, root_of[place], rare, told)
+            ends = np.flatnonzero(place == -2)
+            first = np.concatenate([[0], ends[:-1] + 1])
             known = np.where(place == -2, 1 if n_docs else 0, place >= 0).astype(np.int64)
             sums = lambda x: pa.array(np.add.reduceat(x, first))
-            lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int32), first))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(hashes[rest]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), sums(known), sums(base_of[place]), sums(model.log10(symbols_of(place)) + own[place]), tail], names=out.names)
+            lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int32), first))]).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(hashes[rare]))
+            pos, depth, ctxs = [], [], []
+            for d, (ctx, there) in enumerate(told, 1):
+                p = np.flatnonzero(there & (flags[ctx & ((1 << FILTER_BITS) - 1)] > 0))
+                p = p[~model.find(model.ctx, ctx[p])[1]]
+                pos.append(p)
+                depth.append(np.full(len(p), d, np.int32))
+                ctxs.append(ctx[p])
+            p, dd, cc = np.concatenate(pos), np.concatenate(depth), np.concatenate(ctxs)
+            o = np.argsort(p, kind="stable")
+            p, dd, cc = p[o], dd[o], cc[o]
+            row = np.searchsorted(ends, p)
+            edges = np.searchsorted(row, np.arange(len(ends) + 1)).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array((p - first[row]).astype(np.int32)), pa.array(dd), pa.array(cc), pa.array(longer(cc, stream[1:][p])), pa.array(lp[p]), pa.array(rare[p])], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - first + 1), sums(known), sums(base), sums(lp), tail, pa.ListArray.from_arrays(pa.array(edges), found)], names=out.names)
 
     scored = materialize(docs.select("doc_id", "text").mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     # the other words: no one of them is among the HEAD most frequent, so no key of this join is hot
-    rest = scored.select("row", F.explode("tail").alias("key"))
+    others = scored.select("row", F.explode("tail").alias("key"))
     met = F.col("n").isNotNull()
-    sums = rest.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(unmet)).alias("more_base"),
-        F.sum(F.when(met, F.log10((F.col("n") - less) / mass)).otherwise(unknown)).alias("more_score"), F.count("n").alias("more"))
+    sums = others.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(unmet)).alias("more_base"),
+                                                                      F.sum(F.when(met, F.log10((F.col("n") - less) / whole)).otherwise(unmet_root)).alias("more_score"), F.count("n").alias("more"))
+    # positions after the other contexts: those too are none of the most frequent
+    far_entries = entries.where(_bin() < cut).select(pair, F.col("lp").alias("elp"), F.col("lb").alias("elb"))
+    sent = scored.where(F.size("pending") > 0).select("row", F.inline("pending")).join(far, "ctx").join(far_entries, "key", "left")
+    given = F.col("elp") - F.when(F.col("rare"), F.col("elb")).otherwise(0.0)
+    at = lambda d, c: F.max(F.when(F.col("d") == d, c))
+    by = sent.groupBy("row", "pos").agg(F.first("lp").alias("lp"), *(at(d, given).alias(f"e{d}") for d in range(1, DEPTH + 1)), *(F.coalesce(at(d, F.col("alpha")), F.lit(0.0)).alias(f"a{d}") for d in range(1, DEPTH + 1)))
+    value = F.col("lp")
+    for d in range(1, DEPTH + 1):  # the longest context that met the word speaks, longer ones lower its figure
+        value = F.coalesce(F.col(f"e{d}"), value + F.col(f"a{d}"))
+    moved = by.groupBy("row").agg(F.sum(value - F.col("lp")).alias("moved"))
     zero = F.lit(0.0)
-    return scored.drop("tail").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+    got = scored.drop("tail", "pending").join(sums, "row", "left").join(moved, "row", "left")
+    return got.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
+                      (F.col("score") + F.coalesce("more_score", zero) + F.coalesce("moved", zero)).alias("score"))
