@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 #: Rows of an Arrow batch at most: rows are whole texts, and batches are held on both sides of the pipe to Python.
 BATCH_ROWS = 500
+#: Bytes of a row group of an intermediate table: what a writing task holds. (Tables are zstd: snappy's buffers lie outside
+#: the heap, and nothing collects them before the heap is full.)
+ROW_GROUP = 32 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -54,7 +57,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, column pruning stays,
     and every later read survives a lost executor."""
     path = scratch_path(df.sparkSession, tag)
-    lean(df).write.parquet(path)
+    lean(df).write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -117,14 +120,19 @@ def map_texts(df: DataFrame, add: Callable[[list[bytes]], dict[str, list | pa.Ar
     return lean(df).select(*need).mapInArrow(run, out)
 
 
-def filter_flags(df: DataFrame, name: str, bits: int) -> np.ndarray:
-    """2 ** bits flags (a byte each): those at the low bits of a long column's values are set. The size is fixed; what
+def filter_bits(df: DataFrame, name: str, bits: int) -> np.ndarray:
+    """2 ** bits flags, eight a byte: those at the low bits of a long column's values are set. The size is fixed; what
     many values set makes the filter let more through, never less."""
     slot = F.col(name).bitwiseAND((1 << bits) - 1)
     cells = df.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("set")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[cells["cell"].to_numpy()] = cells["set"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little")
+    return words.view(np.uint8)
+
+
+def flags_of(packed: np.ndarray) -> np.ndarray:
+    """Those flags, a byte each."""
+    return np.unpackbits(packed, bitorder="little")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:

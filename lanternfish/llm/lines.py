@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filter_flags, materialize, slices, texts_of
+from .common import discard, filter_bits, flags_of, materialize, slices, texts_of
 
 #: Words of a line from which on one edit makes no other line of it; shorter ones go as exact repeats alone.
 LEAST_WORDS = 5
@@ -106,10 +106,10 @@ def _place():
 def _texts_of_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(id, lo, hi, words) of the lines whose lo is in wanted, numbered in the order of their earliest places. Tasks pass on
     what a filter of fixed size lets through, each line once a slice; the join removes the rest."""
-    told = docs.sparkSession.sparkContext.broadcast(filter_flags(wanted, "lo", FILTER_BITS))
+    told = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "lo", FILTER_BITS))
 
     def run(batches):
-        flags, mask = told.value, (1 << FILTER_BITS) - 1
+        flags, mask = flags_of(told.value), (1 << FILTER_BITS) - 1
         for part in slices(batches):
             lo, hi, row, number, text, seen = [], [], [], [], [], set()
             doc = part.column(0).to_pylist()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import filter_flags, materialize, slices, texts_of
+from .common import filter_bits, flags_of, materialize, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near, least number of different contexts, share of the entity's
@@ -118,10 +118,10 @@ def scan(docs: DataFrame) -> DataFrame:
 def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): in how many texts of docs each of terms occurs. Tasks sum up what passes a filter of fixed size made
     from all of terms; the join after it removes what passed by chance."""
-    told = docs.sparkSession.sparkContext.broadcast(filter_flags(terms, "term", FILTER_BITS))
+    told = docs.sparkSession.sparkContext.broadcast(filter_bits(terms, "term", FILTER_BITS))
 
     def run(batches):
-        flags, mask, memo, sums = told.value, (1 << FILTER_BITS) - 1, {}, {}
+        flags, mask, memo, sums = flags_of(told.value), (1 << FILTER_BITS) - 1, {}, {}
         for part in slices(batches):
             for t in texts_of(part):
                 for w in set(t.translate(_FOLD).split()):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, filter_flags, materialize, slices, texts_of
+from .common import discard, filter_bits, flags_of, materialize, slices, texts_of
 
 #: Words of a context at most, least count of one and critical value of the test beyond the test's own spread.
 DEPTH, LEAST, CRITICAL = 3, 30, 20.0
@@ -144,10 +144,10 @@ def _streams(head):
 
 def count_grams(docs: DataFrame, head, candidates: DataFrame, d: int) -> DataFrame:
     """(ctx, nxt, n): counts of the words that follow contexts of d words, of those that a filter of candidates lets through."""
-    told = docs.sparkSession.sparkContext.broadcast(filter_flags(candidates, "ctx", FILTER_BITS))
+    told = docs.sparkSession.sparkContext.broadcast(filter_bits(candidates, "ctx", FILTER_BITS))
 
     def run(batches):
-        streams, flags, tables, held = _streams(head), told.value, [], 0
+        streams, flags, tables, held = _streams(head), flags_of(told.value), [], 0
 
         def table():
             _, ctx, nxt, n = merged(tables)
@@ -285,7 +285,7 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     close = entries.where(_bin() >= cut).select(pair, F.col("lp").cast("float"), F.col("lb").cast("float")).toArrow().sort_by("key")  # `room` rows at most
     tree = spark.sparkContext.broadcast(Tree(near["ctx"].to_numpy(), near["alpha"].to_numpy(), *(close[c].to_numpy() for c in ("key", "lp", "lb"))))
     far = states.where(_bin() < cut).select("ctx", "alpha")
-    rest = spark.sparkContext.broadcast(filter_flags(far, "ctx", FILTER_BITS))
+    rest = spark.sparkContext.broadcast(filter_bits(far, "ctx", FILTER_BITS))
     # figures of a word not met and of the end, in the base and at the root
     unmet, unmet_root = -z - 1.0, float(np.log10(less * max(v, 1) / whole)) if n else 0.0
     end_base, end_root = float(np.log10(n_docs + 0.1)) - z, float(np.log10((n_docs - less) / whole)) if n_docs else unmet_root
@@ -294,7 +294,7 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     kind = pa.struct([("pos", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("key", pa.int64()), ("lp", pa.float64()), ("rare", pa.bool_())])
 
     def run(batches):
-        streams, ns, model, flags = _streams(head), counts.value, tree.value, rest.value
+        streams, ns, model, flags = _streams(head), counts.value, tree.value, flags_of(rest.value)
         base_of = np.concatenate([np.log10(ns + 0.1) - z, [end_base, 0.0]])  # places -2: end, -1: joined later
         root_of = np.concatenate([np.log10((ns - less) / whole), [end_root, 0.0]])
         for part in slices(batches, limit=LOCAL_BYTES):
