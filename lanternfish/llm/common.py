@@ -63,6 +63,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled at every size: what grows with the corpus is not to be broadcast while it is small."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` wrote; for when all that is made from them has been written itself."""
     for t in tables:

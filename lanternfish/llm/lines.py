@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filter_bits, flags_of, materialize, slices, texts_of
+from .common import discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
 
 #: Words of a line from which on one edit makes no other line of it; shorter ones go as exact repeats alone.
 LEAST_WORDS = 5
@@ -129,7 +129,7 @@ def _texts_of_lines(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(_signed(lo)), pa.array(_signed(hi)), part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()), pa.array(text, pa.binary())], names=["lo", "hi", "doc", "sig", "line", "words"])
 
-    got = _named(docs).mapInArrow(run, "lo long, hi long, doc long, sig long, line int, words binary").join(wanted, "lo", "left_semi")
+    got = _named(docs).mapInArrow(run, "lo long, hi long, doc long, sig long, line int, words binary").join(shuffled(wanted), "lo", "left_semi")
     first = got.groupBy("lo", "hi").agg(F.min(F.struct(_place().alias("place"), "words")).alias("m"))
     return first.select("lo", "hi", "m.*").orderBy("place").select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "words")
 
@@ -170,7 +170,7 @@ def removals(docs: DataFrame, least: int = LEAST_WORDS, tag: str = "lines") -> D
     repeated = materialize(repeated, tag)
     keyed = rows.select("lo", F.explode("halves").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("key"), tag)
-    wanted = materialize(keyed.join(shared, "key", "left_semi").select("lo").distinct(), tag)
+    wanted = materialize(keyed.join(shuffled(shared), "key", "left_semi").select("lo").distinct(), tag)
     lines = materialize(_texts_of_lines(docs, wanted, least), tag)
     sent = materialize(_variant_rows(lines), tag)
     discard(shared, wanted)
@@ -178,16 +178,16 @@ def removals(docs: DataFrame, least: int = LEAST_WORDS, tag: str = "lines") -> D
     selves = own.where("at = -1").select("v", F.col("m").alias("self"))
     others = own.where("at >= 0").groupBy("v").agg(F.min("m").alias("other"))
     # what each variant's members are held against: the earliest at their place or the line that the variant is
-    best = own.join(selves, "v", "left").join(others, "v", "left").where("(at >= 0 and (c > 1 or self is not null)) or (at = -1 and other is not null)")
+    best = own.join(shuffled(selves), "v", "left").join(shuffled(others), "v", "left").where("(at >= 0 and (c > 1 or self is not null)) or (at = -1 and other is not null)")
     best = materialize(best.select("v", "at", F.when(F.col("at") >= 0, F.least("m", "self")).otherwise(F.col("other")).alias("b")), tag)
-    met = materialize(sent.join(best, ["v", "at"]).where("b < id").groupBy("id").agg(F.min("b").alias("b")), tag)
+    met = materialize(sent.join(shuffled(best), ["v", "at"]).where("b < id").groupBy("id").agg(F.min("b").alias("b")), tag)
     discard(own, sent, best)
-    pairs = met.join(lines, "id").join(lines.select(F.col("id").alias("b"), F.col("words").alias("earlier")), "b")
+    pairs = shuffled(met).join(lines, "id").join(shuffled(lines.select(F.col("id").alias("b"), F.col("words").alias("earlier"))), "b")
     near = materialize(_verified(pairs), tag)
     discard(met, lines)
     gone = repeated.withColumn("near", F.lit(False)).unionByName(near.select("lo", "hi", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
     gone = gone.groupBy("lo", "hi").agg(F.max("near").alias("near"), F.max("first").alias("first"))
-    hit = rows.select("lo", "hi", "doc", "sig", "line").join(gone, ["lo", "hi"]).where(F.col("near") | ~_place().eqNullSafe(F.col("first")))
+    hit = rows.select("lo", "hi", "doc", "sig", "line").join(shuffled(gone), ["lo", "hi"]).where(F.col("near") | ~_place().eqNullSafe(F.col("first")))
     out = materialize(hit.groupBy("doc", "sig").agg(F.array_sort(F.collect_set("line")).alias("removed")), tag)  # one document's lines
     discard(rows, repeated, near)
     return out
@@ -203,7 +203,7 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "removed")]
     gone = removals(docs, least).select("sig", "doc", F.col("removed").alias("lost"))
     base = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("own_sig"), F.col("doc_id").cast("long").alias("own_doc"))
-    got = base.join(gone, F.col("own_sig").eqNullSafe(F.col("sig")) & F.col("own_doc").eqNullSafe(F.col("doc")), "left")
+    got = base.join(shuffled(gone), F.col("own_sig").eqNullSafe(F.col("sig")) & F.col("own_doc").eqNullSafe(F.col("doc")), "left")
     lines = F.split("row.text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lost", i)), "\n")
     text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(kept)
