@@ -1,16 +1,19 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The tree is grown a level at a time, as distributed tables. A context of d words is a candidate if it occurs LEAST times,
-which the table of the level above tells; only what follows candidates is counted. A candidate stays if what follows it
-differs from what follows its suffix: if the divergence, weighted by the context's count, passes a likelihood-ratio test.
-All that pass stay, so the tree grows with the corpus. Distributions are smoothed by absolute discounting: what is taken off
-the counts after a context goes to the distribution of its longest retained suffix, at the root to the one event "a word not
-met in training". The events are thus those of the unigram base, which has the same counts: V words and an unknown one. A word is scored in the state of the longest retained suffix of what
-stands before it, back to the start of its text.
-
-Words are 64-bit hashes, contexts hashes folded from theirs, so that no alphabet bounds the tree. The contexts that occur
-most are broadcast up to MODEL entries; positions in rarer ones are sent to a join with the rest. Either way every retained
-context counts. In the same way a fixed number of the most frequent words is broadcast and the counts of the rest are joined.
+Symbols are the training words met OFTEN times or more, one for all other words, and an end mark; texts are written down once as
+symbols. The tree is grown from them a level at a time, as distributed tables. A context of d symbols is a candidate if it occurs
+LEAST times, which the table of the level above tells; only what follows candidates is counted. A candidate stays if what
+follows it differs from what follows its suffix: if the divergence, weighted by the context's count, passes a likelihood-ratio
+test. All that pass stay, so the tree grows with the corpus. Distributions are smoothed by absolute discounting: what is taken
+off the counts after a context goes to the distribution of its longest retained suffix. A symbol is scored in the state of the
+longest retained suffix of what stands before it, back to the start of its text.
+
+Within the symbol of the other words a word has its discounted share of their exact counts; what the discount takes is
+the share of the one event "a word not met in training". The events are thus those of the unigram base, which has the
+same counts: V words and an unknown one.
+
+The contexts that occur most are broadcast up to MODEL entries; positions in rarer ones are sent to a join with the rest. Either
+way every retained context counts. In the same way the HEAD most frequent words are broadcast and the counts of the rest are joined.
 """
 
 from __future__ import annotations
@@ -26,56 +29,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, filter_bits, flags_of, materialize, slices, texts_of
-
-#: Words of a context at most, least count of one and critical value of the test beyond the test's own spread.
-DEPTH, LEAST, CRITICAL = 3, 30, 20.0
-#: Most frequent words (16 bytes each) and entries of the most frequent contexts (16 bytes each) that are broadcast.
-HEAD, MODEL = 200_000, 3_000_000
+from .common import discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
+
+#: Symbols of a context at most, bits of a symbol.
+DEPTH, BITS = 3, 16
+ABSENT, END, RARE, FIRST = 0, 1, 2, 3
+#: Least count of a word that is a symbol of its own, symbols at most (what BITS hold).
+OFTEN, SYMBOLS = 500, (1 << BITS) - FIRST
+#: Least count of a context and critical value of the test beyond the test's own spread.
+LEAST, CRITICAL = 150, 20.0
+#: Most frequent words (16 bytes each) and entries of the most frequent contexts (12 bytes each) that are broadcast.
+HEAD, MODEL = 200_000, 4_000_000
 #: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
 FILTER_BITS = 23
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
 LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 3_000_000, 2_000_000
-TURN = 21
-#: The end mark's hash: that of the empty string, which no word is.
-END = int(np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64))
-
-
-def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context (signed) with one more, newer word."""
-    c = context.view(np.uint64)
-    return ((c << np.uint64(TURN)) | (c >> np.uint64(64 - TURN))).view(np.int64) ^ word
-
-
-def longer_column(context: Column, word: Column) -> Column:
-    return F.shiftleft(context, TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - TURN)).bitwiseXOR(word)
+LOW = (1 << BITS) - 1
 
 
 def contexts(stream: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For contexts of 1 to depth words (hash, whether it is there) before each position after the first. Nothing stands
-    before an end mark, which counts as a word of the context itself."""
+    """For contexts of 1 to depth symbols (their number, oldest highest; whether it is there) before each position after the
+    first. Nothing stands before an end mark, which counts as a symbol of the context itself."""
     n = len(stream)
     last = np.maximum.accumulate(np.where(stream == END, np.arange(n), -1))
     room = np.arange(1, n) - last[:-1]
-    out, now = [], stream
+    out, now = [], stream.astype(np.int64)
     for d in range(1, depth + 1):
         out.append((now[:-1], room >= d))
-        now = np.concatenate([now[:1], longer(now[:-1], stream[1:])])
+        older = np.zeros(n, np.int64)
+        older[d:] = stream[: n - d]
+        now = now | older << (BITS * d)
     return out
 
 
+def slot(x):
+    """Where a context stands in a filter."""
+    return (x ^ (x >> 19) ^ (x >> 37)) & ((1 << FILTER_BITS) - 1)
+
+
+def slot_column(x: Column) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, 19)).bitwiseXOR(F.shiftright(x, 37)).bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def _filter(states: DataFrame) -> np.ndarray:
+    return filter_bits(states.select(slot_column(F.col("ctx")).alias("slot")), "slot", FILTER_BITS)
+
+
 def signed(h) -> np.ndarray:
     return np.fromiter(h, dtype=np.uint64).view(np.int64)
 
 
-def merged(tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Sum of tables (key, context, word, count)."""
-    k, ctx, nxt, n = (np.concatenate(c) for c in zip(*tables))
+def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of tables of counts, sorted by key."""
+    k = np.concatenate([k for k, _ in tables])
     o = np.argsort(k, kind="stable")
-    k = k[o]
+    k, n = k[o], np.concatenate([n for _, n in tables])[o]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    first = o[starts]
-    return k[starts], ctx[first], nxt[first], np.add.reduceat(n[o], starts)
+    return k[starts], np.add.reduceat(n, starts)
+
+
+def discount(once: int, twice: int) -> float:
+    """Absolute discounting's estimate from how many were met once and twice."""
+    return once / (once + 2 * twice) if once and twice else 0.5
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -118,7 +133,7 @@ class Lexicon:
         self._forget()
 
     def _forget(self):
-        self.numbers, self.place, self.hash = _Numbers(), np.array([-2]), np.array([END])
+        self.numbers, self.place, self.hash = _Numbers(), np.array([-2]), np.array([0])
 
     def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of every word, texts in a row, each closed by its end."""
@@ -136,84 +151,70 @@ class Lexicon:
         return self.place[ids], self.hash[ids]
 
 
-def _streams(head):
-    """part -> (places, hashes) of all its words in a row, each text closed by an end mark."""
-    lexicon = Lexicon(head.value)
-    return lambda part: lexicon([t.lower().split() for t in texts_of(part)])
+def symbols_in(batch: pa.RecordBatch, name: str = "symbols") -> np.ndarray:
+    """The symbols of all rows in a row, after an end mark."""
+    parts = batch.column(batch.schema.get_field_index(name)).to_pylist()
+    return np.concatenate([[END], np.frombuffer(b"".join(parts), np.uint16)]).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, head, candidates: DataFrame, d: int) -> DataFrame:
-    """(ctx, nxt, n): counts of the words that follow contexts of d words, of those that a filter of candidates lets through."""
-    told = docs.sparkSession.sparkContext.broadcast(filter_bits(candidates, "ctx", FILTER_BITS))
+def count_grams(coded: DataFrame, candidates: DataFrame | None, d: int) -> DataFrame:
+    """(up, key, n): counts of what follows contexts of d symbols, of those that a filter of candidates (ctx) lets through. key is the
+    context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level above has its row."""
+    told = None if candidates is None else coded.sparkSession.sparkContext.broadcast(_filter(candidates))
 
     def run(batches):
-        streams, flags, tables, held = _streams(head), flags_of(told.value), [], 0
+        flags, tables, held = None if told is None else flags_of(told.value), [], 0
 
         def table():
-            _, ctx, nxt, n = merged(tables)
-            return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(nxt), pa.array(n)], names=["ctx", "nxt", "n"])
+            key, n = merged(tables)
+            return pa.RecordBatch.from_arrays([pa.array(key & ((1 << BITS * d) - 1)), pa.array(key), pa.array(n)], names=["up", "key", "n"])
 
-        for part in slices(batches, limit=LOCAL_BYTES):
-            stream = np.concatenate([[END], streams(part)[1]])
+        for part in batches:
+            stream = symbols_in(part)
             ctx, there = contexts(stream, d)[-1]
-            at = np.flatnonzero(there & (flags[ctx & ((1 << FILTER_BITS) - 1)] > 0))
-            ctx, nxt = ctx[at], stream[1:][at]
-            tables.append(merged([(longer(ctx, nxt), ctx, nxt, np.ones(len(at), np.int64))]) if len(at) else (ctx, ctx, nxt, nxt))
-            held += len(tables[-1][0])
+            there = there if flags is None else there & (flags[slot(ctx)] > 0)
+            key, n = np.unique(ctx[there] << BITS | stream[1:][there], return_counts=True)
+            tables.append((key, n))
+            held += len(key)
             if held >= LOCAL_KEYS:
                 yield table()
                 tables, held = [], 0
         if held:
             yield table()
 
-    return docs.select("text").mapInArrow(run, "ctx long, nxt long, n long").groupBy("ctx", "nxt").agg(F.sum("n").alias("n"))
+    rows = coded.where("learn").select("symbols").mapInArrow(run, "up long, key long, n long")
+    return rows.repartition("up").groupBy("up", "key").agg(F.sum("n").alias("n"))
 
 
-def discount(once: int, twice: int) -> float:
-    """Absolute discounting's estimate from how many were met once and twice."""
-    return once / (once + 2 * twice) if once and twice else 0.5
-
-
-def grow(learned: DataFrame, head, words: DataFrame, n_docs: int, less: float, depth: int = DEPTH, least: int = LEAST, critical: float = CRITICAL) -> tuple[DataFrame, DataFrame]:
-    """(contexts, entries), written tables of what stays. contexts: ctx, seen (its count), k (different followers), alpha (log10
-    of what words not met after it keep of their probability after the suffix). entries: ctx, nxt, seen, lp (log10 probability of
-    nxt after ctx), lb (log10 of that at the root). `less` is the root's discount."""
-    spark = learned.sparkSession
-    end = spark.createDataFrame([(END, n_docs)], "key long, n long").where("n > 0")
-    total = float((words.agg(F.sum("n")).first()[0] or 0) + n_docs)
-    root = (F.col("n") - less) / total if total else F.lit(1.0)
-    level = words.unionByName(end).select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("key").alias("nxt"), "n", F.lit(total).alias("seen"), root.alias("q"), root.alias("q0"))
-    kept, entries, done = [], [], []
+def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(contexts, entries) of what stays. symbols (key, n) are all symbols' counts. contexts: ctx, seen (its count), k (different
+    followers), alpha (log10 of what symbols not met after it keep of their probability after the suffix). entries: key (ctx and
+    follower), seen, lp (log10 probability of the follower after ctx)."""
+    total = F.lit(float(symbols.agg(F.sum("n")).first()[0] or 1))
+    level = symbols.select("key", "n", total.alias("seen"), (F.col("n") / total).alias("q"))
+    kept, entries, candidates = [], [], None
     for d in range(1, depth + 1):
-        heavy = level.where(F.col("n") >= least)
-        if d == 1:
-            own = heavy.select(F.col("nxt").alias("ctx"), F.lit(0).cast("long").alias("up"), F.col("n").alias("seen"))
-        else:
-            up = F.col("nxt") if d == 2 else longer_column(F.col("up"), F.col("nxt"))
-            own = heavy.where(F.col("nxt") != END).select(longer_column(F.col("ctx"), F.col("nxt")).alias("ctx"), up.alias("up"), F.col("n").alias("seen"))
-        own = materialize(own, "lm-candidates")
-        grams = materialize(count_grams(learned, head, own, d), "lm-grams")
-        above = level.select(F.col("ctx").alias("up"), "nxt", F.col("n").alias("pn"), F.col("seen").alias("pseen"), F.col("q").alias("pq"), "q0")
-        rows = materialize(grams.join(own, "ctx").join(above, ["up", "nxt"]), "lm-rows")
-        off = discount(*rows.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
-        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("seen")) / (F.col("pn") / F.col("pseen"))))
+        above = level.select(F.col("key").alias("up"), F.col("n").alias("pn"), F.col("seen").alias("pseen"), F.col("q").alias("pq"))
+        above = F.broadcast(above) if d == 1 else shuffled(above)  # the symbols: 2 ** BITS rows at most
+        ctx = F.shiftrightunsigned("key", BITS).alias("ctx")
+        rows = materialize(count_grams(coded, candidates, d).join(above, "up").select(ctx, "key", "n", "pn", "pseen", "pq"), "lm-rows")
+        told = rows.groupBy("ctx").agg(F.sum("n").cast("double").alias("seen"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") * F.col("pseen") / F.col("pn"))).alias("g")).where(F.col("seen") >= LEAST)
         # twice the gain is about chi-square with k degrees of freedom if the suffix tells as much
-        told = rows.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("k"), F.first("seen").alias("seen"))
-        told = materialize(told.select("ctx", "seen", "k", (2 * F.col("gain") > critical + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).alias("stays")), "lm-told")
+        gain = F.col("g") - F.col("seen") * F.log("seen")
+        told = materialize(told.select("ctx", "seen", "k", (2 * gain > CRITICAL + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).alias("stays")), "lm-told")
+        fit = rows.join(told, "ctx")
+        off = discount(*fit.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
         q = F.when(F.col("stays"), (F.col("n") - off + off * F.col("k") * F.col("pq")) / F.col("seen")).otherwise(F.col("pq"))
-        now = rows.join(told.drop("seen"), "ctx").select("ctx", "up", "nxt", "n", "seen", q.alias("q"), "q0", "stays")
-        now = materialize(now if d < depth else now.where("stays"), "lm-level")
-        discard(own, grams, rows, *done)
-        done = [now]
+        level = materialize((fit if d < depth else fit.where("stays")).select("key", "n", "seen", q.alias("q"), "stays"), "lm-level")
+        discard(rows)
         kept.append(told.where("stays").select("ctx", "seen", "k", F.log10(F.lit(off) * F.col("k") / F.col("seen")).alias("alpha")))
-        entries.append(materialize(now.where("stays").select("ctx", "nxt", "seen", F.log10("q").alias("lp"), F.log10("q0").alias("lb")), "lm-entries"))
-        level = now
-    discard(*done)
+        entries.append(level.where("stays").select("key", "seen", F.log10("q").alias("lp")))
+        candidates = level.where((F.col("n") >= LEAST) & (F.col("key").bitwiseAND(LOW) != END)).select(F.col("key").alias("ctx"))
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
 
 
-def _bin(seen: str = "seen") -> Column:
-    return F.floor(F.log2(F.col(seen).cast("double")) * 16)
+def _bin() -> Column:
+    return F.floor(F.log2("seen") * 16)
 
 
 def split_at(contexts: DataFrame, room: int) -> int:
@@ -229,10 +230,10 @@ def split_at(contexts: DataFrame, room: int) -> int:
 
 
 class Tree:
-    """The contexts that are broadcast, as sorted arrays."""
+    """The contexts that are broadcast, as sorted arrays, and the symbols' own probabilities (log10)."""
 
-    def __init__(self, ctx: np.ndarray, alpha: np.ndarray, key: np.ndarray, lp: np.ndarray, lb: np.ndarray):
-        self.ctx, self.alpha, self.key, self.lp, self.lb = ctx, alpha, key, lp, lb
+    def __init__(self, root: np.ndarray, ctx: np.ndarray, alpha: np.ndarray, key: np.ndarray, lp: np.ndarray):
+        self.root, self.ctx, self.alpha, self.key, self.lp = root, ctx, alpha, key, lp
 
     @staticmethod
     def find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,23 +243,81 @@ class Tree:
         at = np.minimum(np.searchsorted(table, x), len(table) - 1)
         return at, table[at] == x
 
-    def log10(self, stream: np.ndarray, root: np.ndarray, rare: np.ndarray, told: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of each position after the first, by the states told (see `contexts`); of a rare word what is to be added to its
-        figure at the root, which is not known here."""
-        out, open_ = np.zeros(len(root)), np.ones(len(root), bool)
+    def log10(self, stream: np.ndarray, told: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 probability of each symbol after the first, in the states told (see `contexts`)."""
+        out, left = np.zeros(len(stream) - 1), np.arange(len(stream) - 1)
         for ctx, there in reversed(told):
-            rows = np.flatnonzero(open_ & there)
+            rows = left[there[left]]
             at, is_state = self.find(self.ctx, ctx[rows])
             rows, at = rows[is_state], at[is_state]
-            where, met = self.find(self.key, longer(ctx[rows], stream[1:][rows]))
-            out[rows[~met]] += self.alpha[at[~met]]
-            rows, where = rows[met], where[met]
-            out[rows] += self.lp[where] - np.where(rare[rows], self.lb[where], 0)
-            open_[rows] = False
-        return out + np.where(open_, root, 0.0)
+            where, met = self.find(self.key, ctx[rows] << BITS | stream[1:][rows])
+            out[rows] += np.where(met, self.lp[where] if len(self.lp) else 0.0, self.alpha[at])
+            done = np.zeros(len(out), bool)
+            done[rows[met]] = True
+            left = left[~done[left]]
+        out[left] += self.root[stream[1:][left]]
+        return out
+
+
+def encoded(docs: DataFrame, head, counts, n_symbols: int, z: float, end_base: float, known_end: int, own: tuple[float, float]) -> DataFrame:
+    """(doc_id, learn, symbols, n_tokens, n_known, base, own, tail): texts as symbols (16 bits each, an end mark last), sums of what the
+    head's words have in the base and within the symbol of other words, and the hashes of words that the head lacks."""
+    less, mass = own
+    out = StructType.fromDDL("doc_id long, learn boolean, symbols binary, n_tokens long, n_known long, base double, own double, tail array<long>")
+    out.fields[0] = docs.schema["doc_id"]
+
+    def run(batches):
+        lexicon, ns = Lexicon(head.value), counts.value
+        base_of = np.concatenate([np.log10(ns + 0.1) - z, [end_base, 0.0]])  # places -2: end, -1: joined later
+        own_of = np.concatenate([np.zeros(n_symbols), np.log10(np.maximum(ns[n_symbols:] - less, 1e-9) / mass), [0.0, 0.0]])
+        for part in slices(batches, limit=LOCAL_BYTES):
+            place, hashes = lexicon([t.lower().split() for t in texts_of(part)])
+            symbols = np.where(place == -2, END, np.where((place >= 0) & (place < n_symbols), place + FIRST, RARE)).astype(np.uint16)
+            rare = place == -1
+            ends = np.flatnonzero(place == -2)
+            first = np.concatenate([[0], ends[:-1] + 1])
+            known = np.where(place == -2, known_end, place >= 0).astype(np.int64)
+            sums = lambda x: pa.array(np.add.reduceat(x, first))
+            lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int32), first))]).astype(np.int32)
+            data = pa.array([symbols[a : b + 1].tobytes() for a, b in zip(first, ends)], pa.binary())
+            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(hashes[rare]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), data, pa.array(ends - first + 1), sums(known), sums(base_of[place]), sums(own_of[place]), tail], names=out.names)
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, out)
+
 
+PENDING = pa.struct([("pos", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("nxt", pa.int32()), ("lp", pa.float64())])
 
-PENDING = "pos int, d int, ctx long, key long, lp double, rare boolean"
+
+def walked(coded: DataFrame, tree, far: DataFrame) -> DataFrame:
+    """(row, lp, pending): sums of the symbols' log10 probabilities in the tree that is broadcast, and the positions that may stand in
+    one of the other contexts, far."""
+    rest = coded.sparkSession.sparkContext.broadcast(_filter(far))
+
+    def run(batches):
+        model, flags = tree.value, flags_of(rest.value)
+        for part in batches:
+            stream = symbols_in(part, "symbols")
+            told = contexts(stream, DEPTH)
+            lp = model.log10(stream, told)
+            ends = np.flatnonzero(stream[1:] == END)
+            first = np.concatenate([[0], ends[:-1] + 1])
+            pos, depth, ctxs = [], [], []
+            for d, (ctx, there) in enumerate(told, 1):
+                p = np.flatnonzero(there & (flags[slot(ctx)] > 0))
+                p = p[~model.find(model.ctx, ctx[p])[1]]
+                pos.append(p)
+                depth.append(np.full(len(p), d, np.int32))
+                ctxs.append(ctx[p])
+            p, d, c = np.concatenate(pos), np.concatenate(depth), np.concatenate(ctxs)
+            o = np.argsort(p, kind="stable")
+            p, d, c = p[o], d[o], c[o]
+            row = np.searchsorted(ends, p)
+            edges = np.searchsorted(row, np.arange(len(ends) + 1)).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array((p - first[row]).astype(np.int32)), pa.array(d), pa.array(c), pa.array(stream[1:][p].astype(np.int32)), pa.array(lp[p])], fields=list(PENDING))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(lp, first)), pa.ListArray.from_arrays(pa.array(edges), found)], names=["row", "lp", "pending"])
+
+    return coded.select("row", "symbols").mapInArrow(run, "row long, lp double, pending array<struct<pos:int,d:int,ctx:long,nxt:int,lp:double>>")
 
 
 def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
@@ -273,73 +332,45 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     n_docs = learned.count()
     words = materialize(count_words(learned), "lm-words")
     total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    n, v = total + n_docs, distinct + (1 if n_docs else 0)
-    z, less, whole = float(np.log10(n + 0.1 * (v + 1))), discount(once, twice), float(max(n, 1))
+    n, v, less = total + n_docs, distinct + (1 if n_docs else 0), discount(once, twice)
+    z = float(np.log10(n + 0.1 * (v + 1)))
     top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     keys, ns = top["key"].to_numpy(), top["n"].to_numpy()
+    n_symbols = min(SYMBOLS, int((ns >= OFTEN).sum()))
+    # the class of other words: their discounted shares, and the share of a word not met
+    others, other_words = total - int(ns[:n_symbols].sum()), distinct - n_symbols
+    mass = float(max(others, 1))
+    unknown = float(np.log10(max(less * other_words, less) / mass))
+    counted = [(END, n_docs), (RARE, max(others, 1)), *((FIRST + i, int(x)) for i, x in enumerate(ns[:n_symbols]))]
+    end_base = float(np.log10(n_docs + 0.1)) - z
     head, counts = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(ns)
-    states, entries = grow(learned, head, words, n_docs, less)
+    coded = encoded(docs, head, counts, n_symbols, z, end_base, 1 if n_docs else 0, (less, mass))
+    coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    states, entries = grow(coded, spark.createDataFrame([x for x in counted if x[1]], "key long, n long"))
     cut = split_at(states, room)
     near = states.where(_bin() >= cut).select("ctx", F.col("alpha").cast("float")).toArrow().sort_by("ctx")
-    pair = longer_column(F.col("ctx"), F.col("nxt")).alias("key")
-    close = entries.where(_bin() >= cut).select(pair, F.col("lp").cast("float"), F.col("lb").cast("float")).toArrow().sort_by("key")  # `room` rows at most
-    tree = spark.sparkContext.broadcast(Tree(near["ctx"].to_numpy(), near["alpha"].to_numpy(), *(close[c].to_numpy() for c in ("key", "lp", "lb"))))
+    close = entries.where(_bin() >= cut).select("key", F.col("lp").cast("float")).toArrow().sort_by("key")  # `room` rows at most
+    root = np.full(1 << BITS, -np.inf)
+    for x, m in counted:
+        root[x] = np.log10(max(m, 0.1) / max(sum(m for _, m in counted), 1))
+    tree = spark.sparkContext.broadcast(Tree(root, *(t[c].to_numpy() for t, c in ((near, "ctx"), (near, "alpha"), (close, "key"), (close, "lp")))))
     far = states.where(_bin() < cut).select("ctx", "alpha")
-    rest = spark.sparkContext.broadcast(filter_bits(far, "ctx", FILTER_BITS))
-    # figures of a word not met and of the end, in the base and at the root
-    unmet, unmet_root = -z - 1.0, float(np.log10(less * max(v, 1) / whole)) if n else 0.0
-    end_base, end_root = float(np.log10(n_docs + 0.1)) - z, float(np.log10((n_docs - less) / whole)) if n_docs else unmet_root
-    out = StructType.fromDDL(f"doc_id long, n_tokens long, n_known long, base double, score double, tail array<long>, pending array<struct<{PENDING.replace(' ', ':').replace(',:', ',')}>>")
-    out.fields[0] = docs.schema["doc_id"]
-    kind = pa.struct([("pos", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("key", pa.int64()), ("lp", pa.float64()), ("rare", pa.bool_())])
-
-    def run(batches):
-        streams, ns, model, flags = _streams(head), counts.value, tree.value, flags_of(rest.value)
-        base_of = np.concatenate([np.log10(ns + 0.1) - z, [end_base, 0.0]])  # places -2: end, -1: joined later
-        root_of = np.concatenate([np.log10((ns - less) / whole), [end_root, 0.0]])
-        for part in slices(batches, limit=LOCAL_BYTES):
-            place, hashes = streams(part)
-            stream = np.concatenate([[END], hashes])
-            told, rare, base = contexts(stream, DEPTH), place == -1, base_of[place]
-            lp = model.log10(stream, root_of[place], rare, told)
-            ends = np.flatnonzero(place == -2)
-            first = np.concatenate([[0], ends[:-1] + 1])
-            known = np.where(place == -2, 1 if n_docs else 0, place >= 0).astype(np.int64)
-            sums = lambda x: pa.array(np.add.reduceat(x, first))
-            lens = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int32), first))]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(lens), pa.array(hashes[rare]))
-            pos, depth, ctxs = [], [], []
-            for d, (ctx, there) in enumerate(told, 1):
-                p = np.flatnonzero(there & (flags[ctx & ((1 << FILTER_BITS) - 1)] > 0))
-                p = p[~model.find(model.ctx, ctx[p])[1]]
-                pos.append(p)
-                depth.append(np.full(len(p), d, np.int32))
-                ctxs.append(ctx[p])
-            p, dd, cc = np.concatenate(pos), np.concatenate(depth), np.concatenate(ctxs)
-            o = np.argsort(p, kind="stable")
-            p, dd, cc = p[o], dd[o], cc[o]
-            row = np.searchsorted(ends, p)
-            edges = np.searchsorted(row, np.arange(len(ends) + 1)).astype(np.int32)
-            found = pa.StructArray.from_arrays([pa.array((p - first[row]).astype(np.int32)), pa.array(dd), pa.array(cc), pa.array(longer(cc, stream[1:][p])), pa.array(lp[p]), pa.array(rare[p])], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - first + 1), sums(known), sums(base), sums(lp), tail, pa.ListArray.from_arrays(pa.array(edges), found)], names=out.names)
-
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = materialize(walked(coded, tree, far), "lm-walked")
     # the other words: no one of them is among the HEAD most frequent, so no key of this join is hot
-    others = scored.select("row", F.explode("tail").alias("key"))
     met = F.col("n").isNotNull()
-    sums = others.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(unmet)).alias("more_base"),
-                                                                      F.sum(F.when(met, F.log10((F.col("n") - less) / whole)).otherwise(unmet_root)).alias("more_score"), F.count("n").alias("more"))
+    rest = coded.select("row", F.explode("tail").alias("key")).join(shuffled(words), "key", "left").groupBy("row").agg(
+        F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(-z - 1.0)).alias("more_base"),
+        F.sum(F.when(met, F.log10((F.col("n") - less) / mass)).otherwise(unknown)).alias("more_own"), F.count("n").alias("more"))
     # positions after the other contexts: those too are none of the most frequent
-    far_entries = entries.where(_bin() < cut).select(pair, F.col("lp").alias("elp"), F.col("lb").alias("elb"))
-    sent = scored.where(F.size("pending") > 0).select("row", F.inline("pending")).join(far, "ctx").join(far_entries, "key", "left")
-    given = F.col("elp") - F.when(F.col("rare"), F.col("elb")).otherwise(0.0)
-    at = lambda d, c: F.max(F.when(F.col("d") == d, c))
-    by = sent.groupBy("row", "pos").agg(F.first("lp").alias("lp"), *(at(d, given).alias(f"e{d}") for d in range(1, DEPTH + 1)), *(F.coalesce(at(d, F.col("alpha")), F.lit(0.0)).alias(f"a{d}") for d in range(1, DEPTH + 1)))
+    far_entries = entries.where(_bin() < cut).select("key", F.col("lp").alias("e"))
+    sent = scored.where(F.size("pending") > 0).select("row", F.inline("pending")).join(shuffled(far), "ctx").withColumn("key", F.shiftleft("ctx", BITS).bitwiseOR(F.col("nxt"))).join(shuffled(far_entries), "key", "left")
+    at = lambda d, c: F.max(F.when(F.col("d") == d, F.col(c)))
+    by = sent.groupBy("row", "pos").agg(F.first("lp").alias("lp"), *(at(d, "e").alias(f"e{d}") for d in range(1, DEPTH + 1)), *(F.coalesce(at(d, "alpha"), F.lit(0.0)).alias(f"a{d}") for d in range(1, DEPTH + 1)))
     value = F.col("lp")
-    for d in range(1, DEPTH + 1):  # the longest context that met the word speaks, longer ones lower its figure
+    for d in range(1, DEPTH + 1):  # the longest context that met the symbol speaks, longer ones lower its figure
         value = F.coalesce(F.col(f"e{d}"), value + F.col(f"a{d}"))
     moved = by.groupBy("row").agg(F.sum(value - F.col("lp")).alias("moved"))
     zero = F.lit(0.0)
-    got = scored.drop("tail", "pending").join(sums, "row", "left").join(moved, "row", "left")
+    got = coded.drop("symbols", "tail", "learn").join(scored.select("row", "lp"), "row").join(rest, "row", "left").join(moved, "row", "left")
     return got.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-                      (F.col("score") + F.coalesce("more_score", zero) + F.coalesce("moved", zero)).alias("score"))
+                      (F.col("lp") + F.col("own") + F.coalesce("more_own", zero) + F.coalesce("moved", zero)).alias("score"))

@@ -161,58 +161,74 @@ def _words(t):
     return (t or "").encode().lower().split() + [None]
 
 
-def _tree(train):
-    """(root, states): the distributions that a plain reading of the method gives."""
-    after = {}
-    for ws in train:
-        for i, w in enumerate(ws):
-            past = (None, *ws[:i])
-            for d in range(min(len(past), pst.DEPTH) + 1):
-                after.setdefault(tuple(past[len(past) - d :]), Counter())[w] += 1
-    top = after[()]
-    total, less = sum(top.values()), pst.discount(*(sum(n == k for w, n in top.items() if w is not None) for k in (1, 2)))
-    root = lambda w: (top[w] - less if top[w] else less * len(top)) / total
-    often = {c: f for c, f in after.items() if c and sum(f.values()) >= pst.LEAST}
-    off = {d: pst.discount(*(sum(n == k for c, f in often.items() if len(c) == d for n in f.values()) for k in (1, 2))) for d in range(1, pst.DEPTH + 1)}
-    states = {}
-    for c, f in often.items():
-        n, up = sum(f.values()), after[c[1:]]
-        gain = sum(x * math.log((x / n) / (up[w] / sum(up.values()))) for w, x in f.items())
-        if 2 * gain > pst.CRITICAL + len(f) + 2 * math.sqrt(2 * len(f)):
-            states[c] = (f, n, off[len(c)])
-    return root, states
-
-
-def _probability(root, states, past, w):
-    c = next((past[i:] for i in range(len(past)) if past[i:] in states), None)
-    if c is None:
-        return root(w)
-    f, n, off = states[c]
-    return (max(f[w] - off, 0) + off * len(f) * _probability(root, states, c[1:], w)) / n
+class PlainTree:
+    """What a plain reading of the method gives: dictionaries and recursion."""
+
+    def __init__(self, train):
+        self.words = Counter(w for ws in train for w in ws)
+        after = {}
+        for ws in train:
+            xs = list(map(self.symbol, ws))
+            for i, x in enumerate(xs):
+                past = (None, *xs[:i])
+                for d in range(min(len(past), pst.DEPTH) + 1):
+                    after.setdefault(past[len(past) - d :], Counter())[x] += 1
+        self.top, often = after[()], {c: f for c, f in after.items() if c and sum(f.values()) >= pst.LEAST}
+        off = {d: pst.discount(*(sum(n == k for c, f in often.items() if len(c) == d for n in f.values()) for k in (1, 2))) for d in range(1, pst.DEPTH + 1)}
+        self.states = {}
+        for c, f in often.items():
+            n, up = sum(f.values()), after[c[1:]]
+            gain = sum(x * math.log((x / n) / (up[w] / sum(up.values()))) for w, x in f.items())
+            if 2 * gain > pst.CRITICAL + len(f) + 2 * math.sqrt(2 * len(f)):
+                self.states[c] = (f, n, off[len(c)])
+        rare = [n for w, n in self.words.items() if w is not None and n < pst.OFTEN]
+        self.less = pst.discount(*(sum(n == k for w, n in self.words.items() if w is not None) for k in (1, 2)))
+        self.mass, self.others = sum(rare), len(rare)
+
+    def symbol(self, w):
+        return w if w is None or self.words[w] >= pst.OFTEN else "rare"
+
+    def share(self, w):
+        if self.symbol(w) != "rare":
+            return 1.0
+        return (self.words[w] - self.less if self.words[w] else self.less * self.others) / self.mass
+
+    def probability(self, past, x):
+        c = next((past[i:] for i in range(len(past)) if past[i:] in self.states), None)
+        if c is None:
+            return self.top[x] / sum(self.top.values())
+        f, n, off = self.states[c]
+        return (max(f[x] - off, 0) + off * len(f) * self.probability(c[1:], x)) / n
+
+    def score(self, ws):
+        xs = [None, *map(self.symbol, ws)]
+        return sum(math.log10(self.probability(tuple(xs[max(0, i - pst.DEPTH) : i]), xs[i]) * self.share(ws[i - 1])) for i in range(1, len(xs)))
 
 
 @pytest.mark.parametrize("room", [pst.MODEL, 500, 0])
 def test_suffix_tree_against_brute_force(spark, sf, monkeypatch, room):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(pst, "HEAD", 300)
+    for name, x in (("HEAD", 3000), ("OFTEN", 20), ("LEAST", 25)):
+        monkeypatch.setattr(pst, name, x)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: _words(r["text"]) for r in docs.collect()}
-    root, states = _tree([ws for i, ws in rows.items() if i % 4])
-    assert {len(c) for c in states} == {1, 2, 3}
-    assert math.isclose(sum(root(w) for w in {w for i, ws in rows.items() if i % 4 for w in ws}) + root(b"not met"), 1)
+    plain = PlainTree([ws for i, ws in rows.items() if i % 4])
+    assert {len(c) for c in plain.states} == {1, 2, 3}
+    assert math.isclose(sum(map(plain.share, (w for w in plain.words if plain.symbol(w) == "rare"))) + plain.share(b"not met"), 1)
+    for past in [(), *list(plain.states)[::50]]:
+        assert math.isclose(sum(plain.probability(past, x) for x in plain.top), 1)
     got = {r["doc_id"]: r["score"] for r in pst.score(docs, F.col("doc_id") % 4 != 0, room).collect()}
     for i, ws in rows.items():
-        want = sum(math.log10(_probability(root, states, (None, *ws[:k])[-pst.DEPTH :], w)) for k, w in enumerate(ws))
-        assert math.isclose(got[i], want, rel_tol=1e-5)
+        assert math.isclose(got[i], plain.score(ws), rel_tol=1e-5)
 
 
 def test_contexts_of_a_stream():
     stream = np.array([pst.END, 5, 6, pst.END, 7, 8, 9], np.int64)
     told = pst.contexts(stream, 3)
     assert [there.tolist() for _, there in told] == [[True] * 6, [False, True, True, False, True, True], [False, False, True, False, False, True]]
-    x = lambda *ws: int(__import__("functools").reduce(lambda c, w: pst.longer(c, w), [np.array([w], np.int64) for w in ws])[0])
-    assert told[1][0][5] == x(7, 8) and told[2][0][5] == x(pst.END, 7, 8) != 0 and told[2][0][2] == x(pst.END, 5, 6)
+    number = lambda *xs: sum(x << pst.BITS * i for i, x in enumerate(reversed(xs)))
+    assert told[1][0][5] == number(7, 8) and told[2][0][5] == number(pst.END, 7, 8) and told[2][0][2] == number(pst.END, 5, 6)
 
 
 def test_rules_against_brute_force(spark, sf):
