@@ -3,7 +3,7 @@
 Indicators of n-grams are scaled by the log-ratio of their smoothed class counts; a linear hinge-loss model over them is
 fitted by dual coordinate descent, and its margin is calibrated to a probability. Tokens are words and, beside each, its
 shape (letter case, digits, what closes it, whether it repeats the word before), so that shouting, filler and stutter
-show in n-grams of shapes while vocabulary shows in n-grams of words.
+show in n-grams of shapes (up to three) while vocabulary shows in n-grams of words (up to two).
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 BITS = 20
-#: Labelled documents that the fit sees at most: a uniform hash sample once there are more; features kept of each.
+#: Labelled documents that the fit sees at most, whole: a uniform hash sample once there are more.
 SAMPLE_ROWS = 6_000
-SAMPLE_FEATURES = 4_000
 _SHAPE = re.compile(rb"[A-Z]+|[a-z\x80-\xff]+|[0-9]+")
 _TAIL = re.compile(rb"[^A-Za-z0-9\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +76,7 @@ class Features:
         shape[1:] ^= np.where(ids[1:] == ids[:-1], np.uint64(0x5BD1E995), np.uint64(0))
         out = [self._fold(word, 1), self._fold(shape, 2)]
         if len(ws) > 1:
-            out.append(self._fold(shape[:-1] * np.uint64(31) + shape[1:], 3))
+            out += [self._fold(x[:-1] * np.uint64(31) + x[1:], k) for x, k in ((shape, 3), (word, 5))]
         if len(ws) > 2:
             out.append(self._fold(shape[:-2] * np.uint64(961) + shape[1:-1] * np.uint64(31) + shape[2:], 4))
         return np.unique(np.concatenate(out)).astype(np.int64)
@@ -165,7 +164,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int,
         f = Features(bits)
         for b in batches:
             xs = [f((t or "").encode()) for t in b.column(1).to_pylist()]
-            xs = [x if len(x) <= SAMPLE_FEATURES else np.sort(x[np.argsort((x * 2654435761) & 0xFFFFFFFF, kind="stable")[:SAMPLE_FEATURES]]) for x in xs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array([x.astype(np.int32) for x in xs], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     got = rows.mapInArrow(run, StructType.fromDDL("doc_id long, y int, x array<int>")).toArrow().sort_by("doc_id")
