@@ -280,9 +280,65 @@ def test_quality_on_held_out(spark):
 
 def test_toxicity_on_held_out(spark):
     rows = _held_out(spark, "/root/testdata/sf0.1", "toxic", 5, 0, lambda d, l: toxicity.classify(d, l, keep=["doc_id"]))
-    assert sum(r["predicted"] == r["y"] for r in rows) >= 0.92 * len(rows)
-    clean = [r for r in rows if r["y"] == 0]
-    assert sum(r["predicted"] == 1 for r in clean) <= 0.03 * len(clean)
+    found = sum(r["predicted"] == 1 == r["y"] for r in rows)
+    assert found >= 0.75 * sum(r["y"] == 1 for r in rows) and found >= 0.9 * sum(r["predicted"] for r in rows)
+
+
+def test_toxicity_by_hand(spark, sf):
+    """Scores of the query against a plain reading: every window compressed on its own, figures added up in Python."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    mean, scale, w = model.calibration
+    size = lambda z, p: len(z.compress(toxicity.LEAD + p))
+    tool = lambda d: zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d + toxicity.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    tools = [(tool(o), tool(t)) for t, o in model.pairs]
+    for r in toxicity.score(docs, model, ["doc_id", "text"]).orderBy("doc_id").limit(40).collect():
+        parts = toxicity.windows(toxicity.normal((r["text"] or "").encode()))
+        odds = []
+        for o, t in tools:
+            saved = [size(o, p) - size(t, p) for p in parts]
+            weight = [model.weight[min(max(x, -8), 16) + 8] for x in saved]
+            top = sorted(weight, reverse=True)
+            f = [sum(weight), sum(max(x, 0) for x in weight), top[0], sum(top[:3]), sum(weight) / len(weight) ** 0.5, math.log1p(len(weight)), *(math.log1p(sum(x >= k for x in saved)) for k in (2, 3, 4, 5, 6, 8))]
+            odds.append(sum((x - m) / s * c for x, m, s, c in zip(f, mean, scale, w)) + w[-1])
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-sum(odds) / len(odds))), abs_tol=1e-6)
+
+
+def test_windows_cover_the_text():
+    for t in (b" ", b" a ", toxicity.normal(b"one two three " * 50), toxicity.normal(b"x" * 500)):
+        at = 0
+        for p in toxicity.windows(t):
+            assert t[at : at + len(p)] == p
+            at += len(p) - 1
+        assert at == len(t) - 1
+
+
+def test_support_vectors_are_optimal():
+    """The dual's solution has the primal's value: no weights classify the scaled indicators at less loss."""
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 60, 12) + 20 * (i % 2)) for i in range(120)]
+    y = np.where(np.arange(120) % 2, 1.0, -1.0)
+    w, bias, a, b, ratio = nbsvm.fit(rows, y, bits=8, epochs=2000)
+    counts = np.ones((2, 256))
+    for x, t in zip(rows, y):
+        counts[int(t > 0), x] += 1
+    want = np.log((counts[1] / 62) / (counts[0] / 62)) * (counts.sum(axis=0) - 2 >= 3)
+    assert np.allclose(ratio, want, atol=1e-6)
+    x = np.zeros((120, 257))
+    for i, f in enumerate(rows):
+        x[i, f] = want[f] / max(1e-9, np.sqrt((want[f] ** 2).sum() + 1e-9))
+        x[i, 256] = 1
+    v = np.append(np.divide(w, want, out=np.zeros(256), where=want != 0), bias)
+    value = lambda u: 0.5 * u @ u + np.maximum(0, 1 - y * (x @ u)).sum()
+    best, step = np.zeros(257), 1.0
+    mean = np.zeros(257)
+    for k in range(1, 40_001):  # subgradient descent (Pegasos) on the primal
+        g = best - (y[:, None] * x)[y * (x @ best) < 1].sum(axis=0)
+        best = best - g / k
+        mean += (best - mean) * 2 / (k + 1)
+    assert value(v) <= value(mean) * 1.01
 
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
