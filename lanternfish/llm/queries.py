@@ -26,7 +26,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archive_pages(spark, table(spark, sf_dir, "pages"), min_bytes=0)
     c = F.col("capture")
-    return got.select(F.col("metadata.fields")["capture-key"].cast("long").alias("page_id"), c["http_length"].alias("payload_bytes"),
+    return got.select(F.col("metadata.fields")["capture-key"].cast("long").alias("page_id"), F.coalesce(c["payload_bytes"], c["http_length"]).alias("payload_bytes"),
                       F.coalesce(c["computed_digest"], c["payload_digest"]).alias("payload_digest"), c["warc_type"].alias("record_type"),
                       F.col("metadata.fields")["refers-to-key"].cast("long").alias("refers_to"))
 

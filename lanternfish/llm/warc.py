@@ -1,8 +1,8 @@
 """WARC archives: write captures, read records back, assemble transactions.
 
 Each capture is three records: a response (or a revisit of one with an equal payload), the request and a metadata
-record; the last two name the first in WARC-Concurrent-To. Reading yields one row a record; assembly joins the three
-through that identifier into one nested row a capture. Files are gzip, a member a record, and roll at a size, so that
+record; the last two name the first in WARC-Concurrent-To, and a revisit names the response in WARC-Refers-To. Reading yields one row
+a record; assembly brings the three together on that identifier, in one shuffle, as one nested row a capture. Files are gzip, a member a record, and roll at a size, so that
 a reader's task is bounded. Writers return a manifest; files of attempts that failed are not in it and are never read.
 """
 
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, slices
 
-ROLL_BYTES = 32_000_000
+#: Bytes from which on a file is closed and of files that one reading task is given.
+ROLL_BYTES, TASK_BYTES = 32_000_000, 256_000_000
 WRITTEN = "path string, records long, bytes long"
 RECORD = ("path string, position long, record_id string, concurrent_to string, warc_type string, target_uri string, warc_date string, "
-          "payload_digest string, http_length long, payload binary, payload_bytes long, computed_digest string, fields map<string,string>")
+          "payload_digest string, refers_to string, http_length long, payload binary, payload_bytes long, computed_digest string, fields map<string,string>")
+CAPTURE = ("key", "url", "payload", "refers_to", "refers_url", "sole")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,33 +59,41 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+def named_id(digest: str, key) -> str:
+    """The record id of the one response with that payload: what revisits refer to can be told without having written it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{digest}:{key}')}>"
+
+
 def _clean(v) -> str | None:
     return None if v is None else " ".join(str(v).split())
 
 
 def write_captures(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", roll: int = ROLL_BYTES) -> DataFrame:
-    """Write captures (key long, url, payload binary or null, refers_to long, refers_url) under path; refers_to null
-    makes a response. Returns the manifest (path, records, bytes), itself a written table. Null payload is empty."""
+    """Write captures (key long, url, payload binary or null, refers_to long, refers_url, sole boolean) under path; refers_to
+    null makes a response; sole says that only one response has the payload and its key. Returns the manifest (path, records,
+    bytes), itself a written table. Null payload is empty."""
 
     def run(batches):
         store, base = pafs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         out, name, n, size = None, None, 0, 0
         for part in slices(batches, "payload"):
-            for key, url, payload, refers, refers_url in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("key", "url", "payload", "refers_to", "refers_url"))):
+            for key, url, payload, refers, refers_url, sole in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in CAPTURE)):
                 if out is None:
                     name = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     out, n, size = store.open_output_stream(name, compression=None), 0, 0
                 payload = payload or b""
                 digest, uri = f"sha1:{base32_sha1(payload)}", _clean(url)
                 ids = [f"<urn:uuid:{uuid.uuid4()}>" for _ in range(3)]
+                if refers is None and sole:
+                    ids[0] = named_id(digest, key)
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
                 common = {"WARC-Date": date, "WARC-Target-URI": uri}
                 first = common | {"WARC-Payload-Digest": digest, "Content-Type": "application/http; msgtype=response"}
                 if refers is None:
                     main = record("response", ids[0], first, http + payload)
                 else:
-                    main = record("revisit", ids[0], first | {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": _clean(refers_url), "WARC-Refers-To-Date": date}, http)
+                    main = record("revisit", ids[0], first | {"WARC-Profile": PROFILE, "WARC-Refers-To": named_id(digest, refers) if sole else None, "WARC-Refers-To-Target-URI": _clean(refers_url), "WARC-Refers-To-Date": date}, http)
                 about = "".join(f"{k}: {v}\r\n" for k, v in (("capture-key", key), ("refers-to-key", refers)) if v is not None).encode()
                 rest = common | {"WARC-Concurrent-To": ids[0]}
                 request = record("request", ids[1], rest | {"Content-Type": "application/http; msgtype=request"}, f"GET {uri or '/'} HTTP/1.1\r\n\r\n".encode())
@@ -99,7 +109,7 @@ def write_captures(captures: DataFrame, path: str, date: str = "2024-01-01T00:00
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [size]})
 
-    return materialize(captures.select("key", "url", F.col("payload").cast("binary"), "refers_to", "refers_url").mapInArrow(run, WRITTEN), "warc-manifest")
+    return materialize(captures.select("key", "url", F.col("payload").cast("binary"), "refers_to", "refers_url", "sole").mapInArrow(run, WRITTEN), "warc-manifest")
 
 
 def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -123,7 +133,7 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         elif kind == "metadata":
                             about = dict(x.split(": ", 1) for x in block.decode().splitlines() if ": " in x)
                         rows.append((path, i, h["warc-record-id"], h.get("warc-concurrent-to"), kind, h.get("warc-target-uri"), h.get("warc-date"),
-                                     (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, http, payload if payloads else None,
+                                     (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, h.get("warc-refers-to"), http, payload if payloads else None,
                                      None if payload is None else len(payload), None if payload is None else base32_sha1(payload), list(about.items())))
                         held += len(block)
                         if held > 8_000_000 or len(rows) >= 5000:
@@ -132,7 +142,9 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    files = manifest.select("path").repartition(max(1, min(2000, manifest.count())), "path")
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-size // TASK_BYTES), manifest.sparkSession.sparkContext.defaultParallelism)))
+    files = manifest.select("path").repartition(tasks, "path")
     return files.mapInArrow(run, RECORD)
 
 
@@ -156,30 +168,37 @@ class _File(io.RawIOBase):
 
 def _batch(rows) -> pa.RecordBatch:
     s, i = pa.string(), pa.int64()
-    kinds = [s, i, s, s, s, s, s, s, i, pa.binary(), i, s, pa.map_(s, s)]
+    kinds = [s, i, s, s, s, s, s, s, s, i, pa.binary(), i, s, pa.map_(s, s)]
     names = [x.split()[0] for x in RECORD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row a capture: its response or revisit, its request and its metadata, joined through the
-    concurrent-to identifiers. Identifiers are unique, so no key is hot. A capture without request or metadata has null there."""
-    main = records.where(F.col("warc_type").isin("response", "revisit"))
-    side = lambda kind: records.where(F.col("warc_type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("path", "position", F.col("record_id").alias("id"), "target_uri", "fields").alias(kind))
-    capture = main.select("record_id", F.struct("path", "position", "warc_type", "target_uri", "warc_date", "payload_digest", "http_length", "payload", "payload_bytes", "computed_digest").alias("capture"))
-    return capture.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
+    """One nested row a capture: its response or revisit, its request and its metadata, which meet on the first one's identifier.
+    It is unique, so no key is hot. A capture without request or metadata has null there; of two the one that comes first in its
+    file counts; those that name no capture in records are left out."""
+    kind = F.col("warc_type")
+    main = kind.isin("response", "revisit")
+    own = F.struct("path", "position", "warc_type", "target_uri", "warc_date", "payload_digest", "refers_to", "http_length", "payload", "payload_bytes", "computed_digest")
+    about = F.struct("path", "position", F.col("record_id").alias("id"), "target_uri", "fields")
+    at = F.struct("path", "position")
+    sides = (F.min_by(F.when(main, own), F.when(main, at)).alias("capture"), *(F.min_by(F.when(kind == k, about), F.when(kind == k, at)).alias(k) for k in ("request", "metadata")))
+    met = records.where(main | kind.isin("request", "metadata")).withColumn("id", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")))
+    return met.groupBy("id").agg(*sides).where("capture is not null").withColumnRenamed("id", "record_id")
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) as captures. Of equal payloads of at least min_bytes the largest page_id is the
-    response, the others refer to it. Rows that tie for it are all responses; a null page_id ranks lowest. The digests
+    response, the others refer to it. Rows that tie for it are all responses, referred to by URL and date alone; a null page_id ranks lowest. The digests
     are summed up before the shuffle; the join back on them is a plain shuffled join that AQE splits where a payload is hot."""
     rows = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    best = materialize(rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max(F.struct("key", "url")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-best")
-    told = rows.join(best, "digest", "left")
+    each = rows.where(F.length("payload") >= min_bytes).groupBy("digest", "key").agg(F.count("*").alias("n"), F.max("url").alias("url"))
+    best = each.groupBy("digest").agg(F.max(F.struct("key", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    told = rows.join(materialize(best, "warc-best"), "digest", "left")
     other = F.col("best.key").isNotNull() & ~F.col("key").eqNullSafe(F.col("best.key"))
-    return told.select("key", "url", "payload", F.when(other, F.col("best.key")).alias("refers_to"), F.when(other, F.col("best.url")).alias("refers_url"))
+    sole = F.coalesce((F.col("best.n") == 1) & F.col("best.key").isNotNull(), F.lit(False))
+    return told.select("key", "url", "payload", F.when(other, F.col("best.key")).alias("refers_to"), F.when(other, F.col("best.url")).alias("refers_url"), sole.alias("sole"))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, min_bytes: int = 0, payloads: bool = False) -> DataFrame:

@@ -75,5 +75,9 @@ def test_pages(spark):
     rows = sorted((r["metadata"]["fields"].get("capture-key", ""), r["capture"]["warc_type"], r["metadata"]["fields"].get("refers-to-key"), r["capture"]["http_length"]) for r in got)
     assert rows == [("", "revisit", "2", 9), ("1", "revisit", "2", 9), ("2", "response", None, 9), ("2", "response", None, 9), ("3", "response", None, 0), ("4", "response", None, 3_000_000)]
     assert all(r["request"] is not None for r in got) and all(r["capture"]["computed_digest"] == r["capture"]["payload_digest"] for r in got if r["capture"]["warc_type"] == "response")
+    assert all(r["capture"]["payload_bytes"] == r["capture"]["http_length"] for r in got if r["capture"]["warc_type"] == "response")
+    told = {r["record_id"]: r for r in warc.archive_pages(spark, pages.where("page_id is not null or url is null").dropDuplicates(), payloads=True).collect()}
+    (revisit,) = (r["capture"] for r in told.values() if r["capture"]["warc_type"] == "revisit")
+    assert told[revisit["refers_to"]]["metadata"]["fields"]["capture-key"] == "2" and told[revisit["refers_to"]]["capture"]["payload"].decode() == "<p>é</p>"
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
     assert {r["capture"]["warc_type"] for r in warc.archive_pages(spark, pages, min_bytes=10).collect()} == {"response"}
