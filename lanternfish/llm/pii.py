@@ -1,15 +1,19 @@
 """Personal data: exact base spans, and information-theoretic sanitisation of what gives them away.
 
-Emails, addresses, cards and phone numbers are found by form. Each distinct one is a protected entity. Corpus
-co-occurrence then estimates what neighbouring terms disclose: with p(t), p(e) the shares of texts that hold them and
-p(t, e) that of texts where t stands near e, a term discloses e if their pointwise mutual information reaches `alpha` of
-e's information content, and they meet in `support` different contexts. Disclosing terms near their entity become spans
-of kind "term": to be generalised (replaced by what they are) or removed with the base spans.
+Emails, addresses, cards and phone numbers are found by form. Each distinct one is a protected entity, and so is what several
+share: an email's domain, an address's network, a phone's area. Corpus co-occurrence then estimates what neighbouring terms disclose.
+With p(t | e) the share of e's contexts (the different surroundings it is met in, so that copies of a text weigh once) that
+hold the term, and p(t), p(e) the shares of all texts that hold them, a term discloses e if log2 p(t | e) / p(t) reaches
+`alpha` of e's information content, -log2 p(e), in two contexts or more, and if so many contexts are more than chance: by the
+likelihood-ratio test of a binomial share, corrected for the number of pairs tested. Disclosing terms near their entity become
+spans of kind "term": to be generalised (replaced by what they are) or removed with the base spans.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,8 @@ from .common import filter_bits, flags_of, materialize, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near, least number of different contexts, share of the entity's
-#: information that a term must give.
-NEAR, SUPPORT, ALPHA = 8, 3, 0.8
+#: information that a term must give, and chance of one false term in a whole corpus.
+NEAR, SUPPORT, ALPHA, ERROR = 8, 2, 0.8, 0.01
 #: Bits of the filter that tells which words the corpus count is about (its size is fixed: 1 MB).
 FILTER_BITS = 23
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -76,20 +80,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def word_hash(w: str) -> int:
-    return xxhash.xxh64_intdigest(w.encode())
+    """Hash of a word, A-Z lower-cased (bytes.lower leaves all else alone)."""
+    return xxhash.xxh64_intdigest(w.encode().lower())
+
+
+def entities_of(kind: int, value: str) -> list[str]:
+    """What a span stands for: itself, and the domain, network or area that others share with it."""
+    out = [f"{kind}:{value}"]
+    if kind == 0:
+        out.append(f"domain:{value.rpartition('@')[2]}")
+    elif kind == 1:
+        out.append(f"network:{value.rpartition('.')[0]}")
+    elif kind == 3:
+        out.append(f"area:{_NOT_DIGIT.sub('', value)[:-7]}")
+    return out
 
 
 def near(text: str, spans: list[tuple[int, int, int]], width: int = NEAR) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) of the words near each entity; entity, term and context are hashes. What
-    stands inside a base span is no term."""
+    """(entity, term, context, start, end) of the words near each entity, whole ones however long; entity, term and context are
+    hashes. What stands inside a base span is no term."""
     out = []
-    inside = lambda s: any(a <= s < e for a, _, e in spans)
+    inside = lambda s, f: any(a < f and s < e for a, _, e in spans)
+    back, n = text[::-1], len(text)
     for a, kind, e in spans:
-        entity = word_hash(f"{kind}:{text[a:e].lower()}")
-        ws = list(_WORD.finditer(text, max(0, a - 40 * width), a))[-width:] + list(_WORD.finditer(text, e, e + 40 * width))[:width]
-        ws = [m for m in ws if len(m[0]) > 2 and not inside(m.start())]
-        context = word_hash(" ".join(m[0].lower() for m in ws))
-        out += [(entity, word_hash(m[0].lower()), context, m.start(), m.end()) for m in ws]
+        before = [(n - m.end(), n - m.start()) for m in islice(_WORD.finditer(back, n - a), width)]
+        places = before[::-1] + [m.span() for m in islice(_WORD.finditer(text, e), width)]
+        ws = [(s, f, text[s:f]) for s, f in places if f - s > 2 and not inside(s, f)]
+        context = word_hash(" ".join(w for _, _, w in ws))
+        for x in entities_of(kind, text[a:e]):
+            out += [(word_hash(x), word_hash(w), context, s, f) for s, f, w in ws]
     return out
 
 
@@ -150,6 +169,11 @@ def _table(sums: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.fromiter(sums, np.uint64, len(sums)).view(np.int64)), pa.array(np.fromiter(sums.values(), np.int64, len(sums)))], names=["term", "n"])
 
 
+def critical(pairs: int, error: float = ERROR) -> float:
+    """Value that twice a log-likelihood ratio passes by chance in one of `pairs` tests with the chance `error` (one side)."""
+    return NormalDist().inv_cdf(1 - error / max(1, pairs)) ** 2
+
+
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end; kinds as in KINDS) of every row of docs; spans holds base and
     the disclosing terms, by start, then kind.
@@ -161,14 +185,16 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     close = rows.where(F.size("near") > 0).select("row", F.inline("near"))
     pairs = close.groupBy("entity", "term", "context").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     pairs = materialize(pairs, "pii-pairs")
-    n = rows.count()
-    # an entity's texts: the contexts it is met in, so that copies of a text weigh once
-    entities = close.groupBy("entity", "context").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("ne"))
+    n, tested = float(max(rows.count(), 1)), pairs.count()
+    contexts = close.groupBy("entity", "context").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("ne"))
+    texts = close.groupBy("entity", "row").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("te"))
     counts = materialize(corpus_counts(docs, pairs.select("term").distinct()), "pii-terms")
-    told = pairs.join(entities, "entity").join(counts.withColumnRenamed("n", "nt"), "term")
-    pmi = F.log2(F.col("both") * float(max(n, 1)) / (F.col("ne") * F.greatest("nt", "both")))
-    content = F.log2(float(max(n, 1)) / F.col("ne"))
-    disclosing = materialize(told.where(pmi >= alpha * content).select("entity", "term"), "pii-disclosing")
+    told = pairs.join(contexts, "entity").join(texts, "entity").join(counts.withColumnRenamed("n", "nt"), "term")
+    share, chance = F.col("both") / F.col("ne"), F.least(F.col("nt") / n, F.lit(1.0))
+    miss = F.col("ne") - F.col("both")
+    ratio = F.col("both") * F.log(share / chance) + F.when(miss > 0, miss * F.log((miss / F.col("ne")) / F.greatest(1 - chance, F.lit(1e-12)))).otherwise(0.0)
+    enough = (F.log2(share / chance) >= alpha * F.log2(n / F.col("te"))) & (share > chance) & (2 * ratio > critical(tested))
+    disclosing = materialize(told.where(enough).select("entity", "term"), "pii-disclosing")
     spans = close.join(disclosing, ["entity", "term"], "left_semi").select("row", F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("s"))
     added = spans.groupBy("row").agg(F.collect_set("s").alias("more"))  # words of one text
     return rows.join(added, "row", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,end:long>>")))).alias("spans"))

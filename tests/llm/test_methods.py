@@ -365,16 +365,61 @@ def test_pii_base_spans(parts):
 def test_pii_terms(spark):
     r = random.Random(4)
     fill = lambda: " ".join(r.choice(["lorem", "ipsum", "dolor", "amet", "elit"]) + str(r.randint(0, 99)) for _ in range(12))
-    rows = [(i, f"{fill()} Zorblatt x{i}y wrote from z.b@corp.example.org {fill()}" if i < 6 else fill() + " wrote from") for i in range(200)]
+    rows = [(i, f"{fill()} {r.choice(('Zorblatt', 'ZORBLATT'))} x{i}y wrote from z.b@corp.example.org {fill()}" if i < 6 else fill() + " wrote from") for i in range(200)]
     got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows[:6]:
         terms = [t[s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == 4]
-        assert terms == ["Zorblatt"]
+        assert [x.lower() for x in terms] == ["zorblatt"]
         clean = pii.sanitise(t, [(s["start"], s["kind"], s["end"]) for s in got[i]["spans"]])
         assert "[email]" in clean and "[term]" in clean and "Zorblatt" not in clean and "corp" not in clean
     assert not any(got[i]["spans"] for i in range(6, 200))
 
 
+def test_pii_terms_against_brute_force(spark):
+    """Entities met once or twice, owners shared by several, words of any length and case."""
+    r = random.Random(11)
+    words = [f"w{i}" + "ab" * (i % 4) for i in range(120)] + ["été", "ÉTÉ", "Straße", "q" * 400]
+    entities = ["a.b@one.example", "c@two.example", "d@two.example", "e@two.example", "10.1.2.3", "10.1.2.9", "+1 (555) 222-3333", "4111111111111111"]
+    near = {0: "Zorblatt", 1: "émile", 2: "Émile", 4: "zor9", 5: "ZOR9"}
+    rows = []
+    for i in range(400):
+        t = [r.choice(words) for _ in range(r.randint(0, 40))]
+        if i % 3 == 0:
+            k = r.randrange(len(entities))
+            t[len(t) // 2 : len(t) // 2] = [entities[k], *([near[k]] if k in near else [])]
+        rows.append((i, " ".join(t)))
+    rows += [(500 + i, rows[3][1]) for i in range(5)]
+    word = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
+    low = lambda w: w.encode().lower()
+    met, holds, who = {}, Counter(), {}
+    for i, t in rows:
+        holds.update({low(m[0]) for m in word.finditer(t)})
+        base = _spans(t)
+        inside = lambda m: any(a < m.end() and m.start() < e for a, _, e in base)
+        for a, kind, e in base:
+            ms = list(word.finditer(t))
+            ws = [m for m in [m for m in ms if m.end() <= a][-8:] + [m for m in ms if m.start() >= e][:8] if len(m[0]) > 2 and not inside(m)]
+            v = t[a:e]
+            owner = {0: lambda: ["@" + v.split("@")[1]], 1: lambda: [v.rsplit(".", 1)[0] + "."], 2: list, 3: lambda: ["+" + re.sub("[^0-9]", "", v)[:-7]]}[kind]()  # noqa: B023
+            for x in [v, *owner]:
+                for m in ws:
+                    met.setdefault((kind, x), {}).setdefault(low(m[0]), []).append((i, m.span()))
+                who.setdefault((kind, x), set()).add((i, b" ".join(low(m[0]) for m in ws)))
+    pairs = {(x, w): {c for i, c in who[x] if i in {j for j, _ in places}} for x, ts in met.items() for w, places in ts.items()}
+    pairs = {k: len(c) for k, c in pairs.items() if len(c) >= 2}
+    want = {i: set() for i, _ in rows}
+    for (x, w), both in pairs.items():
+        ne, te, p = len({c for _, c in who[x]}), len({i for i, _ in who[x]}), holds[w] / len(rows)
+        share = both / ne
+        g = 2 * (both * math.log(share / p) + ((ne - both) * math.log((1 - share) / (1 - p)) if ne > both else 0))
+        if share > p and math.log2(share / p) >= 0.8 * math.log2(len(rows) / te) and g > pii.critical(len(pairs)):
+            for i, span in met[x][w]:
+                want[i].add(span)
+    got = {x["doc_id"]: {(s["start"], s["end"]) for s in x["spans"] if s["kind"] == 4} for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {t[a:e] for i, t in rows for a, e in want[i]}
+    assert got == want and {"Zorblatt", "zor9", "ZOR9"} <= found
+
+
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(5)
     pool = [[r.choice(["oak", "elm", "fir", "ash", "yew"]) for _ in range(n)] for n in (1, 2, 4, 5, 6, 8, 9)]
