@@ -4,9 +4,10 @@ Symbols are the training words met OFTEN times or more, one for all other words,
 symbols. The tree is grown from them a level at a time, as distributed tables. A context of d symbols is a candidate if it occurs
 LEAST times, which the table of the level above tells; only what follows candidates is counted. A candidate stays if what
 follows it differs from what follows its suffix: if the divergence, weighted by the context's count, passes a likelihood-ratio
-test. All that pass stay, so the tree grows with the corpus. Distributions are smoothed by absolute discounting: what is taken
-off the counts after a context goes to the distribution of its longest retained suffix. A symbol is scored in the state of the
-longest retained suffix of what stands before it, back to the start of its text.
+test. All that pass stay, so the tree grows with the corpus. What follows a context fewer than MET times is one event, the rest, in
+the test; in the distribution its counts, and what absolute discounting takes off the others, go to the distribution of the longest
+retained suffix. A symbol is scored in the state of the longest retained suffix of what stands before it, back to the start of
+its text.
 
 Within the symbol of the other words a word has its discounted share of their exact counts; what the discount takes is
 the share of the one event "a word not met in training". The events are thus those of the unigram base, which has the
@@ -36,8 +37,8 @@ DEPTH, BITS = 3, 16
 ABSENT, END, RARE, FIRST = 0, 1, 2, 3
 #: Least count of a word that is a symbol of its own, symbols at most (what BITS hold).
 OFTEN, SYMBOLS = 500, (1 << BITS) - FIRST
-#: Least count of a context and critical value of the test beyond the test's own spread.
-LEAST, CRITICAL = 150, 20.0
+#: Least count of a context, of what is told apart after one, critical value of the test beyond its own spread, and discount.
+LEAST, MET, CRITICAL, OFF = 150, 3, 20.0, 0.75
 #: Most frequent words (16 bytes each) and entries of the most frequent contexts (12 bytes each) that are broadcast.
 HEAD, MODEL = 200_000, 4_000_000
 #: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
@@ -157,13 +158,13 @@ def symbols_in(batch: pa.RecordBatch, name: str = "symbols") -> np.ndarray:
     return np.concatenate([[END], np.frombuffer(b"".join(parts), np.uint16)]).astype(np.int64)
 
 
-def count_grams(coded: DataFrame, candidates: DataFrame | None, d: int) -> DataFrame:
+def count_grams(coded: DataFrame, candidates: DataFrame, d: int) -> DataFrame:
     """(up, key, n): counts of what follows contexts of d symbols, of those that a filter of candidates (ctx) lets through. key is the
     context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level above has its row."""
-    told = None if candidates is None else coded.sparkSession.sparkContext.broadcast(_filter(candidates))
+    told = coded.sparkSession.sparkContext.broadcast(_filter(candidates))
 
     def run(batches):
-        flags, tables, held = None if told is None else flags_of(told.value), [], 0
+        flags, tables, held = flags_of(told.value), [], 0
 
         def table():
             key, n = merged(tables)
@@ -172,7 +173,7 @@ def count_grams(coded: DataFrame, candidates: DataFrame | None, d: int) -> DataF
         for part in batches:
             stream = symbols_in(part)
             ctx, there = contexts(stream, d)[-1]
-            there = there if flags is None else there & (flags[slot(ctx)] > 0)
+            there = there & (flags[slot(ctx)] > 0)
             key, n = np.unique(ctx[there] << BITS | stream[1:][there], return_counts=True)
             tables.append((key, n))
             held += len(key)
@@ -187,29 +188,32 @@ def count_grams(coded: DataFrame, candidates: DataFrame | None, d: int) -> DataF
 
 
 def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(contexts, entries) of what stays. symbols (key, n) are all symbols' counts. contexts: ctx, seen (its count), k (different
-    followers), alpha (log10 of what symbols not met after it keep of their probability after the suffix). entries: key (ctx and
+    """(contexts, entries) of what stays. symbols (key, n) are all symbols' counts. contexts: ctx, seen (its count), k (followers told
+    apart), alpha (log10 of the share of its probability after the suffix that a symbol not told apart keeps). entries: key (ctx and
     follower), seen, lp (log10 probability of the follower after ctx)."""
     total = F.lit(float(symbols.agg(F.sum("n")).first()[0] or 1))
     level = symbols.select("key", "n", total.alias("seen"), (F.col("n") / total).alias("q"))
-    kept, entries, candidates = [], [], None
+    kept, entries = [], []
     for d in range(1, depth + 1):
-        above = level.select(F.col("key").alias("up"), F.col("n").alias("pn"), F.col("seen").alias("pseen"), F.col("q").alias("pq"))
+        whole = F.col("n") >= LEAST
+        own = level.where(whole if d == 1 else whole & (F.col("key").bitwiseAND(LOW) != END)).select(F.col("key").alias("ctx"), F.col("n").cast("double").alias("all"))
+        above = level.select(F.col("key").alias("up"), (F.col("n") / F.col("seen")).alias("p"), F.col("q").alias("pq"))
         above = F.broadcast(above) if d == 1 else shuffled(above)  # the symbols: 2 ** BITS rows at most
         ctx = F.shiftrightunsigned("key", BITS).alias("ctx")
-        rows = materialize(count_grams(coded, candidates, d).join(above, "up").select(ctx, "key", "n", "pn", "pseen", "pq"), "lm-rows")
-        told = rows.groupBy("ctx").agg(F.sum("n").cast("double").alias("seen"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") * F.col("pseen") / F.col("pn"))).alias("g")).where(F.col("seen") >= LEAST)
+        grams = count_grams(coded, own, d).where(F.col("n") >= MET)
+        rows = materialize(grams.join(above, "up").select(ctx, "key", "n", "p", "pq").join(own, "ctx"), "lm-rows")
+        sums = rows.groupBy("ctx").agg(F.first("all").alias("all"), F.count("*").alias("k"), F.sum("n").alias("told"), F.sum("p").alias("p"), F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("p"))).alias("gain"))
+        rest = F.col("all") - F.col("told")
+        gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("all") / F.greatest(1 - F.col("p"), F.lit(1e-9)))).otherwise(0.0)
         # twice the gain is about chi-square with k degrees of freedom if the suffix tells as much
-        gain = F.col("g") - F.col("seen") * F.log("seen")
-        told = materialize(told.select("ctx", "seen", "k", (2 * gain > CRITICAL + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))).alias("stays")), "lm-told")
-        fit = rows.join(told, "ctx")
-        off = discount(*fit.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
-        q = F.when(F.col("stays"), (F.col("n") - off + off * F.col("k") * F.col("pq")) / F.col("seen")).otherwise(F.col("pq"))
-        level = materialize((fit if d < depth else fit.where("stays")).select("key", "n", "seen", q.alias("q"), "stays"), "lm-level")
+        stays = 2 * gain > CRITICAL + F.col("k") + 2 * F.sqrt(2.0 * F.col("k"))
+        told = materialize(sums.select("ctx", F.col("all").alias("seen"), "k", ((OFF * F.col("k") + rest) / F.col("all")).alias("share"), stays.alias("stays")), "lm-told")
+        q = F.when(F.col("stays"), (F.col("n") - OFF) / F.col("seen") + F.col("share") * F.col("pq")).otherwise(F.col("pq"))
+        level = rows.join(told, "ctx").select("key", "n", "seen", q.alias("q"), "stays")
+        level = materialize(level if d < depth else level.where("stays"), "lm-level")
         discard(rows)
-        kept.append(told.where("stays").select("ctx", "seen", "k", F.log10(F.lit(off) * F.col("k") / F.col("seen")).alias("alpha")))
+        kept.append(told.where("stays").select("ctx", "seen", "k", F.log10("share").alias("alpha")))
         entries.append(level.where("stays").select("key", "seen", F.log10("q").alias("lp")))
-        candidates = level.where((F.col("n") >= LEAST) & (F.col("key").bitwiseAND(LOW) != END)).select(F.col("key").alias("ctx"))
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
 
 

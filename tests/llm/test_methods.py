@@ -174,13 +174,15 @@ class PlainTree:
                 for d in range(min(len(past), pst.DEPTH) + 1):
                     after.setdefault(past[len(past) - d :], Counter())[x] += 1
         self.top, often = after[()], {c: f for c, f in after.items() if c and sum(f.values()) >= pst.LEAST}
-        off = {d: pst.discount(*(sum(n == k for c, f in often.items() if len(c) == d for n in f.values()) for k in (1, 2))) for d in range(1, pst.DEPTH + 1)}
         self.states = {}
         for c, f in often.items():
             n, up = sum(f.values()), after[c[1:]]
-            gain = sum(x * math.log((x / n) / (up[w] / sum(up.values()))) for w, x in f.items())
-            if 2 * gain > pst.CRITICAL + len(f) + 2 * math.sqrt(2 * len(f)):
-                self.states[c] = (f, n, off[len(c)])
+            told = {x: m for x, m in f.items() if m >= pst.MET}
+            p = {x: up[x] / sum(up.values()) for x in told}
+            rest = n - sum(told.values())
+            gain = sum(m * math.log(m / n / p[x]) for x, m in told.items()) + (rest * math.log(rest / n / (1 - sum(p.values()))) if rest else 0)
+            if told and 2 * gain > pst.CRITICAL + len(told) + 2 * math.sqrt(2 * len(told)):
+                self.states[c] = (told, n, (pst.OFF * len(told) + rest) / n)
         rare = [n for w, n in self.words.items() if w is not None and n < pst.OFTEN]
         self.less = pst.discount(*(sum(n == k for w, n in self.words.items() if w is not None) for k in (1, 2)))
         self.mass, self.others = sum(rare), len(rare)
@@ -197,8 +199,8 @@ class PlainTree:
         c = next((past[i:] for i in range(len(past)) if past[i:] in self.states), None)
         if c is None:
             return self.top[x] / sum(self.top.values())
-        f, n, off = self.states[c]
-        return (max(f[x] - off, 0) + off * len(f) * self.probability(c[1:], x)) / n
+        told, n, share = self.states[c]
+        return (told[x] - pst.OFF if x in told else 0) / n + share * self.probability(c[1:], x)
 
     def score(self, ws):
         xs = [None, *map(self.symbol, ws)]
