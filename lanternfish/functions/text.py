@@ -14,7 +14,9 @@ PLACEHOLDER_FORMS = (
     r"^(?:your[_-]?(?:api[_-]?key|key|secret|token)|replace[_-]?me|placeholder|change[_-]?me|insert[_-]?key)(?:[_-]here|[_-]x+)*$",
     r"^(?:sk|rk|pk)_(?:live|test)_x+$",
 )
-BODY_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|(?:sk|rk)_(?:live|test)_)"
+BODY_PREFIX = R.BODY
+#: Levels of severity, lowest first.
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
 def either(tests) -> Column:
@@ -66,6 +68,25 @@ def risk(severity: Column, bits: Column, confidence: Column) -> Column:
     return base * 0.4 + F.least(bits / 8.0, F.lit(1.0)) * 0.3 + confidence * 0.3
 
 
+def adjusted_severity(severity: Column, bits: Column, risk_score: Column) -> Column:
+    """A level up for entropy over 4 and for risk over 0.8, one down for risk under 0.3, within the levels at every step."""
+    top = len(SEVERITIES) - 1
+    level = F.greatest(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int") - 1, F.lit(0))
+    level = F.least(level + (bits > 4.0).cast("int"), F.lit(top))
+    level = F.least(level + (risk_score > 0.8).cast("int"), F.lit(top))
+    level = F.greatest(level - (risk_score < 0.3).cast("int"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, SEVERITIES)), level + 1)
+
+
+def redacted(line: Column, value: Column, shown: Column) -> Column:
+    """The line with the value masked, as it is and as it stands in URLs. Values under two characters stay."""
+    v = F.trim(value)
+    quoted = F.replace(F.replace(F.url_encode(v), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    quoted = F.replace(F.replace(quoted, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    out = F.replace(line, v, shown)
+    return F.when(F.length(v) >= 2, F.when(quoted != v, F.replace(out, quoted, shown)).otherwise(out)).otherwise(line)
+
+
 def luhn(digits: Column) -> Column:
     """Luhn's check on 13 to 19 digits."""
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)

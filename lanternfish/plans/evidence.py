@@ -74,5 +74,5 @@ SQL = {
     "relative_paths": "select doc_id, case doc_id % 5 when 0 then 'src/' || doc_id || '.js' when 1 then 'w/f' || doc_id when 2 then 'https://h.example.org:8080/a' when 3 then 'unknown' else 'plain/' || doc_id end as path from documents",
     "file_roles": f"select {_ROLE} as role, count(*) as n from documents group by 1",
     "semantic_evidence": WITH + f""", v as (select doc_id, rule, {_ROLE} as file_role, case when doc_id % 14 in (0, 1, 2, 10) then 'literal_assignment' else 'literal_without_assignment' end as assignment, case doc_id % 14 when 10 then 'credential' when 0 then 'other' when 1 then 'other' when 2 then 'other' else 'unknown' end as variable_role from f)
-        select doc_id, rule, assignment, variable_role, file_role, case when file_role = 'documentation' then 'comment_or_documentation' when rule = 'mongodb_uri' then 'credential_in_connection_uri' else '' end as usage, 1 as "references", case when rule = 'generic_api_key' then 'generic_assignment_pattern' when rule = 'mongodb_uri' then 'parsed_connection_uri' else 'detector_pattern_match' end as format_check from v""",
+        select doc_id, rule, assignment, variable_role, file_role, case when file_role = 'documentation' then 'comment_or_documentation' when rule = 'mongodb_uri' then 'credential_in_connection_uri' else '' end as usage, case assignment when 'literal_assignment' then 2 else 1 end as "references", case when rule = 'generic_api_key' then 'generic_assignment_pattern' when rule = 'mongodb_uri' then 'parsed_connection_uri' else 'detector_pattern_match' end as format_check from v""",
 }
