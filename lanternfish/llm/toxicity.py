@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Bytes of a window, of the general part and each side's own part of a dictionary, and zstandard's level.
-WINDOW, GENERAL, OWN, LEVEL = 32, 49_152, 4_096, 3
+WINDOW, GENERAL, OWN, LEVEL = 40, 49_152, 4_096, 3
 #: Labelled texts of each class that training sees at most, each whole, and parts that they are dealt into.
 SAMPLE, PARTS = 3_000, 4
 #: A word is told apart if toxic texts hold it so many times as often as ordinary ones, and this many of them.
