@@ -12,7 +12,8 @@ spans of kind "term": to be generalised (replaced by what they are) or removed w
 from __future__ import annotations
 
 import re
-from itertools import islice
+from bisect import bisect_left
+from itertools import accumulate, islice
 from statistics import NormalDist
 
 import numpy as np
@@ -28,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near, least number of different contexts, share of the entity's
 #: information that a term must give, and chance of one false term in a whole corpus.
 NEAR, SUPPORT, ALPHA, ERROR = 8, 2, 0.8, 0.01
+#: Characters of text that are looked at together: what stands near entities is many times the text where they are thick.
+SLICE = 300_000
 #: Bits of the filter that tells which words the corpus count is about (its size is fixed: 1 MB).
 FILTER_BITS = 23
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -100,7 +103,8 @@ def near(text: str, spans: list[tuple[int, int, int]], width: int = NEAR) -> lis
     """(entity, term, context, start, end) of the words near each entity, whole ones however long; entity, term and context are
     hashes. What stands inside a base span is no term."""
     out = []
-    inside = lambda s, f: any(a < f and s < e for a, _, e in spans)
+    starts, reach = [a for a, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    inside = lambda s, f: (i := bisect_left(starts, f)) > 0 and reach[i - 1] > s
     back, n = text[::-1], len(text)
     for a, kind, e in spans:
         before = [(n - m.end(), n - m.start()) for m in islice(_WORD.finditer(back, n - a), width)]
@@ -116,20 +120,28 @@ _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64
 _NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+def _nested(rows: list[tuple], ends: list[int], kind: pa.StructType) -> pa.Array:
+    """Lists of structs from rows in a row and where each list ends; 64-bit hashes become signed."""
+    columns = zip(*rows) if rows else [()] * kind.num_fields
+    arrays = [pa.array((np.array(c, np.uint64).view(np.int64) if f.name in ("entity", "term", "context") else np.array(c, np.int64)).astype(f.type.to_pandas_dtype())) for f, c in zip(kind, columns)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(kind)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs' doc_id plus base (spans), entities (hashes) and near (words near them)."""
     out = StructType([docs.schema["doc_id"], *StructType.fromDDL("base array<struct<start:long,kind:int,end:long>>, near array<struct<entity:long,term:long,context:long,start:long,end:long>>").fields])
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches):
-        for part in slices(batches):
-            spans, words = [], []
+        for part in slices(batches, limit=SLICE):
+            spans, span_ends, words, word_ends = [], [0], [], [0]
             for t in texts_of(part):
                 t = t.decode("utf-8", "replace")
                 found = base_spans(t)
-                spans.append([dict(start=s, kind=k, end=e) for s, k, e in found])
-                words.append([dict(entity=sign(a), term=sign(b), context=sign(c), start=s, end=e) for a, b, c, s, e in near(t, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(words, pa.list_(_NEAR))], names=out.names)
+                spans += found
+                span_ends.append(len(spans))
+                words += near(t, found) if found else []
+                word_ends.append(len(words))
+            yield pa.RecordBatch.from_arrays([part.column(0), _nested(spans, span_ends, _SPAN), _nested(words, word_ends, _NEAR)], names=out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
