@@ -38,9 +38,9 @@ ABSENT, END, RARE, FIRST = 0, 1, 2, 3
 #: Least count of a word that is a symbol of its own, symbols at most (what BITS hold).
 OFTEN, SYMBOLS = 500, (1 << BITS) - FIRST
 #: Least count of a context, of what is told apart after one, critical value of the test beyond its own spread, and discount.
-LEAST, MET, CRITICAL, OFF = 150, 3, 20.0, 0.75
+LEAST, MET, CRITICAL, OFF = 150, 5, 20.0, 0.75
 #: Most frequent words (16 bytes each) and entries of the most frequent contexts (12 bytes each) that are broadcast.
-HEAD, MODEL = 200_000, 4_000_000
+HEAD, MODEL = 200_000, 6_000_000
 #: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
 FILTER_BITS = 23
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
