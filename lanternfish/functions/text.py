@@ -27,11 +27,10 @@ def either(tests) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy in bits a character; 0 for the empty string."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    """Shannon entropy in bits a character; 0 for the empty string. A character is counted by what the value lacks without it."""
     n = F.length(value)
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda h, c: h - share(c) * F.log2(share(c)))
+    share = lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
+    return F.aggregate(F.filter(F.array_distinct(F.split(value, "")), lambda c: c != ""), F.lit(0.0), lambda h, c: h - share(c) * F.log2(share(c)))
 
 
 def repeats_unit(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
@@ -43,3 +44,12 @@ def closure(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
             break
         seen = seen.unionByName(new)
     return seen
+
+
+def two_passes(seeds: DataFrame, found_on: DataFrame, first: int = 5) -> DataFrame:
+    """(node, confidence): what found_on (src, dst, confidence) tells of seeds (node), then of the first `first` nodes so found, the
+    most confident first; a node found twice has its higher confidence."""
+    step = lambda nodes: nodes.join(found_on, nodes.node == found_on.src).groupBy(F.col("dst").alias("node")).agg(F.max("confidence").alias("confidence"))
+    one = scratch(step(seeds.select("node").distinct()), "pass")
+    two = step(one.orderBy(F.desc("confidence"), "node").limit(first).select("node"))
+    return one.unionByName(two).groupBy("node").agg(F.max("confidence").alias("confidence"))

@@ -34,3 +34,11 @@ def failure_streaks(requests: DataFrame) -> DataFrame:
 def exposition(counters: DataFrame, prefix: str) -> DataFrame:
     """(line): metrics in the text format scrapers read, from (name, value)."""
     return counters.select(F.concat(F.lit(prefix + "_"), "name", F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def crawl_progress(urls: DataFrame) -> DataFrame:
+    """One row from urls (state: queued, processed or failed; is_js): totals, what is left, and the share done in percent."""
+    state = lambda *x: F.col("state").isin(*x)
+    total, done = F.count("*"), F.count_if(state("processed"))
+    return urls.agg(total.alias("total_urls"), done.alias("processed_urls"), F.count_if(state("queued") & ~F.col("is_js")).alias("remaining_urls"), F.count_if(state("queued") & F.col("is_js")).alias("js_remaining"),
+                    F.count_if(state("failed")).alias("failed_urls"), F.coalesce(F.try_divide(100.0 * done, total), F.lit(0.0)).alias("progress_percent"))

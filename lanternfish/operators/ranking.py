@@ -13,14 +13,36 @@ def best_host(found: DataFrame, dns_sources: tuple[str, ...] = ("dns",)) -> Data
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def capture_order(captures: DataFrame) -> DataFrame:
-    """captures (url, ts) plus turn and place: of each URL the first, the last, then the middle; URLs take turns in order."""
+def capture_order(captures: DataFrame, tie: str = "ts") -> DataFrame:
+    """captures (url, ts) plus turn: of each URL the first, the last, then the middle; equal times in order of `tie`. URLs take turns:
+    rows go in order of (turn, url)."""
     w = W.partitionBy("url")
-    i, n = F.row_number().over(w.orderBy("ts")), F.count("*").over(w)
+    i, n = F.row_number().over(w.orderBy("ts", tie)), F.count("*").over(w)
     ranked = captures.withColumns({"i": i, "n": n}).withColumn("turn", F.when(F.col("i") == 1, 1).when(F.col("i") == F.col("n"), 2).otherwise(F.col("i") + 1).cast("int"))
     return ranked.drop("i", "n")
 
 
+def last_of_capture(captures: DataFrame, order: str) -> DataFrame:
+    """captures, each (url, ts) once: that which comes last in order."""
+    return captures.groupBy("url", "ts").agg(F.max_by(F.struct(*(c for c in captures.columns if c not in ("url", "ts"))), order).alias("_x")).select("url", "ts", "_x.*")
+
+
+def last_findings(findings: DataFrame, order: str, cap: int = 200) -> DataFrame:
+    """findings, each fingerprint once: its last row in order; the first `cap` in order of where a fingerprint first stands."""
+    rest = [c for c in findings.columns if c != "fingerprint"]
+    each = findings.groupBy("fingerprint").agg(F.max_by(F.struct(*rest), order).alias("_x"), F.min(order).alias("_first"))
+    return each.orderBy("_first", "fingerprint").limit(cap).select("fingerprint", "_x.*")
+
+
+def evenly(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """`most` rows (two at least) at even steps of key order, the first and the last among them; all rows if there are no more.
+    For short lists, as collections of an archive: the order is one window over all rows."""
+    ranked = rows.withColumns({"_i": F.row_number().over(W.orderBy(key)) - 1, "_n": F.count("*").over(W.partitionBy())})
+    step = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
+    hit = F.floor(step * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
+    return ranked.where((F.col("_n") <= most) | hit).drop("_i", "_n")
+
+
 def quota_select(pools: DataFrame, maximum: int, shares: tuple[float, ...] = (0.6, 0.25, 0.15)) -> DataFrame:
     """Up to maximum rows of pools (pool 0.., rank from 1): each pool's quota first, then what is left in pool order.
     The ranks within pools come with the input; what is added up here are pools, a handful."""

@@ -8,7 +8,8 @@ import hashlib
 import json
 import re
 import zlib
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,12 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MAX_BYTES = 3_000_000
-# Content types whose text is analysed.
-TEXT_TYPES = ("text/html", "text/javascript", "application/javascript", "application/x-javascript", "application/json", "text/plain")
+# What a content type must hold for its text to be analysed, and the charsets that are read.
+TEXT_TYPES = ("text/", "javascript", "json", "xml", "octet-stream")
+CHARSETS = {"utf-8": "utf-8-sig", "utf8": "utf-8-sig", "us-ascii": "ascii", "iso-8859-1": "latin-1", "windows-1252": "cp1252"}
 RECORD = "uri string, captured string, status int, mime string, text string, problem string"
 
 
-def record(data: bytes, want_uri: str | None = None, want_digest: str | None = None) -> dict:
+def _instant(text: str) -> str:
+    """A date with its zone as digits of UTC, "" if it is none."""
+    try:
+        moment = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        return ""
+    return moment.astimezone(timezone.utc).strftime("%Y%m%d%H%M%S") if moment.tzinfo else ""
+
+
+def record(data: bytes, want_uri: str | None = None, want_digest: str | None = None, want_time: str | None = None) -> dict:
     """The response of one gzip member of an archive: its text, or the problem that keeps it from being used."""
     empty = dict.fromkeys(x.split()[0] for x in RECORD.split(", "))
     try:
@@ -39,20 +50,22 @@ def record(data: bytes, want_uri: str | None = None, want_digest: str | None = N
     lines = http.decode("latin-1").split("\r\n")
     kind = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])).get("content-type", "")
     body = body.removesuffix(b"\r\n\r\n")
-    out = empty | {"uri": fields.get("warc-target-uri"), "captured": re.sub(r"[^0-9]", "", fields.get("warc-date", ""))[:14], "mime": kind.split(";")[0].strip().lower()}
+    out = empty | {"uri": fields.get("warc-target-uri"), "captured": _instant(fields.get("warc-date", "")), "mime": kind.split(";")[0].strip().lower()}
     status = re.match(r"HTTP/\d\S* (\d{3})", lines[0])
     out["status"] = int(status[1]) if status else None
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-    told = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    charset = re.search(r"charset=[\"']?([\w-]+)", kind, re.I)
-    checks = (("not a response", fields.get("warc-type") == "response"), ("other uri", want_uri in (None, out["uri"])), ("other digest", want_digest in (None, told) and told in ("", digest)), ("not found", out["status"] == 200), ("type", out["mime"] in TEXT_TYPES))
+    told = fields.get("warc-payload-digest", "").upper().removeprefix("SHA1:")
+    charset = re.search(r"charset=[\"']?([a-z0-9_-]+)", kind.lower())
+    checks = (("not a response", fields.get("warc-type") == "response"), ("other uri", want_uri in (None, out["uri"])), ("other digest", want_digest in (None, told) and told in ("", digest)), ("other time", bool(out["captured"]) and want_time in (None, out["captured"])),
+              ("not found", out["status"] == 200), ("type", any(k in kind.lower() for k in TEXT_TYPES)))
     problem = next((name for name, ok in checks if not ok), None)
     if problem:
         return out | {"problem": problem}
     try:
-        return out | {"text": body.decode(charset[1] if charset else "utf-8")}
-    except (LookupError, UnicodeError):
+        text = body.decode(CHARSETS[charset[1] if charset else "utf-8"])
+    except (KeyError, UnicodeError):
         return out | {"problem": "charset"}
+    return out | ({"problem": "binary"} if "\0" in text else {"text": text})
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -74,15 +87,31 @@ def member(uri: str, captured: str, body: bytes, kind: str = "text/html") -> byt
     return gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nWARC-Date: {captured}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n", mtime=0)
 
 
-_TOKEN = re.compile(r"""//[#@]\s*sourceMappingURL=(?P<map>\S+)|//[^\n]*|/\*.*?\*/|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)""", re.S)
+_TOKEN = re.compile(r"""//[#@]\s*sourceMappingURL=(?P<line>\S+)[^\S\n]*$|/\*[#@]\s*sourceMappingURL=(?P<block>[^\s*]+)\s*\*/|//[^\n]*|/\*.*?\*/|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)""", re.S | re.M)
+#: Heads of data URLs that hold a map.
+INLINE_MAPS = ("data:application/json;base64", "data:application/json;charset=utf-8;base64")
 
 
 def map_reference(script: str) -> str | None:
-    """The last source-map directive that stands in a line comment, not in a string."""
-    found = [m["map"] for m in _TOKEN.finditer(script) if m["map"]]
+    """The last source-map directive that stands in a comment, not in a string."""
+    found = [m["line"] or m["block"] for m in _TOKEN.finditer(script) if m["line"] or m["block"]]
     return found[-1] if found else None
 
 
+def declared_map(script: str, url: str) -> str | None:
+    """What a script's directive names: the address of its map, or the map itself where it is inline. Other inline data raise."""
+    told = map_reference(script)
+    if told is None or not told.startswith("data:"):
+        return told and urljoin(url, told)
+    head, _, body = told.partition(",")
+    if head not in INLINE_MAPS or len(told) > 2 * MAX_BYTES:
+        raise ValueError("unsupported inline map")
+    text = base64.b64decode(body, validate=True)
+    if len(text) > MAX_BYTES:
+        raise ValueError("map too large")
+    return text.decode("utf-8").strip()
+
+
 _DECLARED = re.compile(r'\b(?:var|let|const)\s+([A-Za-z_$][\w$]*)\s*=\s*("(?:[^"\\\n]|\\.)*"(?:\s*\+\s*"(?:[^"\\\n]|\\.)*"){1,15})\s*(?=[;\n,]|$)')
 
 

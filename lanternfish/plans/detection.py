@@ -54,7 +54,7 @@ def evidence_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line, context and redacted line of each finding; content is joined back to what survived."""
     f = _findings(spark, sf_dir).join(T.seeded(spark, sf_dir).select("doc_id", "content"), "doc_id")
     line = X.line_of(F.col("content"), F.col("value"))
-    red = F.replace(F.get(F.split("content", "\n"), line - 1), F.col("value"), F.col("evidence"))
+    red = X.redacted(F.get(F.split("content", "\n"), line - 1), F.col("value"), F.col("evidence"))
     return f.select("doc_id", "rule", line.alias("line_number"), red.alias("redacted_line"), F.replace(X.context(F.col("content"), F.col("value")), F.col("value"), F.lit("*")).alias("context"))
 
 
@@ -65,7 +65,7 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = X.entropy(F.left(F.coalesce("text", F.lit("")), F.lit(200)))
+    h = X.entropy(F.coalesce("text", F.lit("")))
     return T.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(h), 4).alias("avg_entropy"), F.round(F.max(h), 4).alias("max_entropy"))
 
 
@@ -115,6 +115,18 @@ def suppression_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "rule", suppressed(policy, path, F.col("rule"), F.col("fingerprint")).alias("suppressed"))
 
 
+def severity_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _findings(spark, sf_dir)
+    return f.groupBy("severity", X.adjusted_severity(F.col("severity"), F.col("entropy"), F.col("risk")).alias("adjusted")).agg(F.count("*").alias("n"))
+
+
+def occurrence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of copies and new versions as one occurrence each: the same secret on the same line of the same source."""
+    f = _findings(spark, sf_dir).join(T.seeded(spark, sf_dir).select("doc_id", "source", "content"), "doc_id")
+    told = f.select("fingerprint", "source", X.line_of(F.col("content"), F.col("value")).alias("line"), "rule")
+    return D.occurrences(told.unionByName(told)).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.regexp_extract_all("text", F.lit(r"\b[0-9]{13,19}\b"), F.lit(0))
     got = T.table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("digits"))
@@ -161,7 +173,7 @@ def exact_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (detect_findings, secrets_by_severity, detector_stats, risk_topk, findings_capped, matches_by_rule, severity_buckets, evidence_location, context_lines, entropy_profile, placeholder_filter, jwt_validate,
-           conn_uri_validate, fingerprint_correlation, keyed_fingerprints, suppression_annotate, luhn_cards, ipv4_inventory, email_inventory, detector_quality, label_disagreement, exact_backend)
+           conn_uri_validate, fingerprint_correlation, keyed_fingerprints, suppression_annotate, severity_adjusted, occurrence_dedup, luhn_cards, ipv4_inventory, email_inventory, detector_quality, label_disagreement, exact_backend)
 
 # ---- the same in SQL -----------------------------------------------------------------------------------------------
 
@@ -171,7 +183,7 @@ def q(s: str) -> str:
 
 
 def entropy_sql(v: str) -> str:
-    n = f"(len(list_filter(string_split({v}, ''), lambda d: d = c))::double / length({v}))"
+    n = f"((length({v}) - length(replace({v}, c, '')))::double / length({v}))"
     return f"coalesce(list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -{n} * log2({n}))), 0.0)"
 
 
@@ -214,12 +226,15 @@ SQL = {
         replace(trim(regexp_replace(substr(content, greatest(strpos(content, value) - 50, 1), strpos(content, value) + length(value) + 50 - greatest(strpos(content, value) - 50, 1)), '\s+', ' ', 'g')), value, '*') as context from f join seeded using (doc_id)""",
     "context_lines": WITH + """select doc_id, rule, sha256(array_to_string(list_slice(string_split(content, chr(10)), greatest(ln - 2, 1), ln + 2), chr(10))) as context_sha256
         from (select doc_id, rule, content, len(string_split(substr(content, 1, strpos(content, value) - 1), chr(10))) as ln from f join seeded using (doc_id))""",
-    "entropy_profile": f"select lang, count(*) as n, round(avg(h), 4) as avg_entropy, round(max(h), 4) as max_entropy from (select lang, {entropy_sql('t')} as h from (select lang, left(coalesce(text, ''), 200) as t from documents)) group by 1",
+    "entropy_profile": f"select lang, count(*) as n, round(avg(h), 4) as avg_entropy, round(max(h), 4) as max_entropy from (select lang, {entropy_sql('t')} as h from (select lang, coalesce(text, '') as t from documents)) group by 1",
     "placeholder_filter": f"select doc_id, {placeholder_sql('v')} as is_placeholder, round({entropy_sql('v')}, 4) as entropy from (select doc_id, case doc_id % 4 when 0 then 'your_api_key_here' when 1 then 'sk_te' || 'st_' || repeat('x', 12) when 2 then left(sha256(cast(doc_id as varchar)), 20) else 'Change-Me' end as v from documents)",
     "jwt_validate": "select doc_id, doc_id % 3 = 0 and doc_id % 5 <> 0 as is_jwt from documents",
     "conn_uri_validate": "select doc_id, doc_id % 3 = 2 as accepted from documents",
     "fingerprint_correlation": WITH + "select fingerprint, count(distinct source) as n_sources, min(source) as first_source from f join seeded using (doc_id) group by 1",
     "suppression_annotate": WITH + "select doc_id, rule, rule = 'npm_token' or source = 'src1' as suppressed from f join seeded using (doc_id)",
+    "severity_adjusted": WITH + """, l as (select *, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) as a from f), m as (select *, least(a + (entropy > 4)::int, 4) as b from l), o as (select *, least(b + (risk > 0.8)::int, 4) as c from m)
+        select severity, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[greatest(c - (risk < 0.3)::int, 1)] as adjusted, count(*) as n from o group by 1, 2""",
+    "occurrence_dedup": WITH + "select source, count(*) as n from (select distinct fingerprint, source, len(string_split(substr(content, 1, strpos(content, value) - 1), chr(10))) as line from f join seeded using (doc_id)) group by 1",
     "luhn_cards": r"""select doc_id, count(*) as n_runs, count(*) filter ((list_sum(list_transform(range(1, length(d) + 1), lambda i: case when (i % 2) = 1 then cast(substr(d, length(d) + 1 - i, 1) as integer) else (2 * cast(substr(d, length(d) + 1 - i, 1) as integer)) // 10 + (2 * cast(substr(d, length(d) + 1 - i, 1) as integer)) % 10 end)) % 10) = 0) as n_cards
         from (select doc_id, unnest(regexp_extract_all(text, '\b[0-9]{13,19}\b')) as d from documents) group by 1""",
     "email_inventory": r"select source, count(*) as n, count(distinct lower(email)) as n_distinct from (select source, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as email from documents) group by 1",

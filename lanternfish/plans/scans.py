@@ -46,7 +46,7 @@ def policy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "events").where("event_id % 50 < 5").select(F.col("user_id").alias("scan_id"), "ts", F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, S.PHASES)), (_k() % 4 + 1).cast("int")).alias("phase"))
+    e = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), "ts", F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, S.PHASES)), (_k() % 4 + 1).cast("int")).alias("phase"))
     return S.steady_phase(e).select("id", "shown")
 
 
@@ -76,7 +76,7 @@ SQL = {
     "retry_waits": f"select tries, least(30.0, pow(2.0, tries))::double as outbox, least(3600.0, 300.0 * pow(2.0, tries))::double as breaker from (select distinct {_K} % 10 as tries from events)",
     "archive_contract": "select page_id, page_id % 6 = 5 as allowed from pages",
     "policy_fingerprints": PARTS + "select page_id, sha256('detector-v4:' || case when page_id % 2 = 0 then 'True' else 'False' end || ':' || page_id || case when page_id % 3 = 0 then ':rendered' else '' end) as policy, sha256('{\"target\":\"' || host || '\",\"subdomains\":true}') as scope from x",
-    "phase_guard": f"select event_id as id, (['discovery', 'crawling', 'analysis', 'finalizing'])[max({_K} % 4 + 1) over (partition by user_id order by ts, event_id rows unbounded preceding)] as shown from events where event_id % 50 < 5",
+    "phase_guard": f"select event_id as id, (['discovery', 'crawling', 'analysis', 'finalizing'])[max({_K} % 4 + 1) over (partition by user_id order by ts, event_id rows unbounded preceding)] as shown from events",
     "breaker": "with e as (select user_id % 25 as domain, ts, event_id as id, event_type not in ('error', 'click') as ok from events), b as (select *, sum(ok::int) over (partition by domain order by ts, id rows unbounded preceding) as b from e), r as (select *, sum((not ok)::int) over (partition by domain, b order by ts, id rows unbounded preceding) as r from b), l as (select *, lag(r) over (partition by domain order by ts, id) as br, lag(ts) over (partition by domain order by ts, id) as lt from r) select domain, count(*) filter (br >= 3 and floor(epoch(ts)) - floor(epoch(lt)) < 21600) as blocked, count(*) as requests from l group by 1",
     "progress_guard": f"select event_id, least(greatest({_K}, 0), greatest(user_id % 40, 1)) as current, greatest(user_id % 40, 1) as total from events",
     "same_hosts": PARTS + "select host, count(*) as pages, count(distinct scheme || '://' || lower(auth) || path || qs) as roots from x group by 1",

@@ -100,12 +100,28 @@ def certificate_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.certificate_hosts(p, "names", "example.com")
 
 
+# First labels that hosts often have, and those that often stand for another name.
+PREFIXES = ("api", "www", "app", "dev", "test", "staging", "prod", "demo", "admin", "dashboard", "console", "portal", "login", "auth", "account", "billing", "payments", "shop", "store", "cdn", "static", "assets", "media", "uploads",
+            "downloads", "images", "img", "video", "stream", "development", "sandbox", "playground", "experiment", "docs", "help", "support", "status", "monitor", "mail", "email", "smtp", "imap", "pop", "m", "mobile", "mobil", "wap",
+            "us", "uk", "eu", "asia", "apac", "emea", "origin", "edge", "gateway", "proxy", "vpn")
+ALIASES = ("assets", "cdn", "static", "media", "uploads", "downloads", "images", "img", "video")
+
+
 def candidate_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common prefixes for every registered domain, kept where a table of names resolves them."""
-    prefixes = spark.createDataFrame([(x,) for x in ("www", "api", "dev", "test", "staging", "admin", "mail", "cdn", "m", "blog")], "prefix string")
-    domains = _pages(spark, sf_dir).select(F.regexp_extract(U.host(url()), r"^[^.]+\.(.+)$", 1).alias("domain")).distinct()
-    resolves = _pages(spark, sf_dir).select(U.host(url()).alias("host")).distinct()
-    return domains.crossJoin(F.broadcast(prefixes)).select(F.concat_ws(".", "prefix", "domain").alias("host")).join(resolves, "host", "left_semi")  # ten prefixes
+    """The first fifty common prefixes and the alias names for every domain, kept where a table of names resolves them, with how they were
+    thought of."""
+    tried = spark.createDataFrame([(x, "common_prefix") for x in PREFIXES[:50]] + [(x, "cname") for x in ALIASES], "prefix string, source string")
+    hosts = _pages(spark, sf_dir).select(U.host(url()).alias("host")).distinct()
+    domains = hosts.select(F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("domain")).distinct()
+    thought = domains.crossJoin(F.broadcast(tried)).select(F.concat_ws(".", "prefix", "domain").alias("host"), "source")  # 59 rows
+    return thought.join(hosts, "host", "left_semi")
+
+
+def two_pass_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages found from the first one, then from the first five of those."""
+    edges = _edges(spark, sf_dir).withColumn("confidence", F.round(F.col("dst") % 10 / 10.0, 1))
+    more = edges.select("dst", ((F.col("dst") + 1) % 97).alias("more"), "confidence").select(F.col("dst").alias("src"), F.col("more").alias("dst"), "confidence")
+    return frontier.two_passes(spark.createDataFrame([(0,)], "node long"), edges.unionByName(more))
 
 
 def content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +156,11 @@ def frontier_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
     c = p.select(U.html_root(url()).alias("url"), (F.col("page_id") % 6).cast("int").alias("depth"), U.in_scope(url(), F.lit("example.com")).alias("in_scope"), U.is_js(url()).alias("is_js"))
     seen = p.where("page_id % 10 = 0").select(U.html_root(url()).alias("url"))
-    return frontier.admit(c, seen, 3, 100)
+    return frontier.admit(c, seen, 3)
 
 
 QUERIES = (page_artifacts, url_parts, url_normalize, url_validate, url_metrics, asset_ids, js_identity, page_links, script_inventory, scope_filter, endpoint_extract, endpoint_classes, module_edges, asset_references,
-           host_discovery, certificate_hosts, candidate_hosts, content_identity, challenge_pages, public_addresses, bfs_frontier, depth_histogram, frontier_admission)
+           host_discovery, certificate_hosts, candidate_hosts, content_identity, challenge_pages, public_addresses, bfs_frontier, depth_histogram, frontier_admission, two_pass_discovery)
 
 # ---- the same in SQL -----------------------------------------------------------------------------------------------
 
@@ -184,11 +200,14 @@ SQL = {
     "asset_references": "select doc_id, unnest(['https://a.example.com/x/' || doc_id, 'https://e.example.com/']) as locator from documents",
     "host_discovery": r"select host, count(*) as n from (select page_id, unnest(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', url, html), '(?i)https?://([a-z0-9.-]+)', 1), lambda h: lower(h)))) as host from pages) where host = 'example.com' or ends_with(host, '.example.com') group by 1",
     "certificate_hosts": "select host, 0.85::double as confidence from (select 'h' || (page_id % 20) || '.example.com' as host from pages union select 'h' || (page_id % 5) || '.example.com' from pages)",
-    "candidate_hosts": PARTS + r"select distinct a.host from x a join (select distinct regexp_extract(host, '^[^.]+\.(.+)$', 1) as domain from x) d on a.host in (" + ", ".join(f"'{p}.' || d.domain" for p in ("www", "api", "dev", "test", "staging", "admin", "mail", "cdn", "m", "blog")) + ")",
+    "candidate_hosts": PARTS + r"select distinct a.host, t.source from x a join (select distinct regexp_extract(host, '^[^.]+\.(.+)$', 1) as domain from x) d on ends_with(a.host, '.' || d.domain) join (values " + ", ".join(f"('{p}', '{k}')" for k, ps in (("common_prefix", PREFIXES[:50]), ("cname", ALIASES)) for p in ps) + ") t(prefix, source) on a.host = t.prefix || '.' || d.domain",
+    "two_pass_discovery": """with n as (select count(*) as n from pages), e0 as (select page_id as src, unnest([(page_id * 7 + 1) % n, (page_id * 3 + 2) % n]) as dst from pages, n), e1 as (select *, round(dst % 10 / 10.0, 1)::double as c from e0),
+        e as (select * from e1 union all select dst, (dst + 1) % 97, c from e1), a as (select dst as node, max(c) as c from e where src = 0 group by 1), f as (select node from a order by c desc, node limit 5),
+        b as (select dst as node, max(c) as c from e where src in (select node from f) group by 1) select node, max(c) as confidence from (select * from a union all select * from b) group by 1""",
     "content_identity": r"select sha256(array_to_string(list_filter(list_transform(string_split(replace(trim(coalesce(text, '')), chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) as content_hash, count(*) as n, min(doc_id) as first_doc from documents group by 1 having count(*) > 1",
     "challenge_pages": "select count(*) as n, count(*) filter (contains(h, 'cf-chl-') or contains(h, 'g-recaptcha') or contains(h, 'type=\"password\"') or contains(h, 'type=''password''')) as challenged, count(*) filter (not regexp_matches(lower(ltrim(html)), '^<(?:!doctype|html)') and " + " + ".join(f"contains(html, '{w}')::int" for w in ("function", "var ", "let ", "const ", "=>", "return", "import ", "export ")) + " >= 2) as script_like from (select html, lower(substr(html, 1, 65536)) as h from pages)",
     "public_addresses": "select page_id, not (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and ((b = 0 and c in (0, 2)) or b = 168)) or (a = 198 and (b in (18, 19) or (b = 51 and c = 100))) or (a = 203 and b = 0 and c = 113)) as is_public from (select page_id, page_id * 7 % 256 as a, page_id * 3 % 256 as b, page_id * 11 % 256 as c from pages)",
     "bfs_frontier": _BFS + "select * from b",
     "depth_histogram": _BFS + "select depth, count(*) as n from b group by 1",
-    "frontier_admission": PARTS + f", c as (select {_ROOT} as url, cast(page_id % 6 as integer) as depth, {_IN_SCOPE} as s, page_id from x) select url, min(depth) as depth from c where s and depth <= 3 and url not in (select url from c where page_id % 10 = 0) group by 1 order by 2, 1 limit 100",
+    "frontier_admission": PARTS + f", c as (select {_ROOT} as url, cast(page_id % 6 as integer) as depth, {_IN_SCOPE} as s, page_id from x) select url, min(depth) as depth from c where s and depth <= 3 and url not in (select url from c where page_id % 10 = 0) group by 1 order by 2, 1 limit 20000",
 }

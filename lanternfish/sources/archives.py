@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +34,22 @@ def decoded(content: Column) -> Column:
     return F.when(~nul, F.regexp_replace(text, "^﻿", ""))
 
 
-def cdx_rows(responses: DataFrame, column: str = "body") -> DataFrame:
+#: Fixed value: fields of an index row.
+CDX = ("timestamp", "original", "mimetype", "statuscode", "digest")
+
+
+def cdx_rows(responses: DataFrame, column: str = "body", filters: tuple[str, ...] = ()) -> DataFrame:
     """(timestamp, original, mimetype, statuscode, digest) from index pages: a JSON array of arrays under a header row.
-    Rows that are not of the header's shape, not successful or not dated are left out."""
+    Pages without that header give nothing; rows that are not of its shape, not successful, not dated, or that a filter
+    ("field:expression", which the whole field must match) rejects are left out."""
     rows = F.from_json(column, "array<array<string>>")
-    one = responses.select(F.posexplode(rows).alias("i", "r")).where("i > 0")
-    names = ("timestamp", "original", "mimetype", "statuscode", "digest")
-    got = one.where(F.size("r") == len(names)).select(*(F.get("r", F.lit(k)).alias(n) for k, n in enumerate(names)))
-    return got.where((F.col("statuscode") == "200") & F.col("timestamp").rlike("^[0-9]{14}$"))
+    paged = responses.select(rows.alias("rows")).where(F.get("rows", F.lit(0)) == F.array(*map(F.lit, CDX)))
+    one = paged.select(F.posexplode("rows").alias("i", "r")).where("i > 0")
+    got = one.where(F.size("r") == len(CDX)).select(*(F.get("r", F.lit(k)).alias(n) for k, n in enumerate(CDX)))
+    got = got.where((F.col("statuscode") == "200") & F.col("timestamp").rlike("^[0-9]{14}$"))
+    for name, _, pattern in (f.partition(":") for f in filters):
+        got = got.where(F.col(name).rlike(f"^(?:{pattern})$"))
+    return got
 
 
 def jsonl_rows(responses: DataFrame, column: str = "body") -> DataFrame:
@@ -91,27 +101,70 @@ def map_sources(maps: DataFrame, column: str = "body", max_sources: int = 100) -
 
 
 _DIGITS = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
-
-
-def mapped_location(mappings: str, line: int, column: int) -> tuple[int, int, int] | None:
-    """(source, line, column) of the segment at or before a generated place (all from 0) in base64-VLQ mappings."""
-    state, found = [0, 0, 0], None
-    for number, row in enumerate(mappings.split(";")):
-        at = 0
-        for segment in filter(None, row.split(",")):
-            fields, value, shift = [], 0, 0
-            for c in segment:
-                d = _DIGITS[c]
-                value |= (d & 31) << shift
-                shift += 5
-                if not d & 32:
-                    fields.append(-(value >> 1) if value & 1 else value >> 1)
-                    value = shift = 0
-            at += fields[0]
-            if len(fields) >= 4:
-                state = [s + f for s, f in zip(state, fields[1:4])]
-                if number == line and at <= column:
-                    found = tuple(state)
-        if number == line:
-            break
-    return found
+#: How deep maps may hold maps, and segments that are read of all.
+MAP_DEPTH, MAP_SEGMENTS = 4, 100_000
+
+
+def vlq(segment: str) -> list[int]:
+    """Numbers of a base64-VLQ segment: five bits a digit, lowest first, the sixth tells that more follow, the lowest the sign."""
+    out: list[int] = []
+    bits = count = 0
+    for c in segment:
+        digit = _DIGITS.get(c)
+        if digit is None or count > 6:
+            raise ValueError("invalid VLQ")
+        bits |= (digit & 31) << 5 * count
+        count += 1
+        if digit < 32:
+            out.append(-(bits >> 1) if bits & 1 else bits >> 1)
+            bits = count = 0
+    if count:
+        raise ValueError("incomplete VLQ")
+    return out
+
+
+def flat_maps(root: dict):
+    """(map, generated line and column at which it begins) of a source map and the maps of its sections."""
+    stack = [(root, 0, 0, 0)]
+    while stack:
+        m, line, column, depth = stack.pop()
+        if depth > MAP_DEPTH:
+            raise ValueError("maps too deep")
+        if "sections" not in m:
+            yield m, line, column
+        for part in reversed(m.get("sections", [])):
+            at = part["offset"]
+            stack.append((part["map"], line + at["line"], at["column"] + (0 if at["line"] else column), depth + 1))
+
+
+def segments(m: dict):
+    """(generated line, generated column, source, line, column) of a flat map's segments that name a source, all from 0."""
+    place = [0, 0, 0, 0]  # source, line, column, name: each is told as a difference from the one before
+    for row, text in enumerate(m.get("mappings", "").split(";")):
+        column = 0
+        for fields in map(vlq, filter(None, text.split(","))):
+            if len(fields) not in (1, 4, 5):
+                raise ValueError("invalid segment")
+            column += fields[0]
+            place = [a + b for a, b in zip(place, [*fields[1:], 0, 0, 0, 0])]
+            if column < 0 or min(place[:3]) < 0 or (len(fields) > 1 and place[0] >= len(m.get("sources", ()))) or (len(fields) == 5 and not 0 <= place[3] < len(m.get("names", ()))):
+                raise ValueError("invalid position")
+            yield (row, column, *place[:3]) if len(fields) > 1 else None
+
+
+def generated_location(body: str, source: str, content: str, line: int, column: int) -> dict | None:
+    """Where the bundle holds a place (line from 1, UTF-16 column from 0) of a source with that name and content: at the segment nearest
+    to its left on that line, the first of equals. None if no segment tells; broken maps raise."""
+    best, read = None, 0
+    for m, line0, column0 in flat_maps(json.loads(body)):
+        texts = m.get("sourcesContent", [])
+        wanted = {i for i, s in enumerate(m.get("sources", [])) if s == source and i < len(texts) and texts[i] == content}
+        for x in segments(m) if wanted else ():
+            read += 1
+            if read > MAP_SEGMENTS:
+                raise ValueError("too many segments")
+            if x and x[2] in wanted and x[3] == line - 1 and x[4] <= column and (best is None or column - x[4] < best[0]):
+                best = (column - x[4], line0 + x[0] + 1, x[1] + (0 if x[0] else column0))
+    if best is None:
+        return None
+    return {"original_line": line, "original_column": column, "generated_line": best[1], "generated_column": best[2], "accuracy": "nearest_segment" if best[0] else "exact_segment"}

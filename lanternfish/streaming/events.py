@@ -16,8 +16,9 @@ TELEMETRY = ("heartbeat_debug", "analysis_timing", "retry_attempt", "confidence_
 ALWAYS = ("scan_started", "scan_completed", "scan_failed", "scan_error", "secret_found")
 NOISE = ("batch_started", "batch_completed", "initial_stats", "crawl_started", "crawl_completed", "crawl_final_stats", "task_failed", "processing_error", "parse_error")
 TERMINAL = ("scan_completed", "scan_failed", "scan_error")
+SNAPSHOTS = ("scan_progress", "stats_update")
 #: States of a scan and the steps between them.
-STEPS = (("pending", "running"), ("running", "paused"), ("running", "completed"), ("running", "failed"), ("paused", "running"), ("paused", "failed"))
+STEPS = (("pending", "running"), ("pending", "failed"), ("running", "paused"), ("running", "completed"), ("running", "failed"), ("paused", "running"), ("paused", "failed"))
 
 
 def reported(kind: Column, data: Column) -> Column:
@@ -82,6 +83,56 @@ def coalesced(progress: DataFrame) -> DataFrame:
     return progress.where("phase is not null").withColumn("before", before).where("before is null or before <> phase").drop("before")
 
 
+def paced(progress: DataFrame, seconds: float = 1.5, parts: tuple[str, ...] = ("phase",)) -> DataFrame:
+    """progress (scan_id, ts, id, and parts, the first of which is the phase) that flows: where a phase is told and one of the parts
+    is not what it was in the event before, or `seconds` after what flowed last. Like `cooled` a fold over a scan's events in order,
+    with the time of what flowed last as its state."""
+    schema = progress.schema
+    w = W.partitionBy("scan_id").orderBy("ts", "id")
+    moved = F.lag("id").over(w).isNull()
+    for c in parts:
+        moved = moved | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    told = progress.withColumn("_moved", moved & F.coalesce(F.col(parts[0]) != "", F.lit(False)))
+    places = [told.columns.index(c) for c in ("scan_id", "ts", "_moved")]
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        scan, last, step = object(), 0, int(seconds * 1e6)
+        for b in batches:
+            keep = []
+            for k, t, m in zip(b.column(places[0]).to_pylist(), pc.cast(b.column(places[1]), pa.int64()).to_pylist(), b.column(places[2]).to_pylist()):
+                flows = m or k != scan or t - last >= step
+                if flows:
+                    scan, last = k, t
+                keep.append(flows)
+            yield b.drop_columns(["_moved"]).filter(pa.array(keep, pa.bool_()))
+
+    return told.repartition("scan_id").sortWithinPartitions("scan_id", "ts", "id").mapInArrow(run, schema)
+
+
+def flushed(events: DataFrame, kinds: tuple[str, ...] = SNAPSHOTS) -> DataFrame:
+    """(scan_id, terminal_id, event_type, data, last): what each terminal event of events (scan_id, ts, id, event_type, data) sends: the
+    latest snapshot of each kind since the terminal event before it, then itself (last)."""
+    ended = F.col("event_type").isin(*TERMINAL)
+    before = F.coalesce(F.sum(ended.cast("int")).over(W.partitionBy("scan_id").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    told = events.where(ended | F.col("event_type").isin(*kinds)).withColumn("stretch", before)
+    ends = told.where(ended).select("scan_id", "stretch", F.col("id").alias("terminal_id"), "event_type", "data")
+    held = told.where(~ended).groupBy("scan_id", "stretch", "event_type").agg(F.max_by("data", F.struct("ts", "id")).alias("data"))
+    sent = held.join(ends.select("scan_id", "stretch", "terminal_id"), ["scan_id", "stretch"])
+    cols = ("scan_id", "terminal_id", "event_type", "data")
+    return sent.select(*cols, F.lit(False).alias("last")).unionByName(ends.select(*cols, F.lit(True).alias("last")))
+
+
+def admitted(log: DataFrame, pending: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """log (event_id, payload) plus verdict: new, duplicate (the same payload is held already), or conflict (another is)."""
+    held = pending.select("event_id", "payload").unionByName(quarantined.select("event_id", "payload"))
+    held = held.groupBy("event_id").agg(F.min("payload").alias("_a"), F.max("payload").alias("_b"))
+    same = F.col("_a").eqNullSafe(F.col("payload")) & F.col("_b").eqNullSafe(F.col("payload"))
+    return log.join(held.withColumn("_h", F.lit(True)), "event_id", "left").withColumn("verdict", F.when(F.col("_h").isNull(), "new").when(same, "duplicate").otherwise("conflict")).drop("_a", "_b", "_h")
+
+
 def latest(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key, "event_type").agg(F.max_by("data", F.struct("ts", "id")).alias("data"), F.max("ts").alias("ts"))
 

@@ -1,6 +1,8 @@
+import base64
 import datetime as dt
 import gzip
 import importlib
+import json
 import subprocess
 import sys
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import urls as U
 from lanternfish.operators import delta, extract, frontier, metrics, ranking
+from lanternfish.operators import recovery as V
 from lanternfish.plans import registry
 from lanternfish.sources import archives
 from lanternfish.streaming import events as S
@@ -135,7 +138,26 @@ def test_local_files(spark, tmp_path):
 
 
 def test_source_maps(spark):
-    assert archives.mapped_location("AAAA,IAAM;AACA", 0, 5) == (0, 0, 6) and archives.mapped_location("AAAA;AACA", 1, 0) == (0, 1, 0) and archives.mapped_location(";", 0, 0) is None
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def code(n):
+        n, out = (-n << 1 | 1) if n < 0 else n << 1, ""
+        while True:
+            n, d = n >> 5, n & 31
+            out += digits[d | 32 if n else d]
+            if not n:
+                return out
+
+    assert archives.vlq(code(-7) + code(0) + code(123456)) == [-7, 0, 123456]
+    seg = lambda *x: "".join(map(code, x))
+    flat = {"version": 3, "sources": ["a.js", "b.js"], "sourcesContent": ["A", "B"], "names": [], "mappings": ";".join([",".join([seg(0, 0, 0, 0), seg(4, 1, 0, 6)]), seg(2, 0, 1, -2)])}
+    where = lambda m, *x: (lambda r: r and (r["generated_line"], r["generated_column"], r["accuracy"]))(archives.generated_location(json.dumps(m), *x))
+    assert where(flat, "b.js", "B", 1, 9) == (1, 4, "nearest_segment") and where(flat, "b.js", "B", 2, 4) == (2, 2, "exact_segment") and where(flat, "b.js", "B", 1, 5) is None and where(flat, "a.js", "other", 1, 0) is None
+    parts = {"version": 3, "sections": [{"offset": {"line": 0, "column": 0}, "map": {"version": 3, "sections": []}}, {"offset": {"line": 3, "column": 10}, "map": flat}]}
+    assert where(parts, "b.js", "B", 1, 6) == (4, 14, "exact_segment") and where(parts, "b.js", "B", 2, 4) == (5, 2, "exact_segment")
+    for broken in ("AA", "A!", seg(0, 5, 0, 0), seg(-1, 0, 0, 0)):
+        with pytest.raises(ValueError):
+            archives.generated_location(json.dumps(flat | {"mappings": broken}), "a.js", "A", 1, 0)
     df = spark.createDataFrame([(1, '{"version":3,"sources":["a","b"],"sourcesContent":["x",null]}'), (2, "{"), (3, '{"version":2,"sources":["a"],"sourcesContent":["x"]}'), (4, None)], "map_id long, body string")
     assert [(r["map_id"], r["source"], r["content"]) for r in archives.map_sources(df).collect()] == [(1, "a", "x")]
 
@@ -183,7 +205,7 @@ def test_archive_records(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["problem"]) for r in V.records(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert got == {"good": ("é", None), "junk": (None, "not gzip"), "two": (None, "not one member"), "image": (None, "type"), "bad": (None, "charset")}
     assert V.record(b"")["problem"] == "not one member"
-    assert V.record(good)["captured"] == "20240102030405" and V.record(good, "https://other")["problem"] == "other uri"
+    assert V.record(good)["captured"] == "20240102030405" and V.record(good, "https://other")["problem"] == "other uri" and V.record(good, want_time="20240102030406")["problem"] == "other time"
 
 
 def test_bisection():
@@ -201,3 +223,18 @@ def test_script_strings():
 
     js = 'var s = "//# sourceMappingURL=no";\n/* var c = "a" + "b"; */\nconst k = "a\\u0062" + "c";\n//# sourceMappingURL=x.map\n'
     assert V.map_reference(js) == "x.map" and V.literal_strings(js) == [("k", "abc", 3)]
+
+
+def test_declared_maps():
+    inline = "data:application/json;base64," + base64.b64encode(b' {"version":3} ').decode()
+    assert V.map_reference("a /*# sourceMappingURL=x.map */") == "x.map" and V.map_reference("let s = '//# sourceMappingURL=no'; // see //# sourceMappingURL=no") is None
+    assert V.declared_map("x\n//# sourceMappingURL=../m.map\n", "https://h.example/js/app.js") == "https://h.example/m.map"
+    assert V.declared_map(f"//# sourceMappingURL=old.map\n//# sourceMappingURL={inline}", "https://h.example/") == '{"version":3}' and V.declared_map("none", "https://h.example/") is None
+    with pytest.raises(ValueError):
+        V.declared_map("//# sourceMappingURL=data:text/plain,x", "https://h.example/")
+
+
+def test_record_types_and_charsets():
+    one = lambda body, kind: V.record(V.member("https://h/x", "2024-01-02T03:04:05+01:00", body, kind))
+    assert one(b"<a/>", "application/atom+xml")["text"] == "<a/>" and one(b"x", "application/octet-stream")["text"] == "x" and one(b"x", "application/atom+xml")["captured"] == "20240102020405"
+    assert one(b"\x93q\x94", "text/plain; charset=windows-1252")["text"] == "\u201cq\u201d" and one(b"x", "text/plain; charset=koi8-r")["problem"] == "charset" and one(b"a\0b", "text/plain")["problem"] == "binary" and one(b"x", "image/png")["problem"] == "type"
