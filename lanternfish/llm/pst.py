@@ -40,7 +40,7 @@ OFTEN, SYMBOLS = 500, (1 << BITS) - FIRST
 #: Least count of a context, of what is told apart after one, critical value of the test beyond its own spread, and discount.
 LEAST, MET, CRITICAL, OFF = 150, 5, 20.0, 0.75
 #: Most frequent words (16 bytes each) and entries of the most frequent contexts (12 bytes each) that are broadcast.
-HEAD, MODEL = 200_000, 6_000_000
+HEAD, MODEL = 400_000, 6_000_000
 #: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
 FILTER_BITS = 23
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
@@ -160,15 +160,15 @@ def symbols_in(batch: pa.RecordBatch, name: str = "symbols") -> np.ndarray:
 
 def count_grams(coded: DataFrame, candidates: DataFrame, d: int) -> DataFrame:
     """(up, key, n): counts of what follows contexts of d symbols, of those that a filter of candidates (ctx) lets through. key is the
-    context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level above has its row."""
+    context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level above has its row;
+    for contexts of one symbol that level is broadcast."""
     told = coded.sparkSession.sparkContext.broadcast(_filter(candidates))
 
     def run(batches):
         flags, tables, held = flags_of(told.value), [], 0
 
         def table():
-            key, n = merged(tables)
-            return pa.RecordBatch.from_arrays([pa.array(key & ((1 << BITS * d) - 1)), pa.array(key), pa.array(n)], names=["up", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(tables)], names=["key", "n"])
 
         for part in batches:
             stream = symbols_in(part)
@@ -183,8 +183,10 @@ def count_grams(coded: DataFrame, candidates: DataFrame, d: int) -> DataFrame:
         if held:
             yield table()
 
-    rows = coded.where("learn").select("symbols").mapInArrow(run, "up long, key long, n long")
-    return rows.repartition("up").groupBy("up", "key").agg(F.sum("n").alias("n"))
+    rows, up = coded.where("learn").select("symbols").mapInArrow(run, "key long, n long"), F.col("key").bitwiseAND((1 << BITS * d) - 1).alias("up")
+    if d == 1:
+        return rows.groupBy("key").agg(F.sum("n").alias("n")).select(up, "key", "n")
+    return rows.select(up, "key", "n").repartition("up").groupBy("up", "key").agg(F.sum("n").alias("n"))
 
 
 def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
