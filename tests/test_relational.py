@@ -199,7 +199,7 @@ def test_archive_records(spark, tmp_path):
     from lanternfish.operators import recovery as V
 
     good = V.member("https://h/x", "2024-01-02T03:04:05Z", "é".encode(), "text/html; charset=utf-8")
-    cases = {"good": good, "junk": b"no archive here", "two": good + good, "image": V.member("u", "2024", b"x", "image/png"), "bad": V.member("u", "2024", b"\xff", "text/plain")}
+    cases = {"good": good, "junk": b"no archive here", "two": good + good, "image": V.member("u", "2024-01-01T00:00:00Z", b"x", "image/png"), "bad": V.member("u", "2024-01-01T00:00:00Z", b"\xff", "text/plain")}
     for name, data in cases.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["problem"]) for r in V.records(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
