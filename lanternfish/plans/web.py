@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import extract as E
+from ..functions.scan import SCRIPT_PLACES
 from ..operators import frontier
 from ..sources import tables as T
 from .detection import q
@@ -52,6 +53,37 @@ def js_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", U.js_identity(js).alias("identity"))
 
 
+def _variants():
+    """URLs as they stand in scripts: without a scheme, with a host for a folder, relative, of other kinds."""
+    u = url()
+    rest = F.regexp_replace(u, "^https?:", "")
+    forms = (u, rest, F.concat(F.lit("/cdn."), F.regexp_extract(u, r"^https?://([^/?#]+)", 1), F.lit("/lib/x")), F.lit("/main.js"), F.lit("app.a1b2c3.js"), F.lit("data:text/plain,x"), F.lit("javascript:void(0)"), F.lit("tel:1"), F.lit(""),
+             F.concat(F.lit("files/v"), F.col("page_id").cast("string"), F.lit(".tar.gz")), F.lit("static.one.two/y"), F.lit("a.b.qzqz/z"), F.lit("page.html"))
+    return F.element_at(F.array(*forms), (F.col("page_id") % len(forms) + 1).cast("int"))
+
+
+def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of URL each is, and its spelling, against the page's own."""
+    got = U.classified(_pages(spark, sf_dir).select("page_id", F.regexp_extract(url(), r"^(https?://[^/?#]+)", 1).alias("base"), F.when(_variants() == url(), F.regexp_replace(url(), r"[?#].*$", "")).otherwise(_variants()).alias("url")), "url", "base")
+    return got.select("page_id", "class", "normalized")
+
+
+def target_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users give as targets: hosts, URLs with ports, and things that are none."""
+    u = url()
+    host = F.regexp_extract(u, r"^https?://([^/?#]+)", 1)
+    forms = (F.concat(u, F.lit("#part")), host, F.concat(F.lit("ftp://"), host), F.concat(F.lit("https://me@"), host), F.concat(host, F.lit("/a b")), F.concat(host, F.lit(":8443")), F.concat(host, F.lit(":99999")), F.concat(F.lit("-"), host), F.lit(""))
+    return U.targets(_pages(spark, sf_dir).select("page_id", F.element_at(F.array(*forms), (F.col("page_id") % len(forms) + 1).cast("int")).alias("given")), "page_id", "given")
+
+
+def script_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that generated bundles name in the forms of loaders and frameworks."""
+    p = F.col("page_id").cast("string")
+    js = F.concat(F.lit('import("./a'), p, F.lit('.js"); import x from "/lib/b.js?v=1"; loadScript("https://cdn.example.net/c.js"); e.src = "//cdn.example.net/d.js";\nchunkFilename: "e.chunk.js", lazy(() => import("./views/home"));\n__webpack_require__("./static/js/x"); var m = ["/_next/static/f.js", "/js/main.0a1b2c3d.js", "/assets/vendor'),
+                  p, F.lit('.js", "no.css"];\n'), F.coalesce("html", F.lit("")))
+    return E.script_references(_pages(spark, sf_dir).select("page_id", F.lit("https://app.example.com/js/main.js").alias("url"), js.alias("content")), "page_id", "content", "url")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.links(_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("target").alias("n_targets"), F.min("target").alias("first_target"))
 
@@ -68,7 +100,7 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scripts(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
-    s = F.concat(F.lit('fetch("/api/v'), (d % 3).cast("string"), F.lit('/users/'), d.cast("string"), F.lit('");\nimport x from "./m'), (d % 7).cast("string"), F.lit('.js";\nconst baseURL: "https://svc.example.com/hook";\nnew Worker("/w.js");import "lodash";\n'), F.left(F.coalesce("text", F.lit("")), F.lit(400)))
+    s = F.concat(F.lit('fetch("/api/v'), (d % 3).cast("string"), F.lit('/users/'), d.cast("string"), F.lit('");\nimport x from "./m'), (d % 7).cast("string"), F.lit('.js";\nconst baseURL: "https://svc.example.com/hook";\nnew Worker("/w.js");import "lodash";\n'), F.coalesce("text", F.lit("")))
     return T.table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("https://app.example.com/js/main.js").alias("url"), s.alias("content"))
 
 
@@ -159,7 +191,7 @@ def frontier_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.admit(c, seen, 3)
 
 
-QUERIES = (page_artifacts, url_parts, url_normalize, url_validate, url_metrics, asset_ids, js_identity, page_links, script_inventory, scope_filter, endpoint_extract, endpoint_classes, module_edges, asset_references,
+QUERIES = (page_artifacts, url_parts, url_normalize, url_validate, url_metrics, asset_ids, js_identity, page_links, script_inventory, script_references, url_classes, target_contract, scope_filter, endpoint_extract, endpoint_classes, module_edges, asset_references,
            host_discovery, certificate_hosts, candidate_hosts, content_identity, challenge_pages, public_addresses, bfs_frontier, depth_histogram, frontier_admission, two_pass_discovery)
 
 # ---- the same in SQL -----------------------------------------------------------------------------------------------
@@ -168,8 +200,10 @@ _P = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?
 PARTS = f"""with p as (select *, lower(regexp_extract(url, {_P}, 1)) as scheme, regexp_extract(url, {_P}, 2) as auth, regexp_extract(url, {_P}, 3) as path, regexp_extract(url, {_P}, 4) as query, regexp_extract(url, {_P}, 5) as frag from pages),
 x as (select *, lower(regexp_extract(auth, '^(?:[^@]*@)?([^:]*)', 1)) as host, case when query <> '' then '?' || query else '' end as qs, case when path = '' then '/' else path end as path1 from p) """
 _BARE = r"regexp_replace(regexp_extract(lower(auth), '^([^:]*)', 1), '^www\.', '')"
-_SCRIPT = """with s as (select doc_id, 'fetch("/api/v' || (doc_id % 3) || '/users/' || doc_id || '");' || chr(10) || 'import x from "./m' || (doc_id % 7) || '.js";' || chr(10) || 'const baseURL: "https://svc.example.com/hook";' || chr(10) || 'new Worker("/w.js");import "lodash";' || chr(10) || left(coalesce(text, ''), 400) as content from documents) """
-_EXTRACT = "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(content, {q(p)}, 1)" for p in E.ENDPOINTS) + "]))"
+_SCRIPT = """with s as (select doc_id, 'fetch("/api/v' || (doc_id % 3) || '/users/' || doc_id || '");' || chr(10) || 'import x from "./m' || (doc_id % 7) || '.js";' || chr(10) || 'const baseURL: "https://svc.example.com/hook";' || chr(10) || 'new Worker("/w.js");import "lodash";' || chr(10) || coalesce(text, '') as content from documents) """
+_all = lambda v, ps: "flatten([" + ", ".join(f"regexp_extract_all({v}, {q(p)}, 1)" for p in ps) + "])"
+_LINES = "list_filter(string_split(content, chr(10)), lambda x: " + " or ".join(f"contains(lower(x), '{h}')" for h in E.HINTS) + ")"
+_EXTRACT = f"list_distinct(list_filter(list_transform(list_concat({_all('content', (E.LITERAL, *E.ENDPOINTS, *E.LONG_ENDPOINTS, *E.COMPLEX))}, flatten(list_transform({_LINES}, lambda x: {_all('x', E.LONG_ENDPOINTS)}))), lambda x: replace(trim(x), '\\/', '/')), lambda x: x <> ''))"
 
 
 def _kind_sql(v: str) -> str:
@@ -182,6 +216,12 @@ r as (select 0::bigint as node, 0 as depth union select dst, depth + 1 from r jo
 _IN_SCOPE = f"scheme in ('http', 'https') and {_BARE} <> '' and ({_BARE} = 'example.com' or ends_with({_BARE}, '.example.com') or ({_BARE} in ({', '.join(map(q, U.CDN))}) and regexp_matches(lower(path), '\\.(?:js|mjs|cjs)$')))"
 _ROOT = "scheme || '://' || lower(auth) || path || qs"
 
+_VARIANTS_SQL = """(['' || regexp_replace(url, '[?#].*$', ''), regexp_replace(url, '^https?:', ''), '/cdn.' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/lib/x', '/main.js', 'app.a1b2c3.js', 'data:text/plain,x', 'javascript:void(0)', 'tel:1', '', 'files/v' || page_id || '.tar.gz', 'static.one.two/y', 'a.b.qzqz/z', 'page.html'])[page_id % 13 + 1]"""
+_PLAUSIBLE = (f"regexp_extract(lower(e), '([^.]*)$', 1) not in ({', '.join(map(q, U.FILE_ENDINGS))}) and (" + " or ".join(f"regexp_matches(lower(e), {q(p)})" for p in U.NETWORKS)
+              + f" or regexp_extract(lower(e), '([^.]*)$', 1) in ({', '.join(map(q, U.TLDS))}) or regexp_matches(lower(e), '\\.[a-z]{{2}}$') or regexp_matches(e, '^\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}$') or regexp_matches(lower(e), '\\..*\\.[a-z]{{2,}}$'))")
+_GIVEN_SQL = """([url || '#part', h.h, 'ftp://' || h.h, 'https://me@' || h.h, h.h || '/a b', h.h || ':8443', h.h || ':99999', '-' || h.h, ''])[page_id % 9 + 1]""".replace("h.h", "regexp_extract(url, '^https?://([^/?#]+)', 1)")
+_BUNDLE_SQL = """'import("./a' || page_id || '.js"); import x from "/lib/b.js?v=1"; loadScript("https://cdn.example.net/c.js"); e.src = "//cdn.example.net/d.js";' || chr(10) || 'chunkFilename: "e.chunk.js", lazy(() => import("./views/home"));' || chr(10) || '__webpack_require__("./static/js/x"); var m = ["/_next/static/f.js", "/js/main.0a1b2c3d.js", "/assets/vendor' || page_id || '.js", "no.css"];' || chr(10) || coalesce(html, '')"""
+
 SQL = {
     "page_artifacts": PARTS + "select sha256(url) as id, url as locator, cast(octet_length(encode(coalesce(html, ''))) as bigint) as size, sha256(coalesce(html, '')) as content_hash, 'text/html' as content_type from x where scheme in ('http', 'https') and not contains(auth, '@')",
     "url_parts": PARTS + "select page_id, scheme, host, path, query, frag as fragment from x",
@@ -196,9 +236,21 @@ SQL = {
     "scope_filter": PARTS + f"select page_id, {_IN_SCOPE} as in_scope, {_BARE} as domain from x",
     "endpoint_extract": _SCRIPT + f"select doc_id, count(*) as n, array_to_string(list_sort(list(endpoint)), ' ') as endpoints from (select doc_id, unnest({_EXTRACT}) as endpoint from s) group by 1",
     "endpoint_classes": _SCRIPT + f"select {_kind_sql('endpoint')} as kind, count(*) as n, round(avg({_CONF}), 4) as avg_confidence from (select doc_id, unnest({_EXTRACT}) as endpoint from s) group by 1",
-    "module_edges": "select * from (select 'https://app.example.com/js/m' || (doc_id % 7) || '.js' as target, count(*) as n from documents group by 1 union all select 'https://app.example.com/w.js', count(*) from documents)",
+    "module_edges": _SCRIPT + f", r as (select unnest(list_distinct({_all('content', [p.replace('{1,2048}', '+') for p in E.MODULES])})) as ref from s) select case when starts_with(ref, 'http') then ref when starts_with(ref, '/') then 'https://app.example.com' || ref else 'https://app.example.com/js/' || replace(ref, './', '') end as target, count(*) as n from r where regexp_matches(ref, '^(?:\\.{{1,2}}/|/|https?://)') group by 1",
+    "url_classes": f"""with i as (select page_id, {_VARIANTS_SQL} as u, regexp_extract(url, '^(https?)://([^/?#]+)', 2) as h, url from pages), g as (select *, regexp_extract(u, {q(U.EMBEDDED)}, 1) as e, lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) as sc from i),
+        k as (select *, case when u = '' then 'empty' {' '.join(f"when sc = '{n}' then '{c}'" for n, c in U.OTHER_SCHEMES.items())} when starts_with(u, '//') then 'protocol_relative' when regexp_matches(u, '^(?:https?|ftps?)://') then 'absolute'
+            when e <> '' and {_PLAUSIBLE} then 'embedded_host' else 'relative' end as class from g)
+        select page_id, class, case class when 'protocol_relative' then 'https:' || regexp_replace(u, '#.*$', '') when 'absolute' then u when 'embedded_host' then 'https://' || ltrim(u, '/') when 'relative' then regexp_extract(url, '^(https?://[^/?#]+)', 1) || case when starts_with(u, '/') then u else '/' || u end end as normalized from k""",
+    "target_contract": f"""with i as (select page_id, {_GIVEN_SQL} as t from pages), f as (select *, case when contains(t, '://') then t else 'https://' || t end as w from i), a as (select *, lower(regexp_extract(w, '^([^:]+)://', 1)) as sc, regexp_extract(w, '://([^/?#]*)', 1) as au, regexp_extract(w, '://[^/?#]*([^?#]*)', 1) as pa, regexp_extract(w, '\\?([^#]*)', 1) as qu from f),
+        h as (select *, lower(regexp_extract(au, '^([^:]*)', 1)) as ho, regexp_extract(au, ':([0-9]+)$', 1) as po from a),
+        p as (select *, case when t = '' then 'length' when regexp_matches(t, '[\\x00-\\x20\\x7f\\\\]') then 'characters' when po <> '' and cast(po as integer) > 65535 then 'host' when sc not in ('http', 'https') then 'scheme' when contains(au, '@') then 'user'
+            when not regexp_full_match(ho, '[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?(?:\\.[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?)*') then 'host' end as problem from h)
+        select page_id, case when problem is null then sc || '://' || ho || case when po <> '' then ':' || po else '' end || case when pa = '' then '/' else pa end || case when qu <> '' then '?' || qu else '' end end as target, problem from p""",
+    "script_references": f"""with s as (select page_id, {_BUNDLE_SQL} as content from pages), r as (select page_id, unnest({_all('content', [f'(?i){p}' for p in E.SCRIPT_FILES])}) as ref from s),
+        t as (select page_id, case when regexp_matches(ref, '^https?://') then ref when starts_with(ref, '//') then 'https:' || ref when starts_with(ref, '/') then 'https://app.example.com' || ref else 'https://app.example.com/js/' || replace(ref, './', '') end as target from r where length(ref) >= 3)
+        select distinct page_id, target from t where regexp_matches(lower(regexp_extract(target, '^https?://[^/?#]*([^?#]*)', 1)), '\\.(?:js|mjs|cjs)$') or {' or '.join(f"contains(lower(target), '{w}')" for w in SCRIPT_PLACES)}""",
     "asset_references": "select doc_id, unnest(['https://a.example.com/x/' || doc_id, 'https://e.example.com/']) as locator from documents",
-    "host_discovery": r"select host, count(*) as n from (select page_id, unnest(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', url, html), '(?i)https?://([a-z0-9.-]+)', 1), lambda h: lower(h)))) as host from pages) where host = 'example.com' or ends_with(host, '.example.com') group by 1",
+    "host_discovery": f"select host, count(*) as n from (select page_id, unnest(list_distinct(list_transform({_all("concat_ws(' ', url, html)", [f'(?i){p}' for p in E.HOST_FORMS])}, lambda h: lower(h)))) as host from pages) where host = 'example.com' or ends_with(host, '.example.com') group by 1",
     "certificate_hosts": "select host, 0.85::double as confidence from (select 'h' || (page_id % 20) || '.example.com' as host from pages union select 'h' || (page_id % 5) || '.example.com' from pages)",
     "candidate_hosts": PARTS + r"select distinct a.host, t.source from x a join (select distinct regexp_extract(host, '^[^.]+\.(.+)$', 1) as domain from x) d on ends_with(a.host, '.' || d.domain) join (values " + ", ".join(f"('{p}', '{k}')" for k, ps in (("common_prefix", PREFIXES[:50]), ("cname", ALIASES)) for p in ps) + ") t(prefix, source) on a.host = t.prefix || '.' || d.domain",
     "two_pass_discovery": """with n as (select count(*) as n from pages), e0 as (select page_id as src, unnest([(page_id * 7 + 1) % n, (page_id * 3 + 2) % n]) as dst from pages, n), e1 as (select *, round(dst % 10 / 10.0, 1)::double as c from e0),

@@ -238,3 +238,25 @@ def test_record_types_and_charsets():
     one = lambda body, kind: V.record(V.member("https://h/x", "2024-01-02T03:04:05+01:00", body, kind))
     assert one(b"<a/>", "application/atom+xml")["text"] == "<a/>" and one(b"x", "application/octet-stream")["text"] == "x" and one(b"x", "application/atom+xml")["captured"] == "20240102020405"
     assert one(b"\x93q\x94", "text/plain; charset=windows-1252")["text"] == "\u201cq\u201d" and one(b"x", "text/plain; charset=koi8-r")["problem"] == "charset" and one(b"a\0b", "text/plain")["problem"] == "binary" and one(b"x", "image/png")["problem"] == "type"
+
+
+@pytest.mark.parametrize("host,want", [("cdn.site.com", True), ("main.js", False), ("app.a1b2.js", False), ("x.y.z", False), ("a.de", True), ("one.two.three", True), ("10.0.0.1", True), ("plain", False), ("static.foo.bar1", True), ("v1.tar.gz", False)])
+def test_plausible_hosts(spark, host, want):
+    assert one(spark, U.plausible_host(F.lit(host))) is want
+
+
+def test_url_classes_and_targets(spark):
+    rows = [(r"https:\/\/h.com\/a", "absolute", "https://h.com/a"), ("htttp://h.com//x", "absolute", "http://h.com/x"), ("https//h.com/a b", "absolute", "https://h.com/a%20b"), ("/static.xx.fbcdn.net/r.js", "embedded_host", "https://static.xx.fbcdn.net/r.js"), ("../q?x=1", "relative", "https://b.org/q?x=1"),
+            ("ftp://h.com/x", "absolute", "ftp://h.com/x"), ("mailto:a@b.cc", "mailto_url", None), ("   ", "empty", None), ("https://-bad-/x", "invalid", None), (None, "empty", None)]
+    got = U.classified(spark.createDataFrame([(i, u, "https://b.org/d/e") for i, (u, *_) in enumerate(rows)], "i int, url string, base string"), "url", "base").orderBy("i").collect()
+    assert [(r["class"], r["normalized"]) for r in got] == [(c, n) for _, c, n in rows]
+    alone = U.classified(spark.createDataFrame([(0, "a_b/c"), (1, "www.exa.com/x")], "i int, url string")).orderBy("i").collect()
+    assert [(r["class"], r["normalized"]) for r in alone] == [("invalid", None), ("embedded_host", "https://www.exa.com/x")]
+    assert [U.target_problem(x) for x in ("bücher.example", "https://[::1]:8443/x#f", "HTTP://H.example.?q", "http://a_b.example", "http://u@h", "h:70000", "gopher://h", None)] == [
+        ("https://xn--bcher-kva.example/", None), ("https://[::1]:8443/x", None), ("http://h.example/?q", None), (None, "host"), (None, "user"), (None, "host"), (None, "scheme"), (None, "length")]
+
+
+def test_endpoints_by_line(spark):
+    js = 'router.get("/x")\n// endpoint: https://h/api\nconst u = "/users/list";\nfetch(\n"/late")\n$.ajax({method: "GET", url:"/q"})'
+    got = {r["endpoint"] for r in extract.endpoints(spark.createDataFrame([(1, js)], "i int, t string"), "i", "t").collect()}
+    assert {"/x", "https://h/api", "/users/list", "/late", "/q"} <= got
