@@ -13,6 +13,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -191,23 +192,32 @@ class Encoder:
         return self.feed("", last=True)
 
 
+@lru_cache(maxsize=8)
+def _finder(special: tuple[str, ...]):
+    """Expression of the strings of special tokens, of several at one place the longest."""
+    return re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+
+
+def _plain(merges: Merges, text: str, start: int, end: int, out: array) -> None:
+    if end - start <= BLOCK:
+        out.extend(Encoder(merges).feed(text[start:end], last=True))
+        return
+    e = Encoder(merges)
+    for p in range(start, end, BLOCK):
+        out.extend(e.feed(text[p : min(p + BLOCK, end)]))
+    out.extend(e.finish())
+
+
 def encode(merges: Merges, text: str) -> array:
-    """Ids of a whole text; the strings of special tokens become their ids, as the tokenizers library has it."""
+    """Ids of a whole text; the strings of special tokens become their ids, as the tokenizers library has it. They are found in
+    one pass, however many there are."""
     out, at = array("I"), 0
-    while True:
-        found = min(((text.find(s, at), -len(s), s) for s in merges.special if text.find(s, at) >= 0), default=None)
-        end = found[0] if found else len(text)
-        if end - at <= BLOCK:
-            out.extend(Encoder(merges).feed(text[at:end], last=True))
-        else:
-            e = Encoder(merges)
-            for p in range(at, end, BLOCK):
-                out.extend(e.feed(text[p : min(p + BLOCK, end)]))
-            out.extend(e.finish())
-        if not found:
-            return out
-        out.append(merges.special[found[2]])
-        at = end + len(found[2])
+    for m in _finder(tuple(merges.special)).finditer(text):
+        _plain(merges, text, at, m.start(), out)
+        out.append(merges.special[m[0]])
+        at = m.end()
+    _plain(merges, text, at, len(text), out)
+    return out
 
 
 class Decoder:

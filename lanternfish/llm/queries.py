@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, lines, nbsvm, pii, pst, rules, simhash, toxicity, warc
 from .common import table
 
-TOKENIZERS = os.environ.get("LANTERNFISH_TOKENIZERS", "/opt/tokenizers")
+def _tokenizers() -> str:
+    """The folder of public tokenizers' files: LANTERNFISH_TOKENIZERS, or where the package of that name keeps them."""
+    if told := os.environ.get("LANTERNFISH_TOKENIZERS"):
+        return told
+    import public_tokenizers
+
+    return os.path.dirname(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+TOKENIZERS = _tokenizers()
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

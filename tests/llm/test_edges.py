@@ -46,9 +46,9 @@ def test_one_row_a_document(name, docs, labels, benchmark):
     assert OPERATORS[name](docs, labels, benchmark).count() == docs.count()
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("name", [*OPERATORS, "neardup"])
 def test_empty_tables(name, docs, labels, benchmark):
-    got = OPERATORS[name](docs.limit(0), labels.limit(0), benchmark.limit(0))
+    got = {"neardup": lambda d, l, b: neardup.dedup(d), **OPERATORS}[name](docs.limit(0), labels.limit(0), benchmark.limit(0))
     assert got.count() == 0 and len(set(got.columns)) == len(got.columns)
 
 
@@ -81,3 +81,28 @@ def test_pages(spark):
     assert told[revisit["refers_to"]]["metadata"]["fields"]["capture-key"] == "2" and told[revisit["refers_to"]]["capture"]["payload"].decode() == "<p>é</p>"
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
     assert {r["capture"]["warc_type"] for r in warc.archive_pages(spark, pages, min_bytes=10).collect()} == {"response"}
+
+
+def test_columns_with_names_of_the_operators_own(spark):
+    names = "own_doc own_hash own_sig lost row line lo hi near place node root key n size gone first doc sig text_hash _doc _sig".split()
+    docs = spark.createDataFrame([(i, "one line of six words here\nand a last one", *([f"mine{i}"] * len(names))) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = lines.dedup(docs).orderBy("doc_id").collect()
+    assert [r["removed"] for r in got] == [[], [0, 1]] and all(r[c] == f"mine{r['doc_id']}" for r in got for c in names)
+    (kept,) = neardup.dedup(docs).collect()
+    assert kept["doc_id"] == 1 and all(kept[c] == "mine1" for c in names) and neardup.dedup(docs).columns == docs.columns
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated texts, columns beside the usual, and empty tables, through all stages."""
+    import corpus_pipeline as c
+
+    full = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "Words of a text that is here twice and says little more than that.", "en", "s", 60), (3, "Words of a text that is here twice and says little more than that.", "en", "s", 60), (None, "No number, but words enough to stay as a text of its own kind.", "en", None, 5)]
+    for name, some in (("rows", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, full).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "tie")][: len(some)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = c.run(spark, d).collect()
+        assert all(r["round_trip"] for r in got) and len(got) <= len(some)
+        assert sum(r["doc_id"] == 3 for r in got) <= 1 and not any(r["doc_id"] is None and not r["n_tokens"] for r in got)

@@ -484,6 +484,33 @@ def test_near_duplicates_are_found(spark):
     assert pairs > 60 and missed <= 0.03 * pairs
 
 
+def test_near_duplicates_by_length_and_similarity(spark):
+    """Pairs of every length and similarity of 0.8 or more: none is missed, none below it goes."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    texts, kinds = [], []
+    for n in (10, 14, 20, 30, 45, 80, 200, 600):
+        for k in range(60):
+            w = [word() for _ in range(n)]
+            v, how = list(w), k % 4
+            if how == 0:
+                v[-1] = word()
+            elif how == 1:
+                v = v[: n - max(1, n // 12)]
+            else:
+                for _ in range(max(1, n * how // 90)):
+                    v[r.randrange(len(v))] = word()
+            texts += [" ".join(w), " ".join(v)]
+            kinds.append(n)
+    got = {x["doc_id"] for x in neardup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bands = Counter()
+    for i, n in enumerate(kinds):
+        j = _jaccard(texts[2 * i], texts[2 * i + 1])
+        assert 2 * i in got and (2 * i + 1 in got) == (j < 0.8)
+        bands[n] += j >= 0.8
+    assert all(bands[n] >= 10 for n in set(kinds))
+
+
 def test_near_duplicate_groups_against_all_pairs(spark, monkeypatch):
     """Large groups whose members are alike to few others, at similarities just over 0.8, around one frequent passage."""
     r = random.Random(9)
