@@ -199,6 +199,7 @@ def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[Data
     for d in range(1, depth + 1):
         whole = F.col("n") >= LEAST
         own = level.where(whole if d == 1 else whole & (F.col("key").bitwiseAND(LOW) != END)).select(F.col("key").alias("ctx"), F.col("n").cast("double").alias("all"))
+        own = materialize(own, "lm-candidates")  # a table of its own, so that its size is known where it is joined
         above = level.select(F.col("key").alias("up"), (F.col("n") / F.col("seen")).alias("p"), F.col("q").alias("pq"))
         above = F.broadcast(above) if d == 1 else shuffled(above)  # the symbols: 2 ** BITS rows at most
         ctx = F.shiftrightunsigned("key", BITS).alias("ctx")
@@ -213,7 +214,7 @@ def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[Data
         q = F.when(F.col("stays"), (F.col("n") - OFF) / F.col("seen") + F.col("share") * F.col("pq")).otherwise(F.col("pq"))
         level = rows.join(told, "ctx").select("key", "n", "seen", q.alias("q"), "stays")
         level = materialize(level if d < depth else level.where("stays"), "lm-level")
-        discard(rows)
+        discard(rows, own)
         kept.append(told.where("stays").select("ctx", "seen", "k", F.log10("share").alias("alpha")))
         entries.append(level.where("stays").select("key", "seen", F.log10("q").alias("lp")))
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
