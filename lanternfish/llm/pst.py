@@ -220,15 +220,14 @@ def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[Data
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
 
 
-def _bin() -> Column:
-    return F.floor(F.log2("seen") * 16)
+def _bin(count: str = "seen") -> Column:
+    return F.floor(F.log2(count) * 16)
 
 
-def split_at(contexts: DataFrame, room: int) -> int:
-    """The least bin of counts from which on all contexts together have `room` entries at most. A suffix counts no less than
-    what it ends, so what is above is a tree of its own."""
+def split_at(bins: DataFrame, room: int) -> int:
+    """The least bin from which on all of bins (bin, k) together hold `room` at most."""
     used, cut = 0, 1 << 20
-    for r in contexts.groupBy(_bin().alias("bin")).agg(F.sum("k").alias("k")).orderBy(F.desc("bin")).collect():  # a thousand bins at most
+    for r in bins.orderBy(F.desc("bin")).collect():  # a thousand bins at most
         used += r["k"]
         if used > room:
             break
@@ -341,7 +340,8 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, v, less = total + n_docs, distinct + (1 if n_docs else 0), discount(once, twice)
     z = float(np.log10(n + 0.1 * (v + 1)))
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    scale = _bin("n")
+    top = words.where(scale >= split_at(words.groupBy(scale.alias("bin")).agg(F.count("*").alias("k")), HEAD)).toArrow().sort_by([("n", "descending"), ("key", "ascending")])  # HEAD rows at most
     keys, ns = top["key"].to_numpy(), top["n"].to_numpy()
     n_symbols = min(SYMBOLS, int((ns >= OFTEN).sum()))
     # the class of other words: their discounted shares, and the share of a word not met
@@ -354,7 +354,8 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     coded = encoded(docs, head, counts, n_symbols, z, end_base, 1 if n_docs else 0, (less, mass))
     coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "lm-coded")
     states, entries = grow(coded, spark.createDataFrame([x for x in counted if x[1]], "key long, n long"))
-    cut = split_at(states, room)
+    # a suffix counts no less than what it ends, so the contexts above a count are a tree of their own
+    cut = split_at(states.groupBy(_bin().alias("bin")).agg(F.sum("k").alias("k")), room)
     near = states.where(_bin() >= cut).select("ctx", F.col("alpha").cast("float")).toArrow().sort_by("ctx")
     close = entries.where(_bin() >= cut).select("key", F.col("lp").cast("float")).toArrow().sort_by("key")  # `room` rows at most
     root = np.full(1 << BITS, -np.inf)
