@@ -49,6 +49,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
 
 
 def first_of_content(captures: DataFrame) -> DataFrame:
-    """captures (capture_id, content_hash, ts) plus reused_from: the earliest capture of the same content, null for itself."""
-    first = F.first("capture_id").over(W.partitionBy("content_hash").orderBy("ts", "capture_id"))
-    return captures.withColumn("reused_from", F.when(first != F.col("capture_id"), first))
+    """captures (capture_id, content_hash, ts) plus reused_from: the earliest capture of the same content, null for itself. Contents that
+    came once have no row to join with; however many copies one has, they are summed up before the shuffle and split in the join."""
+    first = captures.groupBy("content_hash").agg(F.min_by("capture_id", F.struct("ts", "capture_id")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    told = captures.join(first, "content_hash", "left")
+    return told.withColumn("reused_from", F.when(F.col("_first") != F.col("capture_id"), F.col("_first"))).drop("_first")
