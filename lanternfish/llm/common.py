@@ -68,15 +68,20 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def collect(df: DataFrame) -> None:
+    """Shuffle files go when the driver's garbage collector finds that no plan holds them: it is asked to look."""
+    df.sparkSession._jvm.java.lang.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that `materialize` wrote; for when all that is made from them has been written itself. Shuffle files go
-    when the driver's garbage collector finds that no plan holds them: it is asked to look."""
+    """Delete tables that `materialize` wrote; for when all that is made from them has been written itself. Shuffle files of
+    theirs go too."""
     for t in tables:
         if path := t.__dict__.pop("scratch", None):
             at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if tables:
-        tables[0].sparkSession._jvm.java.lang.System.gc()
+        collect(tables[0])
 
 
 def release() -> None:

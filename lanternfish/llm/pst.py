@@ -13,8 +13,9 @@ Within the symbol of the other words a word has its discounted share of their ex
 the share of the one event "a word not met in training". The events are thus those of the unigram base, which has the
 same counts: V words and an unknown one.
 
-The contexts that occur most are broadcast up to MODEL entries; positions in rarer ones are sent to a join with the rest. Either
-way every retained context counts. In the same way the HEAD most frequent words are broadcast and the counts of the rest are joined.
+A tree of more than MODEL entries is broadcast in parts, one after another. All contexts that a position may stand in end with
+the same symbol and lie in one part, so a part scores its positions to the end: a text's score is the sum over the parts, and no
+position is ever written or sent. The HEAD most frequent words are broadcast and the counts of the rest are joined.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
+from .common import collect, discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
 
 #: Symbols of a context at most, bits of a symbol.
 DEPTH, BITS = 3, 16
@@ -39,10 +40,13 @@ ABSENT, END, RARE, FIRST = 0, 1, 2, 3
 OFTEN, SYMBOLS = 500, (1 << BITS) - FIRST
 #: Least count of a context, of what is told apart after one, critical value of the test beyond its own spread, and discount.
 LEAST, MET, CRITICAL, OFF = 150, 5, 20.0, 0.75
-#: Most frequent words (16 bytes each) and entries of the most frequent contexts (12 bytes each) that are broadcast.
-HEAD, MODEL = 400_000, 6_000_000
+#: Most frequent words (16 bytes each) that are broadcast; entries (12 bytes each) of the tree that are broadcast at once, and the
+#: least number for which a part is worth a pass.
+HEAD, MODEL, LEAST_PART = 400_000, 6_000_000, 500
 #: Bits of the filters that tell which contexts a pass is about (their size is fixed: 1 MB).
 FILTER_BITS = 23
+#: Passes in which longer contexts are counted, each over all texts and over its share of what is counted.
+PASSES = 4
 #: Words of a task's table before it is sent on, text handled at once, distinct keys of a task before they are sent on.
 LOCAL_WORDS, LOCAL_BYTES, LOCAL_KEYS = 400_000, 3_000_000, 2_000_000
 LOW = (1 << BITS) - 1
@@ -63,6 +67,17 @@ def contexts(stream: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+def contexts_at(stream: np.ndarray, at: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for the symbols after the positions `at` alone."""
+    now, there = stream[at].astype(np.int64), np.ones(len(at), bool)
+    out = [(now, there)]
+    for d in range(1, depth):
+        there = there & (stream[np.maximum(at - d + 1, 0)] != END)
+        now = now | np.where(there, stream[np.maximum(at - d, 0)], 0) << (BITS * d)
+        out.append((now, there))
+    return out
+
+
 def slot(x):
     """Where a context stands in a filter."""
     return (x ^ (x >> 19) ^ (x >> 37)) & ((1 << FILTER_BITS) - 1)
@@ -163,11 +178,20 @@ def symbols_in(batch: pa.RecordBatch, name: str = "symbols") -> np.ndarray:
     return np.concatenate([[END], *(np.frombuffer(x, np.uint8).reshape(2, -1).T.ravel().view(np.uint16) for x in parts)]).astype(np.int64)
 
 
-def count_grams(coded: DataFrame, candidates: DataFrame, d: int) -> DataFrame:
-    """(up, key, n): counts of what follows contexts of d symbols, of those that a filter of candidates (ctx) lets through. key is the
-    context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level above has its row;
-    for contexts of one symbol that level is broadcast."""
-    told = coded.sparkSession.sparkContext.broadcast(_filter(candidates))
+def share(last, after):
+    """The pass that counts what ends with these two symbols: numbers or columns."""
+    return ((last * 40503 + after * 30011) & 0xFFFF) * PASSES >> 16
+
+
+def share_column(up: Column) -> Column:
+    mixed = (F.shiftrightunsigned(up, BITS).bitwiseAND(LOW) * 40503 + up.bitwiseAND(LOW) * 30011).bitwiseAND(0xFFFF)
+    return F.shiftright(mixed * PASSES, 16)
+
+
+def count_grams(coded: DataFrame, told, d: int, turn: int) -> DataFrame:
+    """(up, key, n): counts of what follows contexts of d symbols, of those that a filter of candidates (told, a broadcast) lets
+    through. key is the context with the symbol after it, up the same without the oldest symbol. Rows are dealt by up, where the level
+    above has its row; of contexts of more than one symbol a turn counts its share. For those of one that level is broadcast."""
 
     def run(batches):
         flags, tables, held = flags_of(told.value), [], 0
@@ -177,9 +201,10 @@ def count_grams(coded: DataFrame, candidates: DataFrame, d: int) -> DataFrame:
 
         for part in batches:
             stream = symbols_in(part)
-            ctx, there = contexts(stream, d)[-1]
+            at = np.arange(len(stream) - 1) if d == 1 else np.flatnonzero(share(stream[:-1], stream[1:]) == turn)
+            ctx, there = contexts_at(stream, at, d)[-1]
             there = there & (flags[slot(ctx)] > 0)
-            key, n = np.unique(ctx[there] << BITS | stream[1:][there], return_counts=True)
+            key, n = np.unique(ctx[there] << BITS | stream[at + 1][there], return_counts=True)
             tables.append((key, n))
             held += len(key)
             if held >= LOCAL_KEYS:
@@ -206,10 +231,16 @@ def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[Data
         own = level.where(whole if d == 1 else whole & (F.col("key").bitwiseAND(LOW) != END)).select(F.col("key").alias("ctx"), F.col("n").cast("double").alias("all"))
         own = materialize(own, "lm-candidates")  # a table of its own, so that its size is known where it is joined
         above = level.select(F.col("key").alias("up"), (F.col("n") / F.col("seen")).alias("p"), F.col("q").alias("pq"))
-        above = F.broadcast(above) if d == 1 else shuffled(above)  # the symbols: 2 ** BITS rows at most
+        told = coded.sparkSession.sparkContext.broadcast(_filter(own))
         ctx = F.shiftrightunsigned("key", BITS).alias("ctx")
-        grams = count_grams(coded, own, d).where(F.col("n") >= MET)
-        rows = materialize(grams.join(above, "up").select(ctx, "key", "n", "p", "pq").join(own, "ctx"), "lm-rows")
+        turns = []
+        for turn in range(1 if d == 1 else PASSES):  # each one's shuffle files go before the next one's are written
+            side = F.broadcast(above) if d == 1 else shuffled(above.where(share_column(F.col("up")) == turn))  # the symbols: 2 ** BITS rows at most
+            grams = count_grams(coded, told, d, turn).where(F.col("n") >= MET)
+            turns.append(materialize(grams.join(side, "up").select(ctx, "key", "n", "p", "pq").join(own, "ctx"), "lm-rows"))
+            del grams, side
+            collect(coded)
+        rows = reduce(DataFrame.unionByName, turns)
         sums = rows.groupBy("ctx").agg(F.first("all").alias("all"), F.count("*").alias("k"), F.sum("n").alias("told"), F.sum("p").alias("p"), F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("p"))).alias("gain"))
         rest = F.col("all") - F.col("told")
         gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("all") / F.greatest(1 - F.col("p"), F.lit(1e-9)))).otherwise(0.0)
@@ -219,13 +250,13 @@ def grow(coded: DataFrame, symbols: DataFrame, depth: int = DEPTH) -> tuple[Data
         q = F.when(F.col("stays"), (F.col("n") - OFF) / F.col("seen") + F.col("share") * F.col("pq")).otherwise(F.col("pq"))
         level = rows.join(told, "ctx").select("key", "n", "seen", q.alias("q"), "stays")
         level = materialize(level if d < depth else level.where("stays"), "lm-level")
-        discard(rows, own)
+        discard(*turns, own)
         kept.append(told.where("stays").select("ctx", "seen", "k", F.log10("share").alias("alpha")))
         entries.append(level.where("stays").select("key", "seen", F.log10("q").alias("lp")))
     return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, entries)
 
 
-def _bin(count: str = "seen") -> Column:
+def _bin(count: str) -> Column:
     return F.floor(F.log2(count) * 16)
 
 
@@ -240,8 +271,56 @@ def split_at(bins: DataFrame, room: int) -> int:
     return cut
 
 
+class Parts:
+    """Deals contexts and positions to parts of about `room` entries by the symbol before; a symbol that more than half a part
+    follows is dealt by the two symbols before, its contexts of one symbol go to each part it has."""
+
+    def __init__(self, symbols: np.ndarray, single: np.ndarray, deep: np.ndarray, room: int):
+        room, size = max(room, LEAST_PART), 1 << BITS
+        alone, longer, self.ways = np.zeros(size, np.int64), np.zeros(size, np.int64), np.ones(size, np.int64)
+        alone[symbols], longer[symbols] = single, deep
+        if (alone + longer).sum() > room:
+            self.ways = np.maximum(1, -(-2 * longer // room))
+        self.first = np.cumsum(self.ways) - self.ways
+        self.part, used, now = np.zeros(int(self.ways.sum()), np.int64), 0, 0
+        for i, w in enumerate(np.repeat(alone + longer // self.ways, self.ways).tolist()):
+            if used and used + w > room:
+                used, now = 0, now + 1
+            self.part[i], used = now, used + w
+        self.n = now + 1
+
+    @staticmethod
+    def way(x):
+        """What tells a symbol's ways apart, of the symbol before it: a number or a column."""
+        return x * 40503
+
+    def of(self, last: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.part[self.first[last] + (self.way(second) >> 5) % self.ways[last]]
+
+    def positions(self, stream: np.ndarray, part: int) -> np.ndarray:
+        """Positions of stream after which a symbol is scored in part."""
+        if self.n == 1:
+            return np.arange(len(stream) - 1)
+        return np.flatnonzero(self.of(stream[:-1], np.concatenate([[ABSENT], stream[:-2]])) == part)
+
+    def dealt(self, rows: DataFrame, context: Column, *columns: Column) -> list[DataFrame]:
+        """For each part its rows' columns. The parts are written down apart, each is read alone."""
+        if self.n == 1:
+            return [rows.select(*columns)]
+        last = np.repeat(np.arange(len(self.ways)), self.ways)
+        plan = pa.table({"last": last, "way": np.arange(len(last)) - self.first[last], "ways": self.ways[last], "part": self.part})
+        plan = F.broadcast(rows.sparkSession.createDataFrame(plan))  # 2 ** BITS rows, and two more for each part
+        second, way = F.shiftrightunsigned(context, BITS).bitwiseAND(LOW), F.col("way")
+        rows = rows.select(*columns, context.bitwiseAND(LOW).alias("last"), second.alias("second"))
+        deep = rows.where("second <> 0").join(plan, "last").where(F.shiftright(self.way(F.col("second")), 5) % F.col("ways") == way)
+        single = rows.where("second = 0").join(plan.select("last", "part").distinct(), "last")
+        names = rows.columns[: len(columns)]
+        got = materialize(deep.select("part", *names).unionByName(single.select("part", *names)).repartition("part").sortWithinPartitions("part"), "lm-parts")
+        return [got.where(F.col("part") == i).select(*names) for i in range(self.n)]
+
+
 class Tree:
-    """The contexts that are broadcast, as sorted arrays, and the symbols' own probabilities (log10)."""
+    """A part's contexts as sorted arrays, and the symbols' own probabilities (log10)."""
 
     def __init__(self, root: np.ndarray, ctx: np.ndarray, alpha: np.ndarray, key: np.ndarray, lp: np.ndarray):
         self.root, self.ctx, self.alpha, self.key, self.lp = root, ctx, alpha, key, lp
@@ -254,19 +333,19 @@ class Tree:
         at = np.minimum(np.searchsorted(table, x), len(table) - 1)
         return at, table[at] == x
 
-    def log10(self, stream: np.ndarray, told: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of each symbol after the first, in the states told (see `contexts`)."""
-        out, left = np.zeros(len(stream) - 1), np.arange(len(stream) - 1)
+    def log10(self, after: np.ndarray, told: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 probability of the symbols `after`, in the states told (see `contexts`)."""
+        out, left = np.zeros(len(after)), np.arange(len(after))
         for ctx, there in reversed(told):
             rows = left[there[left]]
-            at, is_state = self.find(self.ctx, ctx[rows])
-            rows, at = rows[is_state], at[is_state]
-            where, met = self.find(self.key, ctx[rows] << BITS | stream[1:][rows])
-            out[rows] += np.where(met, self.lp[where] if len(self.lp) else 0.0, self.alpha[at])
+            place, is_state = self.find(self.ctx, ctx[rows])
+            rows, place = rows[is_state], place[is_state]
+            where, met = self.find(self.key, ctx[rows] << BITS | after[rows])
+            out[rows] += np.where(met, self.lp[where] if len(self.lp) else 0.0, self.alpha[place])
             done = np.zeros(len(out), bool)
             done[rows[met]] = True
             left = left[~done[left]]
-        out[left] += self.root[stream[1:][left]]
+        out[left] += self.root[after[left]]
         return out
 
 
@@ -297,43 +376,38 @@ def encoded(docs: DataFrame, head, counts, n_symbols: int, z: float, end_base: f
     return docs.select("doc_id", "text", "learn").mapInArrow(run, out)
 
 
-PENDING = pa.struct([("pos", pa.int32()), ("d", pa.int32()), ("ctx", pa.int64()), ("nxt", pa.int32()), ("lp", pa.float64())])
-
-
-def walked(coded: DataFrame, tree, far: DataFrame) -> DataFrame:
-    """(row, lp, pending): sums of the symbols' log10 probabilities in the tree that is broadcast, and the positions that may stand in
-    one of the other contexts, far."""
-    rest = coded.sparkSession.sparkContext.broadcast(_filter(far))
+def walked(coded: DataFrame, told, part: int) -> DataFrame:
+    """(row, lp): sums of the log10 probabilities of the symbols that a part of the tree scores; told is a broadcast (tree, parts)."""
 
     def run(batches):
-        model, flags = tree.value, flags_of(rest.value)
-        for part in batches:
-            stream = symbols_in(part, "symbols")
-            told = contexts(stream, DEPTH)
-            lp = model.log10(stream, told)
+        tree, parts = told.value
+        for batch in batches:
+            stream = symbols_in(batch, "symbols")
+            at = parts.positions(stream, part)
             ends = np.flatnonzero(stream[1:] == END)
-            first = np.concatenate([[0], ends[:-1] + 1])
-            pos, depth, ctxs = [], [], []
-            for d, (ctx, there) in enumerate(told, 1):
-                p = np.flatnonzero(there & (flags[slot(ctx)] > 0))
-                p = p[~model.find(model.ctx, ctx[p])[1]]
-                pos.append(p)
-                depth.append(np.full(len(p), d, np.int32))
-                ctxs.append(ctx[p])
-            p, d, c = np.concatenate(pos), np.concatenate(depth), np.concatenate(ctxs)
-            o = np.argsort(p, kind="stable")
-            p, d, c = p[o], d[o], c[o]
-            row = np.searchsorted(ends, p)
-            edges = np.searchsorted(row, np.arange(len(ends) + 1)).astype(np.int32)
-            found = pa.StructArray.from_arrays([pa.array((p - first[row]).astype(np.int32)), pa.array(d), pa.array(c), pa.array(stream[1:][p].astype(np.int32)), pa.array(lp[p])], fields=list(PENDING))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(lp, first)), pa.ListArray.from_arrays(pa.array(edges), found)], names=["row", "lp", "pending"])
-
-    return coded.select("row", "symbols").mapInArrow(run, "row long, lp double, pending array<struct<pos:int,d:int,ctx:long,nxt:int,lp:double>>")
+            row = np.searchsorted(ends, at)
+            past = contexts(stream, DEPTH) if parts.n == 1 else contexts_at(stream, at, DEPTH)
+            lp, met = np.bincount(row, tree.log10(stream[at + 1], past), len(ends)), np.bincount(row, minlength=len(ends)) > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(met)), pa.array(lp[met])], names=["row", "lp"])
+
+    return coded.select("row", "symbols").mapInArrow(run, "row long, lp double")
+
+
+def _scored(coded: DataFrame, root: np.ndarray, parts: Parts, part: int, states: DataFrame, entries: DataFrame) -> DataFrame:
+    """What a part scores, written down; the part is let go."""
+    near, close = states.toArrow().sort_by("ctx"), entries.toArrow().sort_by("key")  # `room` rows or so
+    tree = Tree(root, *(t[c].to_numpy() for t, c in ((near, "ctx"), (near, "alpha"), (close, "key"), (close, "lp"))))
+    del near, close
+    told = coded.sparkSession.sparkContext.broadcast((tree, parts))
+    del tree
+    got = materialize(walked(coded, told, part), "lm-walked")
+    told.destroy()
+    return got
 
 
 def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs; `training` says which rows are
-    learned from (default: all). `room` bounds what is broadcast of the tree; it does not change a score.
+    learned from (default: all). `room` bounds what is broadcast of the tree at once; it does not change a score.
 
     Null text counts as empty: one token, the end. With nothing to learn from every word is unknown. Repeated rows count
     and score each; a null doc_id is a row like any other; further columns are ignored."""
@@ -342,6 +416,7 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     learned = docs.where("learn")
     n_docs = learned.count()
     words = materialize(count_words(learned), "lm-words")
+    collect(words)
     total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, v, less = total + n_docs, distinct + (1 if n_docs else 0), discount(once, twice)
     z = float(np.log10(n + 0.1 * (v + 1)))
@@ -359,31 +434,22 @@ def score(docs: DataFrame, training=None, room: int = MODEL) -> DataFrame:
     coded = encoded(docs, head, counts, n_symbols, z, end_base, 1 if n_docs else 0, (less, mass))
     coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "lm-coded")
     states, entries = grow(coded, spark.createDataFrame([x for x in counted if x[1]], "key long, n long"))
-    # a suffix counts no less than what it ends, so the contexts above a count are a tree of their own
-    cut = split_at(states.groupBy(_bin().alias("bin")).agg(F.sum("k").alias("k")), room)
-    near = states.where(_bin() >= cut).select("ctx", F.col("alpha").cast("float")).toArrow().sort_by("ctx")
-    close = entries.where(_bin() >= cut).select("key", F.col("lp").cast("float")).toArrow().sort_by("key")  # `room` rows at most
     root = np.full(1 << BITS, -np.inf)
     for x, m in counted:
         root[x] = np.log10(max(m, 0.1) / max(sum(m for _, m in counted), 1))
-    tree = spark.sparkContext.broadcast(Tree(root, *(t[c].to_numpy() for t, c in ((near, "ctx"), (near, "alpha"), (close, "key"), (close, "lp")))))
-    far = states.where(_bin() < cut).select("ctx", "alpha")
-    scored = materialize(walked(coded, tree, far), "lm-walked")
+    k, lone = F.col("k") + 1, F.col("ctx") <= LOW  # a context's entries and itself
+    sizes = states.groupBy(F.col("ctx").bitwiseAND(LOW).alias("last")).agg(F.sum(F.when(lone, k).otherwise(0)).alias("single"), F.sum(F.when(lone, 0).otherwise(k)).alias("deep")).toArrow()  # 2 ** BITS rows at most
+    parts = Parts(*(sizes[c].to_numpy() for c in ("last", "single", "deep")), room)
+    near = parts.dealt(states, F.col("ctx"), F.col("ctx"), F.col("alpha").cast("float").alias("alpha"))
+    close = parts.dealt(entries, F.shiftrightunsigned("key", BITS), F.col("key"), F.col("lp").cast("float").alias("lp"))
+    scored = [_scored(coded, root, parts, i, *x) for i, x in enumerate(zip(near, close))]
+    scored = scored[0] if parts.n == 1 else reduce(DataFrame.unionByName, scored).groupBy("row").agg(F.sum("lp").alias("lp"))
     # the other words: no one of them is among the HEAD most frequent, so no key of this join is hot
     met = F.col("n").isNotNull()
     rest = coded.select("row", F.explode("tail").alias("key")).join(shuffled(words), "key", "left").groupBy("row").agg(
         F.sum(F.when(met, F.log10(F.col("n") + 0.1) - z).otherwise(-z - 1.0)).alias("more_base"),
         F.sum(F.when(met, F.log10((F.col("n") - less) / mass)).otherwise(unknown)).alias("more_own"), F.count("n").alias("more"))
-    # positions after the other contexts: those too are none of the most frequent
-    far_entries = entries.where(_bin() < cut).select("key", F.col("lp").alias("e"))
-    sent = scored.where(F.size("pending") > 0).select("row", F.inline("pending")).join(shuffled(far), "ctx").withColumn("key", F.shiftleft("ctx", BITS).bitwiseOR(F.col("nxt"))).join(shuffled(far_entries), "key", "left")
-    at = lambda d, c: F.max(F.when(F.col("d") == d, F.col(c)))
-    by = sent.groupBy("row", "pos").agg(F.first("lp").alias("lp"), *(at(d, "e").alias(f"e{d}") for d in range(1, DEPTH + 1)), *(F.coalesce(at(d, "alpha"), F.lit(0.0)).alias(f"a{d}") for d in range(1, DEPTH + 1)))
-    value = F.col("lp")
-    for d in range(1, DEPTH + 1):  # the longest context that met the symbol speaks, longer ones lower its figure
-        value = F.coalesce(F.col(f"e{d}"), value + F.col(f"a{d}"))
-    moved = by.groupBy("row").agg(F.sum(value - F.col("lp")).alias("moved"))
     zero = F.lit(0.0)
-    got = coded.drop("symbols", "tail", "learn").join(scored.select("row", "lp"), "row").join(rest, "row", "left").join(moved, "row", "left")
+    got = coded.drop("symbols", "tail", "learn").join(scored.select("row", "lp"), "row").join(rest, "row", "left")
     return got.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-                      (F.col("lp") + F.col("own") + F.coalesce("more_own", zero) + F.coalesce("moved", zero)).alias("score"))
+                      (F.col("lp") + F.col("own") + F.coalesce("more_own", zero)).alias("score"))

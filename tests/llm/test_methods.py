@@ -225,6 +225,44 @@ def test_suffix_tree_against_brute_force(spark, sf, monkeypatch, room):
         assert math.isclose(got[i], plain.score(ws), rel_tol=1e-5)
 
 
+def test_suffix_tree_in_parts(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    for name, x in (("HEAD", 3000), ("OFTEN", 20), ("LEAST", 25)):
+        monkeypatch.setattr(pst, name, x)
+    docs, written, write = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), {}, pst.materialize
+    monkeypatch.setattr(pst, "materialize", lambda df, tag: written.setdefault(tag, []).append(got := write(df, tag)) or got)
+    scores = {}
+    for room in (pst.MODEL, 1000):
+        written.clear()
+        scores[room] = {r["doc_id"]: r["score"] for r in pst.score(docs, F.col("doc_id") % 4 != 0, room).collect()}
+        assert {tuple(t.columns) for t in written["lm-walked"]} == {("row", "lp")}  # sums of texts, never positions
+        assert all(t.count() <= docs.count() for t in written["lm-walked"]) and (len(written["lm-walked"]) > 1) == (room == 1000)
+        assert len(written["lm-rows"]) == 1 + 2 * pst.PASSES
+    assert all(math.isclose(x, scores[pst.MODEL][i], rel_tol=1e-9) for i, x in scores[1000].items())
+
+
+def test_parts_hold_all_contexts_of_a_position(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    stream = np.concatenate([[pst.END], rng.choice([pst.END, 2, 3, 4, 5, 6], 4000, p=[0.05, 0.55, 0.1, 0.1, 0.1, 0.1]), [pst.END]]).astype(np.int64)
+    parts = pst.Parts(np.array([1, 2, 3, 4]), np.array([5, 5, 5, 5]), np.array([0, 4000, 300, 40]), 600)
+    assert parts.n > 4 and parts.ways[2] > 4 and parts.ways[3] == 1
+    every = np.unique(np.concatenate([c[there] for c, there in pst.contexts(stream, pst.DEPTH)]))
+    rows = spark.createDataFrame([(int(x),) for x in every], "ctx long")
+    held = [{r["ctx"] for r in t.collect()} for t in parts.dealt(rows, F.col("ctx"), F.col("ctx"))]
+    deep = [c for h in held for c in h if c > pst.LOW]
+    assert len(deep) == len(set(deep)) and set().union(*held) == set(every.tolist())
+    seen = []
+    for i in range(parts.n):
+        at = parts.positions(stream, i)
+        seen += at.tolist()
+        for (c, there), (whole, _) in zip(pst.contexts_at(stream, at, pst.DEPTH), pst.contexts(stream, pst.DEPTH)):
+            assert set(c[there].tolist()) <= held[i] and (c[there] == whole[at][there]).all()
+    assert sorted(seen) == list(range(len(stream) - 1))
+
+
 def test_contexts_of_a_stream():
     stream = np.array([pst.END, 5, 6, pst.END, 7, 8, 9], np.int64)
     told = pst.contexts(stream, 3)
