@@ -3,7 +3,10 @@
 Indicators of n-grams are scaled by the log-ratio of their smoothed class counts; a linear hinge-loss model over them is
 fitted by dual coordinate descent, and its margin is calibrated to a probability. Tokens are words and, beside each, its
 shape (letter case, digits, what closes it, whether it repeats the word before), so that shouting, filler and stutter
-show in n-grams of shapes (up to three) while vocabulary shows in n-grams of words (up to two).
+shows in n-grams of shapes (up to three) while vocabulary shows in n-grams of words (up to two).
+
+All labelled texts are learned from: the class counts are those of them all, and the linear model is the mean of models fitted, each
+with its own calibration, to blocks of them that a task can hold. Up to BLOCK texts are one block.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import collect, discard, filter_bits, flags_of, lean, map_texts, materialize, shuffled, slices, texts_of
 
 BITS = 20
-#: Labelled documents that the fit sees at most, whole: a uniform hash sample once there are more.
-SAMPLE_ROWS = 6_000
+#: Labelled texts of a block, about; every one is in a block. Cells of a piece in which vectors are added up.
+BLOCK, PIECE = 6_000, 1 << 14
+FILTER_BITS = 23
 _SHAPE = re.compile(rb"[A-Z]+|[a-z\x80-\xff]+|[0-9]+")
 _TAIL = re.compile(rb"[^A-Za-z0-9\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,19 +90,26 @@ class Features:
         return (x ^ (x >> np.uint64(29))) * _MIX >> np.uint64(32) & self.mask
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, c: float = 1.0, epochs: int = 12, seed: int = 7):
-    """(weights, bias, a, b, ratios): weights of the scaled indicators, P(1) = 1 / (1 + exp(-(a * margin + b)))."""
+def ratios(counts: np.ndarray, n: np.ndarray, alpha: float) -> np.ndarray:
+    """Log-ratio of smoothed class counts (two rows) of indicators among n texts of each class."""
+    ratio = np.log(((counts[1] + alpha) / (n[1] + 2 * alpha)) / ((counts[0] + alpha) / (n[0] + 2 * alpha)))
+    ratio[counts.sum(axis=0) < 3] = 0.0  # indicators met once or twice say nothing of other texts
+    return ratio
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, c: float = 1.0, epochs: int = 12, seed: int = 7, ratio: np.ndarray | None = None):
+    """(weights, bias, a, b, ratios): weights of the scaled indicators, P(1) = 1 / (1 + exp(-(a * margin + b))). ratio: that of more
+    texts than these."""
     y = np.where(labels > 0, 1.0, -1.0)
     size = 1 << bits
     if not len(y) or abs(y.sum()) == len(y):
         prior = 0.0 if not len(y) else 4.0 * y[0]
         return np.zeros(size, np.float32), 0.0, 1.0, prior, np.zeros(size, np.float32)
-    counts = np.full((2, size), alpha)
-    for x, t in zip(rows, y):
-        counts[int(t > 0), x] += 1
-    n = np.array([(y < 0).sum(), (y > 0).sum()]) + 2 * alpha
-    ratio = np.log((counts[1] / n[1]) / (counts[0] / n[0]))
-    ratio[(counts.sum(axis=0) - 2 * alpha) < 3] = 0.0  # indicators met once or twice say nothing of other texts
+    if ratio is None:
+        counts = np.zeros((2, size))
+        for x, t in zip(rows, y):
+            counts[int(t > 0), x] += 1
+        ratio = ratios(counts, np.array([(y < 0).sum(), (y > 0).sum()]), alpha)
 
     def solve(order):
         # min over w of |w|^2 / 2 + sum C max(0, 1 - y w.x)^1, in the dual, one coordinate at a time; rows have unit length
@@ -150,32 +161,87 @@ def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, sample: int = SAMPLE_ROWS, bits: int = BITS):
-    """Fit on labelled documents whose crc32(doc_id as text) mod folds is not held: all, or the `sample` of the lowest
-    xxhash64 of doc_id if there are more. Rows without a label, a doc_id or a text are left out."""
-    from pyspark.sql.types import StructType
+def packed(x: np.ndarray) -> bytes:
+    """Sorted distinct numbers as the bytes of their gaps, the lowest bytes first, so that they compress."""
+    return np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.ravel().view("<u4"), dtype=np.int64)
+
+
+def _pieces(x: np.ndarray) -> pa.RecordBatch:
+    """A vector of whole pieces."""
+    parts = x.astype("<f8").reshape(-1, PIECE)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "sums"])
 
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
-    picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `sample` rows at most
+
+def _sum(pieces: DataFrame) -> np.ndarray:
+    """Sum of all vectors that pieces (piece, sums) are of. A piece has a row of 128 KB from each block or task."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(PIECE)
+        for x in rows["sums"]:
+            total += np.frombuffer(x.as_py(), "<f8")
+        return pa.table({"piece": rows["piece"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    got = pieces.groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow().sort_by("piece")
+    return np.frombuffer(b"".join(got["sums"].to_pylist()), "<f8")
+
+
+def _labelled(docs: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+    """marks (doc_id, y, block) with the indicators x of their documents; only what joins, or nearly, is taken apart and sent."""
+    spot = F.xxhash64("doc_id").alias("spot")
+    told = docs.sparkSession.sparkContext.broadcast(filter_bits(marks.select(spot), "spot", FILTER_BITS))
 
     def run(batches):
-        f = Features(bits)
+        flags, f = flags_of(told.value), Features(bits)
         for b in batches:
-            xs = [f((t or "").encode()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array([x.astype(np.int32) for x in xs], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
+            b = b.filter(pa.array(flags[b.column(2).to_numpy() & ((1 << FILTER_BITS) - 1)] > 0))
+            for part in slices([b]):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(f(t)) for t in texts_of(part)], pa.binary())], names=["doc_id", "x"])
 
-    got = rows.mapInArrow(run, StructType.fromDDL("doc_id long, y int, x array<int>")).toArrow().sort_by("doc_id")
-    return fit(_lists(got["x"]), got["y"].to_numpy(), bits)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = lean(docs).where("doc_id is not null and text is not null").select("doc_id", "text", spot).mapInArrow(run, f"doc_id {kind}, x binary")
+    return rows.join(shuffled(marks), "doc_id").select("block", "doc_id", "y", "x")
 
 
-def _lists(column) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        flat, ends = chunk.values.to_numpy(zero_copy_only=False).astype(np.int64), chunk.offsets.to_numpy()
-        out += [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
-    return out
+def train(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, bits: int = BITS):
+    """Fit on all labelled documents whose crc32(doc_id as text) mod folds is not held. Rows without a label, a doc_id or a text are
+    left out. (weights, bias, a, b, ratios) as of `fit`, its calibration within weights and bias."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+    blocks, size = max(1, -(-marks.count() // BLOCK)), 1 << bits
+    rows = materialize(_labelled(docs, marks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")), bits), "svm-rows")
+    collect(rows)
+    n = np.zeros(2, np.int64)
+    for r in rows.groupBy("y").count().collect():
+        n[r["y"]] = r["count"]
+    if not n.all():
+        discard(rows)
+        return fit([np.zeros(0, np.int64)] * int(n.any()), np.full(int(n.any()), int(n[1] > 0)), bits)  # the prior alone
+
+    def count(batches):
+        counts = np.zeros(2 * size)
+        for b in batches:
+            for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[unpacked(x) + y * size] += 1
+        yield _pieces(counts)
+
+    ratio = ratios(_sum(rows.select("y", "x").mapInArrow(count, "piece int, sums binary")).reshape(2, size), n, 1.0)
+    told = rows.sparkSession.sparkContext.broadcast(ratio)
+
+    def block(rows: pa.Table) -> pa.Table:
+        t = rows.sort_by("doc_id")
+        w, bias, a, b, _ = fit([unpacked(x) for x in t["x"].to_pylist()], t["y"].to_numpy(), bits, ratio=told.value)
+        last = np.zeros(PIECE)
+        last[:2] = a * bias + b, 1.0
+        return pa.Table.from_batches([_pieces(np.concatenate([a * w.astype(np.float64), last]))])
+
+    got = _sum(rows.groupBy("block").applyInArrow(block, "piece int, sums binary"))
+    fitted = got[size + 1]
+    discard(rows)
+    return (got[:size] / fitted).astype(np.float32), float(got[size] / fitted), 1.0, 0.0, ratio.astype(np.float32)
 
 
 def score(docs: DataFrame, model, keep: list[str], name: str = "score", bits: int = BITS) -> DataFrame:

@@ -355,6 +355,21 @@ def test_windows_cover_the_text():
         assert at == len(t) - 1
 
 
+def test_quality_learns_from_every_label(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(10_600).select(F.col("id").alias("doc_id")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    order = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = set(order[6000:])  # beyond any bounded first lot
+    assert len(late) > 500
+    good = {i: i % 2 for i in order}
+    texts = [(i, f"{'good' if good[i] else 'zq' if i in late else 'bad'} plain words of {i % 7}") for i in order]
+    docs = spark.createDataFrame([*texts, (-1, "zq"), (-2, "qz"), (-3, "good"), (-4, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([*good.items()], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in nbsvm.classify(docs, labels, keep=["doc_id"]).where("doc_id < 0").collect()}
+    assert got[-1] < got[-2] - 0.1 and got[-4] < 0.5 < got[-3]  # qz is in no text
+
+
 def test_support_vectors_are_optimal():
     """The dual's solution has the primal's value: no weights classify the scaled indicators at less loss."""
     r = np.random.default_rng(3)
