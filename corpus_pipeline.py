@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bpe, decontam, lines, nbsvm, neardup
-from lanternfish.llm.common import materialize, table
+from lanternfish.llm.common import discard, materialize, table
 from lanternfish.llm.queries import TOKENIZERS
 
 
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{i}")
+            discard(before)
     return docs

@@ -15,6 +15,7 @@ of two texts are fetched, their sketches (counts of shingles by cell) must allow
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
+from .common import collect, components, discard, filter_bits, flags_of, materialize, shuffled, slices, texts_of
 from .simhash import fingerprint, keys_of, shingle_hashes
 
 #: Members up to which a bucket forms all pairs, leaders of a larger one, members apart from the most up to which a bucket is
@@ -31,9 +32,12 @@ from .simhash import fingerprint, keys_of, shingle_hashes
 SMALL, LEADERS, SPLIT, LEVELS = 6, 8, 256, 3
 #: Cells of a sketch: a text's shingles are counted by cell, and no two share more than the lesser counts of all cells add up to.
 CELLS = 128
-#: Texts on which the order of shingles is estimated. Any order gives the same links; one with the common shingles last is fast.
-SAMPLE = 4_000
+#: Shingles are ordered by the counts, over all texts, of 2 ** ORDER_BITS cells; a row holds the counts of PIECE cells. Any order
+#: gives the same links; one with the common shingles last is fast.
+ORDER_BITS, PIECE = 23, 1 << 14
 FILTER_BITS = 23
+#: Shares of the keys that are dealt out one after another: disk holds the rows of one at a time.
+PASSES = 4
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -49,31 +53,46 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes in order, texts that hold each) of those that two texts or more of a sample of about SAMPLE hold."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
+def _order(docs: DataFrame, k: int) -> np.ndarray:
+    """The rank of each cell's shingles, a byte each: eight times the logarithm of their count over all texts. Each task sends its
+    counts once, so that what is shuffled is of fixed size a task."""
+    size, mask = 1 << ORDER_BITS, np.uint64((1 << ORDER_BITS) - 1)
 
-    def run(batches):
+    def count(batches):
+        total = np.zeros(size, np.uint32)
         for part in slices(batches):
-            for t in texts_of(part):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, k)).view(np.int64))], names=["key"])
-
-    got = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").toArrow()
-    keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+            own = [shingle_hashes(t, k) for t in texts_of(part)]
+            cells, n = np.unique(np.concatenate(own) & mask, return_counts=True)
+            total[cells] += n.astype(np.uint32)
+        rows = np.minimum(total, 65_535).astype("<u2").reshape(-1, PIECE)
+        low = rows.view(np.uint8).reshape(len(rows), PIECE, 2).transpose(0, 2, 1)  # low bytes first: they compress
+        for i in np.flatnonzero(rows.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(low[i].tobytes(), 1)], pa.binary())], names=["piece", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(PIECE, np.int64)
+        for x in rows["counts"]:
+            both = np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(2, PIECE)
+            total += both[0] + both[1].astype(np.int64) * 256
+        ranks = np.minimum(np.rint(8 * np.log2(total + 1)), 255).astype(np.uint8)
+        return pa.table({"piece": rows["piece"][:1], "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    got = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, ranks binary").toArrow()
+    out = np.zeros((size // PIECE, PIECE), np.uint8)
+    for i, x in zip(got["piece"].to_pylist(), got["ranks"].to_pylist()):
+        out[i] = np.frombuffer(x, np.uint8)
+    return out.ravel()
 
 
 def _scan(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """(doc, text_hash, node, n, same, sketch, whole, prefix): node is the hash of the words, n the number of different shingles,
     same the hash of their set, sketch a byte a cell (empty where a count is over 255), whole the keys of the text's fingerprint,
     prefix the set's first shingles with LEVELS - 1 more."""
-    told = docs.sparkSession.sparkContext.broadcast(_common(docs, k))
+    told = docs.sparkSession.sparkContext.broadcast(_order(docs, k))
     none = np.zeros(0, np.int64)
 
     def run(batches):
-        common, times = told.value
+        rank, mask = told.value, np.uint64((1 << ORDER_BITS) - 1)
         for part in slices(batches):
             node, n, same, sketch, whole, prefix = [], [], [], [], [], []
             for t in texts_of(part):
@@ -85,9 +104,7 @@ def _scan(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 cells = np.bincount((own % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
                 sketch.append(b"" if cells.max() > 255 else cells.astype(np.uint8).tobytes())
                 whole.append(np.unique(keys_of(np.array([fingerprint(h)], dtype=np.uint64))[1]) if len(h) else none)
-                if len(common) and len(own):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    own = own[np.argsort(np.where(common[at] == own, times[at], 0), kind="stable")]
+                own = own[np.argsort(rank[own & mask], kind="stable")]
                 prefix.append(own[: prefix_length(len(own), similarity) + LEVELS - 1].view(np.int64) if len(own) else none)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(whole, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
                                              names=["doc", "text_hash", "node", "n", "same", "sketch", "whole", "prefix"])
@@ -116,8 +133,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def _shared(nodes: DataFrame, similarity: float) -> DataFrame:
     """(key, size, node, n, at): the keys that two texts or more share, at the key's place in the prefix, -1 for a fingerprint's."""
+    parts = [_shared_of(nodes, similarity, share) for share in range(PASSES)]
+    out = materialize(reduce(DataFrame.unionByName, parts), "near-met")
+    discard(*parts)
+    return out
+
+
+def _shared_of(nodes: DataFrame, similarity: float, share: int) -> DataFrame:
+    """Those of the keys of a share: told by bits above those of the filter, which keeps its size for each."""
     keys = nodes.select("node", F.explode(F.concat("whole", F.slice("prefix", F.lit(1), _prefix(similarity, 1)))).alias("key"))
+    keys = keys.where(F.pmod(F.shiftright("key", FILTER_BITS), F.lit(PASSES)) == share)
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "near-shared")
+    collect(shared)
     told = nodes.sparkSession.sparkContext.broadcast(filter_bits(shared, "key", FILTER_BITS))
 
     def run(batches):
@@ -129,13 +156,13 @@ def _shared(nodes: DataFrame, similarity: float) -> DataFrame:
                 key = part.flatten().to_numpy()
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 at = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths) if place else np.full(len(key), -1)
-                fine = np.flatnonzero(flags[key & mask])
+                fine = np.flatnonzero(((key >> FILTER_BITS) % PASSES == share) & (flags[key & mask] > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(key[fine]), b.column(0).take(pa.array(row[fine])), b.column(1).take(pa.array(row[fine])), pa.array(at[fine].astype(np.int32))], names=["key", "node", "n", "at"])
 
     rows = nodes.select("node", "n", "whole", F.slice("prefix", F.lit(1), _prefix(similarity, 1)).alias("prefix")).mapInArrow(run, "key long, node long, n long, at int")
     rows = materialize(rows.dropDuplicates(["key", "node"]), "near-keys")  # a text's copies count once
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    out = materialize(rows.join(shuffled(sizes), "key"), "near-met")
+    out = materialize(rows.join(shuffled(sizes), "key"), "near-met-part")
     discard(shared, rows)
     return out
 

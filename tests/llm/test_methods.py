@@ -605,6 +605,35 @@ def test_near_duplicate_groups_against_all_pairs(spark, monkeypatch):
     assert [i for i, x in enumerate(want) if got[i] != x] == []
 
 
+def test_near_duplicate_keys_are_rare_ones_of_all_texts(spark):
+    """A passage that two texts in 8,400 share stands behind their own words, so that it brings them no key."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for _ in range(4_200):
+        passage = [word() for _ in range(8)]
+        texts += [" ".join([word() for _ in range(40)] + passage) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = common.materialize(neardup._scan(docs, 5, 0.8), "test-scan")
+    got = neardup._shared(scanned, 0.8)
+    assert got.where("at >= 0").count() == 0
+    whole = scanned.selectExpr("node", "explode(whole) as key").distinct().groupBy("key").count().where("count > 1")
+    assert {tuple(x) for x in got.select("key", "size").distinct().collect()} == {tuple(x) for x in whole.collect()}
+
+
+def test_pipeline_keeps_no_earlier_stage(spark, sf, monkeypatch):
+    import glob
+
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(c, "STAGES", [("as it is", lambda spark, docs, sf_dir: docs)] * 4)
+    top = common.scratch_dir(spark).removeprefix("file:") + "/lanternfish/pipeline-"
+    before = set(glob.glob(top + "*"))
+    n = c.run(spark, sf).count()
+    left = {x.removeprefix(top)[:1] for x in set(glob.glob(top + "*")) - before}
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").count() and left == {"2"}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
 
